@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, packing
 
 QUERIES = {
+    "op6_pack_best_fit": packing.op6_pack_best_fit,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
