@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing
+from . import chat, decontaminate, exact_dedup, packing
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op6_pack_best_fit": packing.op6_pack_best_fit,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
+    "op1_chat_format": chat.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
