@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, packing, pii
+from . import chat, decontaminate, exact_dedup, packing, pii, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op3_simhash": simhash.op3_simhash,
     "op5_pii": pii.op5_pii,
     "op6_pack_best_fit": packing.op6_pack_best_fit,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
