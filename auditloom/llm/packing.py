@@ -15,6 +15,7 @@ with the plan gives each its sequence and place. No token travels in a shuffle.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -29,32 +30,51 @@ from .common import as_bytes, batch, checkpoint, map_arrow, table
 
 SIZE, END_ID = 2048, 0
 #: Entries of a worker's word cache before it is begun anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 SALTS = 16
 
 
+#: What a word falls into: letters, single digits, other signs.
+_PARTS = re.compile(r"([^\W\d_]+|[0-9])")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next free one from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds(dict):
     """Little-endian 32-bit token ids of each word between white space, found once and kept.
 
-    Exact because the tokenizer drops white space and never joins text across it. A word that ends in one full stop or
-    comma after letters is its stem and that sign.
+    Exact because the tokenizer drops white space and never joins text across it. Words of Latin letters, digits and
+    signs fall into parts as the tokenizer's own splitting has it, so their vocabulary stays small; anything else
+    (apostrophes, special tokens, other scripts and numerals, marks) goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.of_part, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.plain = frozenset(chr(c) for c in range(0x21, 0x250) if chr(c) != "'" and not 0x7F <= c <= 0xA0 and c != 0x130 and (c < 0x80 or not chr(c).isnumeric()))
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        low = word.lower()
-        if low != word:
-            out = self[low]
-        elif len(word) > 1 and word[-1:] in (b".", b",") and 97 <= word[-2] <= 122:
-            out = self[word[:-1]] + self[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        if self.plain.issuperset(text) and "<|" not in text:
+            low = text.lower()
+            parts = [p for p in _PARTS.split(low) if p]
+            if len(parts) > 1:
+                out = b"".join([self[p.encode()] for p in parts])
+            elif low != text:
+                out = self[low.encode()]
+            else:
+                out = b"".join([t.id.to_bytes(4, "little") for t in self.of_part(word.decode("latin-1").translate(self.letters))])
         else:
-            out = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = out
         return out
 
