@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, packing, pii, simhash
+from . import chat, decontaminate, exact_dedup, packing, pii, repeats, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_simhash": simhash.op3_simhash,
     "op5_pii": pii.op5_pii,
     "op6_pack_best_fit": packing.op6_pack_best_fit,
+    "op7_repeats": repeats.op7_repeats,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLES = {
     "op1_chat_format": chat.SQL,
+    "op7_repeats": repeats.op7_repeats,
     "op9_exact_dedup": exact_dedup.SQL,
 }
