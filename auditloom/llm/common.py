@@ -68,3 +68,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffles that no live plan needs; it only looks after the driver's garbage collection."""
+    spark.sparkContext._jvm.System.gc()

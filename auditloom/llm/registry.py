@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, packing, pii, repeats, simhash
+from . import chat, decontaminate, exact_dedup, line_dedup, packing, pii, repeats, simhash
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_simhash": simhash.op3_simhash,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_pii": pii.op5_pii,
     "op6_pack_best_fit": packing.op6_pack_best_fit,
     "op7_repeats": repeats.op7_repeats,
