@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, checkpoint, map_arrow, table
@@ -138,3 +138,92 @@ def near_duplicates(prints: DataFrame, bits: int = BITS) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Words of a passage on average, for similar_documents(); neighbours that a passage's document is compared with; rows of a passage that are ordered together; bits beyond which documents are taken as different.
+PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS = 16, 4, 5_000, 22
+#: Candidate documents up to which their ids are broadcast to fetch the texts.
+BROADCAST_IDS = 500_000
+
+SKETCH = "doc_id bigint, fp bigint, same bigint, n bigint, passages array<bigint>"
+
+
+def passages(text: bytes) -> list[int]:
+    """Hashes of the pieces between words that their own hash marks as ends, so that equal passages are cut alike."""
+    from xxhash import xxh64_intdigest
+
+    out, begin = set(), 0
+    found = text.lower().split()
+    ends: dict[bytes, bool] = {}
+    for k, w in enumerate(found, 1):
+        end = ends.get(w)
+        if end is None:
+            end = ends[w] = xxh64_intdigest(w, 7) % PASSAGE_WORDS == 0
+        if end or k == len(found):
+            out.add(xxh64_intdigest(b" ".join(found[begin:k]), SEED))
+            begin = k
+    return list(out)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Fingerprint, a hash of the whole word sequence, number of different shingles, and passages of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        for b in batches:
+            texts = [x.as_py() for x in b.column(1)]
+            same = [xxh64_intdigest(b" ".join(t.lower().split()), 11) for t in texts]
+            cut = [signed(passages(t)) for t in texts]
+            yield batch(SKETCH, [b.column(0), signed([fingerprint(t, words) for t in texts]), signed(same), [len(set(shingle_hashes(t, words))) for t in texts], cut])
+
+    return map_arrow(docs.select(F.col(id_col).cast("bigint"), as_bytes(F.col(text_col))), run, SKETCH)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): documents connected by pairs whose sets of word shingles have at least this Jaccard similarity.
+
+    Candidates come from the grid join of fingerprints within 5 bits, and, since edits move more bits than a grid can
+    bridge, from shared passages: of the documents with a passage each is compared with its neighbours in size and with
+    the first. All candidates are verified on their whole texts. Documents with the same words are one node from the
+    start; texts without words are all the same. Rows without an id get no component.
+    """
+    rows = checkpoint(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words))
+    nodes = rows.groupBy("fp", "same", "n").agg(F.min("doc_id").alias("node"))
+    nodes = checkpoint(nodes)
+    # Fingerprints within the grid's reach, by the first node of each.
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("node")).withColumn("code", embedding(F.col("fp")))
+    near = links_within(prints, 2 * GROUPS - 1).unionByName(nodes.join(prints.select("fp", F.col("node").alias("a")), "fp").filter("node <> a").select("a", F.col("node").alias("b")))
+    # Passages that several nodes have, each in parts of bounded size, ordered by size.
+    each = nodes.join(rows.select(F.col("doc_id").alias("node"), "passages"), "node").filter("n > 0").select("node", "n", F.explode("passages").alias("p"))
+    shared = each.groupBy("p").agg(F.count("*").alias("rows"), F.min("node").alias("a")).filter("rows > 1")
+    parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / ORDERED_ROWS))
+    in_order = Window.partitionBy("p", "_part").orderBy("n", "node")
+    beside = each.join(shared, "p").withColumn("_part", parts)
+    beside = beside.select("node", F.array("a", *[F.lead("node", k).over(in_order) for k in range(1, NEIGHBOURS + 1)]).alias("others"))
+    pairs = near.unionByName(beside.select("node", F.explode("others").alias("o")).filter("o is not null and o <> node").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))).distinct()
+    of = nodes.select("node", "fp", "n")
+    known = pairs.join(of.toDF("a", "a_fp", "a_n"), "a").join(of.toDF("b", "b_fp", "b_n"), "b")
+    likely = known.filter((distance(embedding(F.col("a_fp")), embedding(F.col("b_fp"))) <= FAR_BITS) & (distance(F.col("a_fp"), F.col("b_fp")) <= FAR_BITS))
+    likely = checkpoint(likely.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b"))
+    links = _verified(likely, docs.select(F.col(id_col).cast("bigint").alias("id"), as_bytes(F.col(text_col)).alias("text")), words, similarity)
+    roots = components(spanning_forest(links))
+    named = nodes.join(roots, "node", "left").select("fp", "same", "n", F.coalesce("root", "node").alias("component_id"))
+    out = rows.join(named, ["fp", "same", "n"]).select("doc_id", "component_id")
+    return out.unionByName(docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("component_id")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough."""
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    both = pairs.join(wanted.toDF("a", "a_text"), "a").join(wanted.toDF("b", "b_text"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [[set(shingle_hashes(t.as_py(), words)) for t in x.column(k)] for k in (2, 3)]
+            near = [len(s & t) >= similarity * len(s | t) for s, t in zip(*sets, strict=True)]
+            yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")
