@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import chunking, detection, evaluation, findings, streams, text, work
+from .queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "chunking", "detection", "evaluation", "findings", "streams", "text", "work"]
