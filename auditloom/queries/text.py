@@ -162,7 +162,7 @@ def _(t: Tables):
     return t["documents"].select("doc_id", F.sha2(fx.clean_lines(F.col("text")), 256).alias("sha"))
 
 
-@query("reflow_newlines", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '([A-Za-z])( *)\n', '\1\2△', 'g'), '([^.?!。！？""''”》】」:;…~ \n])( *)\n', '\1\2', 'g')) AS sha FROM {documents}".replace('""', '"'))
+@query("reflow_newlines", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '([A-Za-z])( *)\n', '\1\2△', 'g'), '([^.?!。！？"''”》】」:;…~ \n])( *)\n', '\1\2', 'g')) AS sha FROM {documents}""")
 def _(t: Tables):
     return t["documents"].select("doc_id", F.sha2(fx.reflow_newlines("text"), 256).alias("sha"))
 
@@ -241,5 +241,3 @@ SELECT u.doc_id, cast(u.block_idx AS integer) AS block_idx, cast(coalesce(u.pare
 def _(t: Tables):
     out = markdown.markdown_outline(markdown.markdown_blocks(markdown_docs(t)))
     return out.select("doc_id", F.col("block_idx").cast("int").alias("block_idx"), F.coalesce("parent_idx", F.lit(-1)).cast("int").alias("parent_idx"), F.col("subtree_length").cast("bigint").alias("subtree_length"))
-
-

@@ -72,5 +72,3 @@ def _(t: Tables):
 def _(t: Tables):
     files = t["documents"].select(F.col("source").alias("file_name"), F.col("n_chars").alias("size"), "doc_id")
     return fanout.dedupe_uploads(files, arrival="doc_id")
-
-
