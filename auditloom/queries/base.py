@@ -21,8 +21,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        """Names in braces are tables."""
-        return self.spark.sql(text, **{n: self[n] for n in set(re.findall(r"\{(\w+)\}", text))})
+        """Names in braces are tables; other braces stand for themselves."""
+        names = set(re.findall(r"\{(\w+)\}", text))
+        doubled = re.sub(r"\{\{(\w+)\}\}", r"{\1}", text.replace("{", "{{").replace("}", "}}"))
+        return self.spark.sql(doubled, **{n: self[n] for n in names})
 
 
 def query(name: str, oracle: str | None = None):
