@@ -6,8 +6,8 @@ lines form classes (connected over links); of a class only the first line in the
 Edit join: a line is cut into `edits` + 1 segments of even length. Two lines within the threshold share one segment of
 the shorter, at a place that the lengths and the segment's number narrow down: the longer probes, for each shorter
 length and each segment, the few substrings that can be its match (multi-match-aware selection). Keys are hashes of
-(length, segment number, substring). In the join condition a signature, the parity of each ASCII character's count, must
-differ in at most two bits an edit; so a common segment gives few candidates. Candidates are verified on their texts by a
+(length, segment number, substring). In the join condition signatures of character counts
+must differ in at most two bits an edit; so a common segment gives few candidates. Candidates are verified on their texts by a
 banded bit-parallel edit distance: one small integer holds the band of a column.
 
 Only ids and hashes are shuffled for the join. Each task sends a line's keys once, however often the line is there.
@@ -30,8 +30,21 @@ EDITS, LEAST_CHARS = 2, 24
 #: Lines that a task remembers having sent, and candidate lines up to which their ids are broadcast to fetch the texts.
 SEEN_LINES, BROADCAST_IDS = 200_000, 500_000
 
-#: One of 31 bits of the signature for each ASCII byte, none for others.
-PARITY_BIT = np.array([1 << (b * 2654435761 >> 7) % 31 if b < 128 else 0 for b in range(256)], np.uint32)
+#: ASCII bytes fall into 31 classes by hash, others into one that isn't counted.
+CLASSES = 31
+CLASS_OF = np.array([(b * 2654435761 >> 7) % CLASSES if b < 128 else CLASSES for b in range(256)], np.int64)
+
+
+def signatures(raw: bytes, lengths: list[int]) -> np.ndarray:
+    """For each line of a text the count of each class modulo 4, in Gray code: bits that differ are the least steps between the counts.
+
+    An edit moves at most two counts by one, so lines within e edits differ in at most 2e bits.
+    """
+    line_of = np.repeat(np.arange(len(lengths)), np.array(lengths) + 1)[: len(raw)]
+    counts = np.bincount(line_of * (CLASSES + 1) + CLASS_OF[np.frombuffer(raw, np.uint8)], minlength=len(lengths) * (CLASSES + 1))
+    left = counts.reshape(len(lengths), CLASSES + 1)[:, :CLASSES] % 4
+    left[:-1, CLASS_OF[10]] = (left[:-1, CLASS_OF[10]] + 3) % 4  # the line break behind a line isn't its own
+    return ((left ^ (left >> 1)) << np.arange(0, 2 * CLASSES, 2)).sum(axis=1)
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -108,7 +121,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return each.filter(F.col("text").rlike("\\S")).select("doc_id", "row", "at", F.xxhash64("text").alias("line"), "text")
 
 
-KEYS = "key bigint, line bigint, sign int, same boolean"
+KEYS = "key bigint, line bigint, sign bigint, same boolean"
 
 
 def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
@@ -132,9 +145,7 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
                 lines = raw.split(b"\n")
                 if len(raw) < least:
                     continue
-                ends = np.cumsum([len(x) + 1 for x in lines])
-                parity = np.append(PARITY_BIT[np.frombuffer(raw, np.uint8)], np.uint32(0))
-                sign_of = np.bitwise_xor.reduceat(parity, np.append(0, ends[:-1])).view(np.int32).tolist()
+                sign_of = signatures(raw, [len(x) for x in lines]).tolist()
                 for k, line in enumerate(lines):
                     known = line if len(line) <= 512 else hashlib.md5(line).digest()
                     if len(line) < least or known in seen:
@@ -162,7 +173,7 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
 
 def _key_batch(keys: list, ids: list, signs: list, same: list) -> pa.RecordBatch:
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    return batch(KEYS, [signed(keys), signed(ids), np.array(signs, np.int32), same])
+    return batch(KEYS, [signed(keys), signed(ids), np.array(signs, np.int64), same])
 
 
 def candidates(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
