@@ -27,13 +27,14 @@ def route_files(files: DataFrame, name: str = "file_name") -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Text files under a path whole, as (path, file_name, text), and rejected files with a reason. CRLF becomes LF."""
+    """Text files under a path whole, as (path, file_name, text), and rejected files with a reason. CRLF becomes LF; Spark gives no row for an empty file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("file_name", F.regexp_extract("path", r"([^/]*)$", 1))
     routed = route_files(files)
-    text = F.replace(F.decode("content", F.lit("UTF-8")), F.lit("\r\n"), F.lit("\n"))
-    good = routed.filter("reader = 'md'").select("path", "file_name", text.alias("text"))
-    reason = F.coalesce("reason", F.concat(F.lit("needs extracted rows: "), "reader"))
-    return good, routed.filter("reader is null or reader <> 'md'").select("path", "file_name", reason.alias("reason"))
+    text = F.col("content").cast("string")
+    routed = routed.withColumn("_good", F.coalesce(F.col("reader") == "md", F.lit(False)) & F.is_valid_utf8(text))
+    good = routed.filter("_good").select("path", "file_name", F.replace(text, F.lit("\r\n"), F.lit("\n")).alias("text"))
+    reason = F.coalesce("reason", F.when(F.col("reader") == "md", "not UTF-8").otherwise(F.concat(F.lit("needs extracted rows: "), "reader")))
+    return good, routed.filter("not _good").select("path", "file_name", reason.alias("reason"))
 
 
 @F.pandas_udf(StringType())
