@@ -41,7 +41,7 @@ def trigrams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the byte trigrams and the bytes themselves, lower-cased, with runs of other signs as one space."""
     b = _LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]
     b = b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))]
-    if len(b) < 4:  # no letters
+    if len(b) < 3:  # no letters
         return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
     return _bin(b[:-2], b[1:-1], b[2:]), b
 
@@ -52,10 +52,10 @@ def _bin(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def independent(share: np.ndarray, draws: int = 1 << 21) -> np.ndarray:
-    """Log-probabilities of the bins for bytes that follow each other by chance, from a fixed draw."""
+    """Log-probabilities of the bins for bytes that follow each other by chance, from a fixed draw, half mixed with even ones for letters never seen."""
     drawn = np.random.default_rng(0).choice(256, (3, draws), p=share)
     seen = np.bincount(_bin(*drawn), minlength=BINS) + 0.1
-    return np.log(seen / seen.sum())
+    return np.log(0.5 * seen / seen.sum() + 0.5 / BINS)
 
 
 COUNTS = "language string, bin int, n bigint"
@@ -139,9 +139,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     spoken = F.slice("scores", 1, n)
     scored = checkpoint(scored.withColumn("_said", F.when(F.col("grams") > 0, F.array_position(spoken, F.array_max(spoken)).cast("int") - 1)))
     known = scored.filter("_said is not null")
-    overall = _counts(known, [], n, "_all").first()._all
-    total = sum(overall or [])
-    base = F.array(*[F.lit(((overall[k] or 0.0) + 1) / (total + n) if overall[0] is not None else 1 / n) for k in range(n)])
+    overall = [x or 0.0 for x in _counts(known, [], n, "_all").first()._all]
+    base = F.array(*[F.lit((x + 1) / (sum(overall) + n)) for x in overall])
     hosts = _counts(known, ["host", "suffix"], n, "_host")
     suffixes = _counts(known, ["suffix"], n, "_suffix")
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", _smoothed(F.col("_host"), _smoothed(F.col("_suffix"), base, SUFFIX_WEIGHT, n), HOST_WEIGHT, n).alias("_prior"))

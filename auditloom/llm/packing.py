@@ -32,6 +32,8 @@ SIZE, END_ID = 2048, 0
 #: Entries of a worker's word cache before it is begun anew.
 CACHE_WORDS = 600_000
 SALTS = 16
+#: Classes of length that patterns are made of.
+CLASSES = 128
 
 
 #: What a word falls into: letters, single digits, other signs.
@@ -156,7 +158,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     return x
 
 
-def plan_packing(histogram: dict[int, int], size: int = SIZE, width: int = 16, parts: int = 3) -> list[tuple[list[tuple[int, int]], int]]:
+def plan_packing(histogram: dict[int, int], size: int = SIZE, parts: int = 3) -> list[tuple[list[tuple[int, int]], int]]:
     """[([(length, how often), ...], number of sequences)] for a histogram of lengths."""
     left = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
@@ -165,6 +167,7 @@ def plan_packing(histogram: dict[int, int], size: int = SIZE, width: int = 16, p
     if left[size]:
         groups.append(([(size, 1)], int(left[size])))
         left[size] = 0
+    width = max(1, size // CLASSES)
     classes = size // width
     if classes >= 2:
         counts = np.array([left[(c - 1) * width + 1 : c * width + 1].sum() for c in range(1, classes + 1)], float)
