@@ -22,8 +22,11 @@ def _(t: Tables):
     return chunks.select("doc_id", "chunk_idx", "length", F.md5("chunk").alias("digest"))
 
 
-#: Documents with a line break before frequent syllables, so that lines are short.
-_SHORT_LINES = "SELECT doc_id, replace(replace(replace(text, '. ', '.' || chr(10)), ' e', chr(10) || 'e'), ' t', chr(10) || 't') AS text FROM {documents}"
+#: Documents with a line break before words of frequent first letters, so that lines are short.
+_BROKEN = "replace(replace(text, '. ', '.' || chr(10)), '!! ', '!!' || chr(10))"
+for _letter in "etirhoO":
+    _BROKEN = f"replace({_BROKEN}, ' {_letter}', chr(10) || '{_letter}')"
+_SHORT_LINES = f"SELECT doc_id, {_BROKEN} AS text FROM {{documents}}"
 _PACKED = f"""
 WITH RECURSIVE d AS ({_SHORT_LINES}), l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, line FROM (SELECT doc_id, i, trim(ls[i + 1]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), unnest(range(len(ls))) AS u(i)) WHERE line <> ''),
 f(doc_id, n, held, chunk_idx) AS (SELECT doc_id, n, length(line) + 1, 0 FROM l WHERE n = 1
