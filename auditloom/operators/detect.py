@@ -19,8 +19,8 @@ SAME = ['"']
 GARBLED = r"(Åäö|\?{2,}|â‚¬|□{2,}|锟斤拷|\x{FFFD}+)"
 
 
-def scan_sensitive_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """A finding for each chunk and word that it contains, case counting; empty words are ignored.
+def contained_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each chunk and different word that it contains, case counting; empty words are ignored.
 
     Few words are matched by an expression; many by one automaton for each worker and block of words, in as many maps as
     there are blocks.
@@ -29,13 +29,17 @@ def scan_sensitive_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
     first = usable.limit(INLINE_WORDS + 1).collect()
     if len(first) <= INLINE_WORDS:
         listed = F.array(*[F.lit(r.word) for r in sorted(first)]) if first else F.array().cast("array<string>")
-        found = chunks.withColumn("word", F.explode(F.filter(listed, lambda w: F.contains(F.col("chunk"), w))))
-    else:
-        found = None
-        for block in _blocks(usable):
-            part = _automaton(chunks, block)
-            found = part if found is None else found.unionByName(part)
-    return found.withColumns({
+        return chunks.withColumn("word", F.explode(F.filter(listed, lambda w: F.contains(F.col("chunk"), w))))
+    found = None
+    for block in _blocks(usable):
+        part = _automaton(chunks, block)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def scan_sensitive_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """A finding for each chunk and word that it contains."""
+    return contained_words(chunks, words).withColumns({
         "problem_type": F.lit(SENSITIVE), "scan_item": F.lit(catalog.SENSITIVE_ITEM), "sentence": F.concat(F.lit("检测到敏感词："), "word"), "suggestion": F.lit("请确认是否需要替换或删除"),
     })
 
@@ -72,7 +76,8 @@ def _automaton(chunks: DataFrame, words: list[str]) -> DataFrame:
 def detect_typos(chunks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """A finding for each wrong form that a chunk contains, with the right one."""
     pairs = catalog.typo_pairs(chunks.sparkSession) if pairs is None else pairs
-    return chunks.join(F.broadcast(pairs), F.contains(F.col("chunk"), F.col("wrong")))
+    found = contained_words(chunks, pairs.select(F.col("wrong").alias("word"))).withColumnRenamed("word", "wrong")
+    return found.join(pairs, "wrong")
 
 
 def _words(text: Column) -> Column:
@@ -88,7 +93,8 @@ def detect_spelling(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def detect_term_variants(docs: DataFrame, variants: DataFrame) -> DataFrame:
     """(doc_id, term, variants): terms (term, variant) that a document spells in more than one way."""
-    hits = docs.join(F.broadcast(variants), F.contains(F.col("text"), F.col("variant"))).select("doc_id", "term", "variant")
+    found = contained_words(docs.select("doc_id", F.col("text").alias("chunk")), variants.select(F.col("variant").alias("word")))
+    hits = found.select("doc_id", F.col("word").alias("variant")).join(variants, "variant")
     return hits.groupBy("doc_id", "term").agg(F.array_join(F.sort_array(F.collect_set("variant")), ",").alias("variants"), F.count_distinct("variant").alias("_n")).filter("_n > 1").drop("_n")
 
 
@@ -116,4 +122,4 @@ def detect_garbled(chunks: DataFrame) -> DataFrame:
 def filter_exempt(findings: DataFrame, exempt: DataFrame) -> DataFrame:
     """Findings whose suggestion says something else, whose term isn't exempt, and which are no address or legal line."""
     told = findings.filter(~F.col("sentence").eqNullSafe(F.col("suggestion")) & ~F.coalesce("sentence", F.lit("")).rlike(r"https?://|www\.|©"))
-    return told.join(F.broadcast(exempt), "term", "left_anti")
+    return told.join(exempt.select("term"), "term", "left_anti")

@@ -60,7 +60,7 @@ def with_codes(rows: DataFrame, name: str = "scan_item_name") -> DataFrame:
 def route(work: DataFrame, models: DataFrame) -> DataFrame:
     """Adds the model of the language (language, model) and the kind of instruction for the chunk's strategy."""
     kind = F.when(F.col("strategy").contains("adaptive_markdown"), "markdown").otherwise("extraction")
-    return work.join(F.broadcast(models), "language", "left").withColumn("instruction", kind)
+    return work.join(models, "language", "left").withColumn("instruction", kind)
 
 
 def dedupe_uploads(files: DataFrame, name: str = "file_name", size: str = "size", arrival: str = "arrival") -> DataFrame:
