@@ -15,7 +15,6 @@ Only ids and hashes are shuffled for the join. Each task sends a line's keys onc
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +129,7 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         plans: dict[int, list[tuple[int, int, int, bool]]] = {}
 
         def plan(length: int) -> list[tuple[int, int, int, bool]]:
@@ -147,8 +146,7 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
                     continue
                 sign_of = signatures(raw, [len(x) for x in lines]).tolist()
                 for k, line in enumerate(lines):
-                    known = line if len(line) <= 512 else hashlib.md5(line).digest()
-                    if len(line) < least or known in seen:
+                    if len(line) < least or (known := xxh64_intdigest(line, 42)) in seen:
                         continue
                     chars = line if line.isascii() else line.decode("utf-8", "replace")
                     if len(chars) < least:
@@ -160,7 +158,7 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
                     if steps is None:
                         steps = plans[len(chars)] = plan(len(chars))
                     keys += [xxh64_intdigest(chars[s:e], seed) for seed, s, e, _ in steps]
-                    ids += [xxh64_intdigest(line, 42)] * len(steps)
+                    ids += [known] * len(steps)
                     signs += [sign_of[k]] * len(steps)
                     same += [x[3] for x in steps]
                     if len(keys) > 50_000:

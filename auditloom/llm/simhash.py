@@ -214,6 +214,12 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return out.unionByName(docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("component_id")))
 
 
+def _similar(a: bytes, b: bytes, words: int, similarity: float) -> bool:
+    s, t = set(shingle_hashes(a, words)), set(shingle_hashes(b, words))
+    both = len(s & t)
+    return both >= similarity * (len(s) + len(t) - both)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -222,8 +228,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            sets = [[set(shingle_hashes(t.as_py(), words)) for t in x.column(k)] for k in (2, 3)]
-            near = [len(s & t) >= similarity * len(s | t) for s, t in zip(*sets, strict=True)]
+            near = [_similar(s.as_py(), t.as_py(), words, similarity) for s, t in zip(x.column(2), x.column(3), strict=True)]
             yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")
