@@ -171,20 +171,42 @@ def repeated_in_contexts(contexts: DataFrame, length: int) -> DataFrame:
     """Spans of each different context (h, c, ctx, n) that repeats cover. A context that occurs n > 1 times is covered whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # contexts of anchors that have several
+        alone: list[tuple] = []  # anchors of one context, which repeats only as a whole
         size = 0
-        for b in batches:
-            for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if size >= ARRAY_BYTES and row[0] != held[-1][0]:
-                    yield from _spans_of(held, length)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+        for rows in _by_anchor(batches):
+            if len(rows) == 1:
+                h, c, ctx, n = rows[0]
+                alone += [(h, c, [0, len(ctx)])] * (n > 1)
+                if len(alone) == 2000:
+                    yield batch(SPANS, list(zip(*alone, strict=True)))
+                    alone = []
+                continue
+            held += rows
+            size += sum(len(r[2]) for r in rows)
+            if size >= ARRAY_BYTES:
+                yield from _spans_of(held, length)
+                held, size = [], 0
+        if alone:
+            yield batch(SPANS, list(zip(*alone, strict=True)))
         yield from _spans_of(held, length)
 
     return map_arrow(contexts.repartition("h").sortWithinPartitions("h").select("h", "c", "ctx", "n"), run, SPANS)
 
 
+def _by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of each anchor in turn; they come sorted."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _spans_of(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     if rows:
         spans = SuffixArray([r[2] for r in rows], length).covered(length)
@@ -250,9 +272,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         texts = texts.join(plain, "tid", "left_semi").unionByName(strange)
         plain = plain.unionByName(odd.select("tid"))
     found = written(anchor_rows(texts, length))
-    more = lambda x: x.groupBy("h").count().filter("count > 1").select("h")
-    found = found.join(more(found), "h", "left_semi").join(plain, "tid", "left_semi")
-    found = written(found)
+    # Counts are cut off from the joins that use them: so both sides of a join are shuffles, and a hot anchor can be split.
+    more = lambda x: checkpoint(x.groupBy("h").count().filter("count > 1").select("h"))
+    found = written(found.join(more(found), "h", "left_semi").join(plain, "tid", "left_semi"))
     found = found.join(more(found), "h", "left_semi")
     ranges = found.groupBy("tid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("ranges"))
     subject = written(texts.join(ranges, "tid"))
