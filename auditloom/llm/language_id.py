@@ -144,6 +144,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     hosts = _counts(known, ["host", "suffix"], n, "_host")
     suffixes = _counts(known, ["suffix"], n, "_suffix")
     priors = hosts.join(suffixes, "suffix").select("host", "suffix", _smoothed(F.col("_host"), _smoothed(F.col("_suffix"), base, SUFFIX_WEIGHT, n), HOST_WEIGHT, n).alias("_prior"))
+    priors = checkpoint(priors)  # so that the join below shuffles both sides, and a hot host can be split
     # What the rows with this declaration say, against what all rows say: how much it speaks for each language.
     trust = _counts(known, ["declared"], n, "_declared").select("declared", _smoothed(F.col("_declared"), base, DECLARED_WEIGHT, n).alias("_trust"))
     joined = scored.join(priors, ["host", "suffix"], "left").join(trust, "declared", "left")

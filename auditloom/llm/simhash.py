@@ -197,7 +197,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     near = links_within(prints, 2 * GROUPS - 1).unionByName(nodes.join(prints.select("fp", F.col("node").alias("a")), "fp").filter("node <> a").select("a", F.col("node").alias("b")))
     # Passages that several nodes have, each in parts of bounded size, ordered by size.
     each = nodes.join(rows.select(F.col("doc_id").alias("node"), "passages"), "node").filter("n > 0").select("node", "n", F.explode("passages").alias("p"))
-    shared = each.groupBy("p").agg(F.count("*").alias("rows"), F.min("node").alias("a")).filter("rows > 1")
+    shared = checkpoint(each.groupBy("p").agg(F.count("*").alias("rows"), F.min("node").alias("a")).filter("rows > 1"))
     parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / ORDERED_ROWS))
     in_order = Window.partitionBy("p", "_part").orderBy("n", "node")
     beside = each.join(shared, "p").withColumn("_part", parts)
