@@ -203,37 +203,56 @@ def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, row, gone array<int>): line numbers, from 0, that repeat an earlier line of the corpus; by doc_id, then place."""
-    near = checkpoint(components(spanning_forest(near_lines(docs, edits, least))))
+    """(doc_id, row, gone, links) of the rows with lines that aren't alone in their class.
+
+    gone: (line number from 0, doc_id and line number of the line that stays for it) of those that repeat an earlier line
+    of the corpus, by doc_id, then place. links: near lines of other text that the row's lines have, counted by line.
+    """
+    links = checkpoint(near_lines(docs, edits, least))
+    near = checkpoint(components(spanning_forest(links)))
     release(docs.sparkSession)
+    degrees = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("links"))
     places = occurrences(docs).drop("text")
     first = places.groupBy("line").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("n"))
     classed = first.join(near, first["line"] == near["node"], "left").select("line", "first", "n", "root")
     of_class = classed.filter("root is not null").groupBy("root").agg(F.min("first").alias("class_first"))
-    repeated = classed.filter("n > 1 or root is not null").join(of_class, "root", "left").select("line", F.coalesce("class_first", "first").alias("keep"))
-    gone = places.join(repeated, "line").filter(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id", "row").agg(F.collect_list("at").alias("gone"))
+    repeated = classed.filter("n > 1 or root is not null").join(of_class, "root", "left").join(degrees, "line", "left")
+    repeated = repeated.select("line", F.coalesce("class_first", "first").alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))
+    repeated = checkpoint(repeated)  # so that the join below shuffles both sides, and a hot line can be split
+    found = places.join(repeated, "line")
+    repeats = ~F.struct("doc_id", "row", "at").eqNullSafe(F.col("keep"))
+    gone = F.when(repeats, F.struct("at", F.col("keep.doc_id").alias("doc_id"), F.col("keep.at").alias("line")))
+    return found.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(gone)).alias("gone"), F.sum("links").alias("links"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """`docs` with repeated lines taken out of the text, and the columns gone_lines array<int> and text_before.
+    """`docs` with repeated lines taken out of the text, and four more columns, which replace others of their names.
+
+    gone_lines array<int>: the lines taken out; kept_lines array<string>: for each, 'doc_id:line' of the one that stays for
+    its class; near_links bigint: near lines of other text that the row's lines have; text_before.
 
     Blank lines always stay and a null text stays null. Shorter lines than `least_chars` only go if equal. Rows are never
     dropped: a text all of whose lines repeat becomes empty. Rows that repeat with id and text count as one place. Of
     rows without an id the lines come first.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = repeated_lines(plain, edits, least_chars).withColumnsRenamed({"doc_id": "_id", "row": "_row", "gone": "_gone"})
+    found = repeated_lines(plain, edits, least_chars).toDF("_id", "_row", "_gone", "_links")
     keyed = docs.select(F.struct("*").alias("r"), F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t"), _row_key(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
-    joined = keyed.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row")), "left")
-    left = F.array_join(F.filter(_lines(F.col("_t")), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(left)
-    others = [F.col("r")[c].alias(c) for c in docs.columns if c not in (text_col, "gone_lines", "text_before")]
-    out = joined.select(*others, kept.alias(text_col), F.coalesce(F.sort_array("_gone"), F.expr("cast(array() as array<int>)")).alias("gone_lines"), F.col("_t").alias("text_before"))
-    return out
+    joined = keyed.join(found, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row")), "left")
+    gone = F.transform("_gone", lambda x: x["at"])
+    left = F.array_join(F.filter(_lines(F.col("_t")), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    kept = F.when(F.size("_gone") > 0, left).otherwise(F.col("_t"))
+    new = {
+        "gone_lines": F.coalesce(gone, F.expr("cast(array() as array<int>)")),
+        "kept_lines": F.coalesce(F.transform("_gone", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["line"].cast("string"))), F.expr("cast(array() as array<string>)")),
+        "near_links": F.coalesce("_links", F.lit(0)),
+        "text_before": F.col("_t"),
+    }
+    others = [F.col("r")[c].alias(c) for c in docs.columns if c not in (text_col, *new)]
+    return joined.select(*others, kept.alias(text_col), *[c.alias(n) for n, c in new.items()])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_lines = F.size(_lines(F.coalesce("text_before", F.lit("")))).cast("bigint")
-    return out.select("doc_id", n_lines.alias("n_lines"), F.size("gone_lines").cast("bigint").alias("n_removed"), F.array_join("gone_lines", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", n_lines.alias("n_lines"), F.size("gone_lines").cast("bigint").alias("n_removed"), F.array_join("gone_lines", ",").alias("removed_lines"), F.array_join("kept_lines", ",").alias("kept_by"), "near_links", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
