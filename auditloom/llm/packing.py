@@ -36,8 +36,10 @@ SALTS = 16
 CLASSES = 128
 
 
-#: What a word falls into: letters, single digits, other signs.
-_PARTS = re.compile(r"([^\W\d_]+|[0-9])")
+#: What plain text falls into: letters, single digits, runs of other signs.
+_PARTS = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+#: Signs side by side, which are one part.
+_TOUCHING = re.compile(r"[^\w\s][^\w\s]|_")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,48 +49,73 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class WordIds(dict):
-    """Little-endian 32-bit token ids of each word between white space, found once and kept.
+class PartIds(dict):
+    """Little-endian 32-bit token ids of each lower-case word of plain text, found once and kept. A word is its parts in turn."""
 
-    Exact because the tokenizer drops white space and never joins text across it. Words of Latin letters, digits and
-    signs fall into parts as the tokenizer's own splitting has it, so their vocabulary stays small; anything else
-    (apostrophes, special tokens, other scripts and numerals, marks) goes through the whole tokenizer.
-    """
+    def __init__(self, tokenizer):
+        self.of_part, self.letters = tokenizer.model.tokenize, _byte_letters()
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        parts = _PARTS.findall(word)
+        if len(parts) > 1:
+            out = b"".join([self[p] for p in parts])
+        else:
+            out = b"".join([t.id.to_bytes(4, "little") for t in self.of_part(word.encode().decode("latin-1").translate(self.letters))])
+        self[word] = out
+        return out
+
+
+class WordIds(dict):
+    """The same for any text between white space, by the whole tokenizer. Exact because that drops white space and never joins text across it."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.of_part, self.letters = self.tokenizer.model.tokenize, _byte_letters()
-        self.plain = frozenset(chr(c) for c in range(0x21, 0x250) if chr(c) != "'" and not 0x7F <= c <= 0xA0 and c != 0x130 and (c < 0x80 or not chr(c).isnumeric()))
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if self.plain.issuperset(text) and "<|" not in text:
-            low = text.lower()
-            parts = [p for p in _PARTS.split(low) if p]
-            if len(parts) > 1:
-                out = b"".join([self[p.encode()] for p in parts])
-            elif low != text:
-                out = self[low.encode()]
-            else:
-                out = b"".join([t.id.to_bytes(4, "little") for t in self.of_part(word.decode("latin-1").translate(self.letters))])
-        else:
-            out = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = out
         return out
 
 
-_WORDS: dict[str, WordIds] = {}
+class TextIds:
+    """Token ids of whole texts.
+
+    Texts of Latin letters, digits and signs fall into parts as the tokenizer's own splitting has it, and the parts'
+    vocabulary is small. Any other text (with apostrophes, special tokens, other scripts and numerals, marks) goes word
+    by word through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.parts, self.words = PartIds(tokenizer), WordIds(tokenizer)
+        usual = [chr(c) for c in range(0x21, 0x250) if chr(c) != "'" and not 0x7F <= c <= 0xA0 and c != 0x130 and (c < 0x80 or not chr(c).isnumeric())]
+        self.plain = frozenset([*usual, *" \t\n\r\f\v"])
+
+    def __call__(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8", "replace")
+        if self.plain.issuperset(set(text)) and "<|" not in text:
+            parts, text = self.parts, text.lower()
+            if not _TOUCHING.search(text):  # then stops and commas are parts of their own, and words vary less without them
+                text = text.replace(".", " . ").replace(",", " , ")
+            return b"".join([parts[w] for w in text.split()])
+        words = self.words
+        return b"".join([words[w] for w in raw.split()])
+
+
+_IDS: dict[str, TextIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One cache for each worker process."""
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+def text_ids(path: str) -> TextIds:
+    """One for each worker process."""
+    if path not in _IDS:
+        _IDS[path] = TextIds(path)
+    return _IDS[path]
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -102,11 +129,11 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = word_ids(vocabulary), END_ID.to_bytes(4, "little")
+        ids_of, end = text_ids(vocabulary), END_ID.to_bytes(4, "little")
         for b in batches:
             out = [[] for _ in schema.split(", ")]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                run = b"".join([words[w] for w in text.as_py().split()]) + end
+                run = ids_of(text.as_py()) + end
                 for k in range(0, len(run), 4 * size):
                     ids = run[k : k + 4 * size]
                     row = (doc_id, k // (4 * size), k // 4, len(ids) // 4, zlib.crc32(ids), ids)
