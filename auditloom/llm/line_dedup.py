@@ -26,6 +26,8 @@ from .common import as_bytes, batch, checkpoint, map_arrow, release, table
 from .components import components, spanning_forest
 
 EDITS, LEAST_CHARS = 2, 24
+#: Lines whose keys make one batch.
+LINES_AT_ONCE = 5000
 #: Lines that a task remembers having sent, and candidate lines up to which their ids are broadcast to fetch the texts.
 SEEN_LINES, BROADCAST_IDS = 200_000, 500_000
 
@@ -138,15 +140,14 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
             return [(shorter * (edits + 1) + k, s, s + size, shorter == length) for shorter, k, s, size in found]
 
         for b in batches:
-            keys, ids, signs, same = [], [], [], []
-            for text in b.column(0):
-                raw = text.as_py()
-                lines = raw.split(b"\n")
-                if len(raw) < least:
-                    continue
-                sign_of = signatures(raw, [len(x) for x in lines]).tolist()
-                for k, line in enumerate(lines):
-                    if len(line) < least or (known := xxh64_intdigest(line, 42)) in seen:
+            # Which document a line is from doesn't matter here, so the lines of a batch go together.
+            lines = [x for text in b.column(0) for x in text.as_py().split(b"\n") if len(x) >= least]
+            for at in range(0, len(lines), LINES_AT_ONCE):
+                keys, ids, signs, same = [], [], [], []
+                part = lines[at : at + LINES_AT_ONCE]
+                sign_of = signatures(b"\n".join(part), [len(x) for x in part]).tolist()
+                for line, sign in zip(part, sign_of, strict=True):
+                    if (known := xxh64_intdigest(line, 42)) in seen:
                         continue
                     chars = line if line.isascii() else line.decode("utf-8", "replace")
                     if len(chars) < least:
@@ -159,12 +160,9 @@ def _keys(docs: DataFrame, edits: int, least: int, probing: bool) -> DataFrame:
                         steps = plans[len(chars)] = plan(len(chars))
                     keys += [xxh64_intdigest(chars[s:e], seed) for seed, s, e, _ in steps]
                     ids += [known] * len(steps)
-                    signs += [sign_of[k]] * len(steps)
+                    signs += [sign] * len(steps)
                     same += [x[3] for x in steps]
-                    if len(keys) > 50_000:
-                        yield _key_batch(keys, ids, signs, same)
-                        keys, ids, signs, same = [], [], [], []
-            yield _key_batch(keys, ids, signs, same)
+                yield _key_batch(keys, ids, signs, same)
 
     return map_arrow(docs.select(as_bytes(F.col("text"))), run, KEYS)
 
