@@ -14,6 +14,7 @@ Equal fingerprints are one node before any of this, and links become a spanning
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,10 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """Unsigned 64 bits: those set in over half of the hashes."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: list[int]) -> int:
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), SLICE):
         part = np.array(hashes[k : k + SLICE], np.uint64).astype(">u8")
@@ -140,12 +144,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a passage on average, for similar_documents(); neighbours that a passage's document is compared with; rows of a passage that are ordered together; bits beyond which documents are taken as different.
+#: Words of a passage on average, for similar_documents(); neighbours that a passage's document is compared with first; rows of a key that stand together; bits beyond which documents aren't compared first. None of these decides what is found.
 PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS = 16, 4, 5_000, 22
+#: Counters of how frequent shingles are, and documents that they are counted on, about. They order shingles; any order finds the same.
+COUNTERS, COUNTED_DOCS = 1 << 20, 100_000
+#: Slack of the bounds, so that rounding never loses a pair.
+SLACK = 1e-6
 #: Candidate documents up to which their ids are broadcast to fetch the texts.
 BROADCAST_IDS = 500_000
 
-SKETCH = "doc_id bigint, fp bigint, same bigint, n bigint, passages array<bigint>"
+SKETCH = "doc_id bigint, fp bigint, same bigint, n bigint, passages array<bigint>, prefix array<bigint>"
 
 
 def passages(text: bytes) -> list[int]:
@@ -165,8 +173,35 @@ def passages(text: bytes) -> list[int]:
     return list(out)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Fingerprint, a hash of the whole word sequence, number of different shingles, and passages of each row."""
+def shingle_frequencies(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
+    """How many of the drawn rows have a shingle of each counter: a table of fixed size."""
+    share = min(1.0, COUNTED_DOCS / max(1, docs.count()))
+    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                found = np.fromiter(set(shingle_hashes(x.as_py(), words)), np.uint64)
+                np.add.at(sums, (found % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(sums)
+        yield batch("bin int, n bigint", [at.astype(np.int32), sums[at]])
+
+    counted = map_arrow(drawn.select(as_bytes(F.col(text_col))), run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int32)
+    out[counted["bin"].to_numpy()] = np.minimum(counted["n"].to_numpy(), np.iinfo(np.int32).max)
+    return out
+
+
+def prefix(found: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's different shingles, so many that any text this similar has one of them among its own rarest."""
+    order = np.lexsort((found, frequency[(found % np.uint64(COUNTERS)).astype(np.int64)]))
+    return found[order[: len(found) - math.ceil(similarity * len(found) - SLACK) + 1]]
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Fingerprint, a hash of the whole word sequence, number of different shingles, passages, and rarest shingles of each row."""
+    sent = docs.sparkSession.sparkContext.broadcast(shingle_frequencies(docs, id_col, text_col, words))  # COUNTERS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -176,7 +211,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             texts = [x.as_py() for x in b.column(1)]
             same = [xxh64_intdigest(b" ".join(t.lower().split()), 11) for t in texts]
             cut = [signed(passages(t)) for t in texts]
-            yield batch(SKETCH, [b.column(0), signed([fingerprint(t, words) for t in texts]), signed(same), [len(set(shingle_hashes(t, words))) for t in texts], cut])
+            prints, n, rare = [], [], []
+            for t in texts:
+                hashes = shingle_hashes(t, words)
+                prints.append(majority(hashes))
+                found = np.fromiter(set(hashes), np.uint64)
+                n.append(len(found))
+                rare.append(prefix(found, sent.value, similarity).view(np.int64))
+            yield batch(SKETCH, [b.column(0), signed(prints), signed(same), n, cut, rare])
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint"), as_bytes(F.col(text_col))), run, SKETCH)
 
@@ -184,12 +226,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): documents connected by pairs whose sets of word shingles have at least this Jaccard similarity.
 
-    Candidates come from the grid join of fingerprints within 5 bits, and, since edits move more bits than a grid can
-    bridge, from shared passages: of the documents with a passage each is compared with its neighbours in size and with
-    the first. All candidates are verified on their whole texts. Documents with the same words are one node from the
-    start; texts without words are all the same. Rows without an id get no component.
+    Two rounds, all candidates verified on their whole texts. The first links what is cheap to find: the grid join of
+    fingerprints within 5 bits, and of the documents with a passage each with its neighbours in size and with the first.
+    The second is exact: of two documents this similar, each has a shingle of the other among its rarest ones
+    (`prefix`), so all documents that share one there are candidates, unless the first round has connected them or size
+    and place of the shingle rule the similarity out. Documents with the same words are one node from the start; texts
+    without words are all the same. Rows without an id get no component.
     """
-    rows = checkpoint(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words))
+    rows = checkpoint(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, similarity))
     nodes = rows.groupBy("fp", "same", "n").agg(F.min("doc_id").alias("node"))
     nodes = checkpoint(nodes)
     # Fingerprints within the grid's reach, by the first node of each.
@@ -207,13 +251,41 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     known = pairs.join(of.toDF("a", "a_fp", "a_n"), "a").join(of.toDF("b", "b_fp", "b_n"), "b")
     likely = known.filter((distance(embedding(F.col("a_fp")), embedding(F.col("b_fp"))) <= FAR_BITS) & (distance(F.col("a_fp"), F.col("b_fp")) <= FAR_BITS))
     likely = checkpoint(likely.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b"))
-    links = _verified(likely, docs.select(F.col(id_col).cast("bigint").alias("id"), as_bytes(F.col(text_col)).alias("text")), words, similarity)
-    roots = components(spanning_forest(links))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), as_bytes(F.col(text_col)).alias("text"))
+    links = checkpoint(spanning_forest(_verified(likely, texts, words, similarity)))
+    roots = components(links)
+    more = checkpoint(spanning_forest(_verified(checkpoint(_prefix_pairs(rows, nodes, roots, similarity)), texts, words, similarity)))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     named = nodes.join(roots, "node", "left").select("fp", "same", "n", F.coalesce("root", "node").alias("component_id"))
     out = rows.join(named, ["fp", "same", "n"]).select("doc_id", "component_id")
     return out.unionByName(docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("component_id")))
 
 
+def _prefix_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots that share a shingle of their prefixes, where it can be their first shared one.
+
+    If it is, they share at most what is left from its places on. Of two prefixes the shorter text's may be cut at what
+    a partner of its own size leaves. A shingle whose documents all have one root needs no pair; rows of a frequent one
+    are dealt out to parts, and the shorter texts go to each part.
+    """
+    placed = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    held = checkpoint(rows.select(F.col("doc_id").alias("node"), "n", "prefix").join(placed, "node"))
+    each = held.select("node", "root", "n", F.posexplode("prefix").alias("at", "p"))
+    keys = each.groupBy("p").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    keys = checkpoint(keys.select("p", F.ceil(F.col("rows") / ORDERED_ROWS).alias("parts")))
+    each = each.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "p")
+    share = 2 * similarity / (1 + similarity)
+    short = each.filter(F.col("n") - F.col("at") >= share * F.col("n") - SLACK).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("s")
+    long = each.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("l")
+    s, l = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"l.{c}"))  # noqa: E731, E741
+    ordered = (s("n") < l("n")) | ((s("n") == l("n")) & (s("node") < l("node")))
+    possible = F.least(s("n") - s("at"), l("n") - l("at")) >= similarity / (1 + similarity) * (s("n") + l("n")) - SLACK
+    sized = s("n") >= similarity * l("n") - SLACK
+    met = short.join(long, (s("p") == l("p")) & (s("part") == l("part")) & (s("root") != l("root")) & ordered & sized & possible)
+    return met.select(F.least(s("node"), l("node")).alias("a"), F.greatest(s("node"), l("node")).alias("b")).distinct()
+
+
 def _similar(a: bytes, b: bytes, words: int, similarity: float) -> bool:
     s, t = set(shingle_hashes(a, words)), set(shingle_hashes(b, words))
     both = len(s & t)

@@ -95,6 +95,35 @@ def test_similar_documents(spark):
     assert got == connected(sets, links) | {None: None}
 
 
+def similar_case(spark, docs):
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in docs}
+    links = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(docs, DOCS)).collect()}
+    return got, connected(sets, links)
+
+
+def test_star_and_boilerplate(spark, monkeypatch):
+    r = random.Random(12)
+    text = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, docs = text(200), {}
+    for k in range(60):  # each 0.8 to the base in the middle and less to each other
+        copy = list(base)
+        for at in r.sample(range(0, 200, 5), 4):
+            copy[at] = text(1)[0]
+        docs[k + (k >= 30)] = copy
+    docs[30] = base
+    shared = text(120)  # three quarters of unrelated documents, and of two that are alike
+    for k in range(100, 140):
+        docs[k] = text(r.randint(30, 50)) + shared
+    docs[150] = [*docs[110][:-8], *text(8)]
+    docs = [(k, " ".join(w)) for k, w in docs.items()]
+    got, want = similar_case(spark, docs)
+    assert got == want and len({want[k] for k in range(61)}) == 1 and want[150] == want[110] and want[111] != want[110]
+    monkeypatch.setattr(simhash, "ORDERED_ROWS", 3)  # the way of shingles with very many documents
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert similar_case(spark, docs) == (want, want)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
