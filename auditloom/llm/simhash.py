@@ -249,6 +249,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     pairs = near.unionByName(beside.select("node", F.explode("others").alias("o")).filter("o is not null and o <> node").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))).distinct()
     of = nodes.select("node", "fp", "n")
     known = pairs.join(of.toDF("a", "a_fp", "a_n"), "a").join(of.toDF("b", "b_fp", "b_n"), "b")
+    # Repeats move a fingerprint but not the set of shingles, so far ones may be similar: they are left to the second round.
     likely = known.filter((distance(embedding(F.col("a_fp")), embedding(F.col("b_fp"))) <= FAR_BITS) & (distance(F.col("a_fp"), F.col("b_fp")) <= FAR_BITS))
     likely = checkpoint(likely.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), as_bytes(F.col(text_col)).alias("text"))

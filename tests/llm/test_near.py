@@ -124,6 +124,20 @@ def test_star_and_boilerplate(spark, monkeypatch):
     assert similar_case(spark, docs) == (want, want)
 
 
+def test_far_fingerprints(spark):
+    r = random.Random(13)
+    docs = []
+    for k in range(6):  # a short phrase many times in one copy: nearly the same shingles, another fingerprint
+        base = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(200)]
+        docs += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[:100] + base[97:100] * 400 + base[100:]))]
+        # As far from both, and one more of the first's fingerprint.
+        docs += [(10 * k + 2, " ".join(base + base[5:8] * 400)), (10 * k + 3, " ".join(base[100:] + base[:100]))]
+    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in docs}
+    assert any((prints[10 * k] ^ prints[10 * k + 1]).bit_count() > simhash.FAR_BITS for k in range(6))
+    got, want = similar_case(spark, docs)
+    assert got == want and all(want[10 * k + 1] == 10 * k for k in range(6))
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
