@@ -6,7 +6,8 @@ counts lean on those of its address suffix, these on those of the whole table. H
 counted too, by declared language and what the texts themselves say. A background class of independent bytes competes
 with the languages: where it wins, or no language is likely enough, the row isn't accepted.
 
-Models are fitted on a bounded, hashed sample of labelled texts; counts for priors cover every row.
+Models are fitted on a hashed sample of labelled texts, bounded for each label by itself, so that no language is lost as
+the table grows; counts for priors cover every row.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import as_bytes, batch, checkpoint, map_arrow, table
 from .html_text import extract_text
 
 BINS = 1 << 14
-#: Labelled documents that models are fitted on, about; most languages.
-SAMPLE_DOCS, MOST_LANGUAGES = 20_000, 64
+#: Documents of each label that its model is fitted on, about.
+LABEL_DOCS = 5_000
 #: Trigrams that count as independent evidence; more of them only sharpen what is already plain.
 EVIDENCE_GRAMS = 200
 #: Pseudo-counts of the levels: how many rows the level above is worth.
@@ -61,10 +62,16 @@ def independent(share: np.ndarray, draws: int = 1 << 21) -> np.ndarray:
 COUNTS = "language string, bin int, n bigint"
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probabilities of trigrams by language, the same for the background). The counts come to the driver: BINS numbers a language at most."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    drawn = docs.filter(F.col(label_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < round(share * 1_000_000)))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", label_docs: int = LABEL_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log-probabilities of trigrams by language, the same for the background), for every label whose documents have trigrams.
+
+    The counts come to the driver: BINS numbers a language at most.
+    """
+    label = F.col(label_col).cast("string")
+    labelled = docs.filter(label.isNotNull()).withColumn("_label", label)
+    shares = labelled.groupBy("_label").agg(F.least(F.lit(1.0), label_docs / F.count("*")).alias("_share"))
+    drawn = labelled.join(F.broadcast(shares), "_label")  # a row for each language, as the model has
+    drawn = drawn.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000_000)) < F.ceil(F.col("_share") * 1_000_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,20 +85,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 at = np.flatnonzero(own)
                 yield batch(COUNTS, [[label] * len(at), at.astype(np.int32), own[at]])
 
-    counted = map_arrow(drawn.select(F.col(label_col).cast("string"), as_bytes(F.col(text_col))), run, COUNTS)
+    counted = map_arrow(drawn.select("_label", as_bytes(F.col(text_col))), run, COUNTS)
     rows = checkpoint(counted.groupBy("language", "bin").agg(F.sum("n").alias("n")))
-    most = rows.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.language for r in most)
-    counts = np.zeros((len(languages), BINS + 256))
-    for r in rows.filter(F.col("language").isin(languages)).toLocalIterator():
-        counts[languages.index(r.language), r.bin] = r.n
+    languages = sorted(r.language for r in rows.select("language").distinct().collect())
+    counts, place = np.zeros((len(languages), BINS + 256)), {x: k for k, x in enumerate(languages)}
+    for r in rows.toLocalIterator():
+        counts[place[r.language], r.bin] = r.n
     grams, single = counts[:, :BINS] + 0.1, counts[:, BINS:].sum(axis=0) + 0.1
     return languages, np.log(grams / grams.sum(axis=1, keepdims=True)), independent(single / single.sum())
 
 
 def text_scores(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
     """`rows` without the text, with `scores` (mean log-likelihood of a trigram by language, then background) and `grams`."""
-    sent = rows.sparkSession.sparkContext.broadcast(np.vstack([model[1], model[2]]).astype(np.float32))  # bounded by MOST_LANGUAGES
+    sent = rows.sparkSession.sparkContext.broadcast(np.vstack([model[1], model[2]]).astype(np.float32))  # BINS numbers a language
     others = [f for f in rows.schema.fields if f.name != text_col]
     schema = T.StructType([*others, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("grams", T.LongType())])
 
@@ -116,10 +122,10 @@ def _counts(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("_said") == k, 1.0).otherwise(0.0)) for k in range(n)]).alias(name))
 
 
-def _smoothed(counts: Column, above: Column, weight: float, n: int) -> Column:
+def _smoothed(counts: Column, above: Column, weight: float) -> Column:
     """Shares of an array of counts that lean on the shares above with a pseudo-count."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.array(*[(F.coalesce(counts[k], F.lit(0.0)) + weight * above[k]) / (F.coalesce(total, F.lit(0.0)) + weight) for k in range(n)])
+    return F.transform(above, lambda a, k: (F.coalesce(counts[k], F.lit(0.0)) + weight * a) / (F.coalesce(total, F.lit(0.0)) + weight))
 
 
 def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keys: list[str]) -> DataFrame:
@@ -127,12 +133,14 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
 
     Nulls count as empty, in keys they stay; an empty declaration, host or suffix is a value like any other for the
     counts, so it carries the evidence that such rows have shown. A text without letters is not accepted and has language
-    null. A tie goes to the language first in the alphabet.
+    null. A tie goes to the language first in the alphabet. Without any model every text with letters is accepted, with
+    language null: nothing speaks against it.
     """
     languages = model[0]
     n = len(languages)
     if not n:
-        return rows.select(*keys, "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+        scored = text_scores(rows.select(*keys, "declared", "text"), model)
+        return scored.select(*keys, "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), (F.col("grams") > 0).alias("accepted"))
     plain = rows.select(*keys, "text", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("declared", "host", "suffix")])
     plain = plain.withColumn("declared", F.regexp_extract("declared", "^[a-z]*", 0))
     scored = text_scores(plain, model)
@@ -143,15 +151,15 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     base = F.array(*[F.lit((x + 1) / (sum(overall) + n)) for x in overall])
     hosts = _counts(known, ["host", "suffix"], n, "_host")
     suffixes = _counts(known, ["suffix"], n, "_suffix")
-    priors = hosts.join(suffixes, "suffix").select("host", "suffix", _smoothed(F.col("_host"), _smoothed(F.col("_suffix"), base, SUFFIX_WEIGHT, n), HOST_WEIGHT, n).alias("_prior"))
+    priors = hosts.join(suffixes, "suffix").select("host", "suffix", _smoothed(F.col("_host"), _smoothed(F.col("_suffix"), base, SUFFIX_WEIGHT), HOST_WEIGHT).alias("_prior"))
     priors = checkpoint(priors)  # so that the join below shuffles both sides, and a hot host can be split
     # What the rows with this declaration say, against what all rows say: how much it speaks for each language.
-    trust = _counts(known, ["declared"], n, "_declared").select("declared", _smoothed(F.col("_declared"), base, DECLARED_WEIGHT, n).alias("_trust"))
+    trust = _counts(known, ["declared"], n, "_declared").select("declared", _smoothed(F.col("_declared"), base, DECLARED_WEIGHT).alias("_trust"))
     joined = scored.join(priors, ["host", "suffix"], "left").join(trust, "declared", "left")
     strength = F.least(F.col("grams"), F.lit(EVIDENCE_GRAMS)).cast("double")
-    fused = [strength * F.col("scores")[k] + F.log(F.coalesce(F.col("_prior")[k], base[k])) + F.log(F.coalesce(F.col("_trust")[k], base[k]) / base[k]) + math.log(1 - BACKGROUND_PRIOR) for k in range(n)]
-    fused.append(strength * F.col("scores")[n] + math.log(BACKGROUND_PRIOR))
-    out = joined.select(*keys, "declared", "grams", F.array(*fused).alias("_f"))
+    fused = F.transform(base, lambda b, k: strength * F.col("scores")[k] + F.log(F.coalesce(F.col("_prior")[k], b)) + F.log(F.coalesce(F.col("_trust")[k], b) / b) + math.log(1 - BACKGROUND_PRIOR))
+    background = strength * F.col("scores")[n] + math.log(BACKGROUND_PRIOR)
+    out = joined.select(*keys, "declared", "grams", F.concat(fused, F.array(background)).alias("_f"))
     best = F.array_max("_f")
     sums = F.aggregate(F.transform("_f", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
     at = F.array_position("_f", best).cast("int")

@@ -117,3 +117,22 @@ def test_priors_decide_short_texts(spark):
     rows = [(k, " ".join(WORDS["de"]), "de", "h.de", "de") for k in range(60)] + [(100, "wort", "", "h.de", "de"), (101, "wort", "", "h.fr", "fr")] + [(200 + k, " ".join(WORDS["fr"]), "fr", "h.fr", "fr") for k in range(60)]
     got = {r.k: r.language for r in language_id.identify(spark.createDataFrame(rows, "k int, text string, declared string, host string, suffix string"), model, ["k"]).collect()}
     assert got[100] == "de" and got[101] == "fr"
+
+
+def test_every_label_has_a_model(spark):
+    r, schema = random.Random(21), "doc_id bigint, text string, lang string, source string"
+    words = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(12)] for k in range(70)}
+    text = lambda lang: " ".join(r.choice(words[lang]) for _ in range(40))
+    rare = [(k, text(lang), lang, "h") for k, lang in enumerate(words)]
+    often = [(1000 + k, text("l00"), "l00", "h") for k in range(400)] + [(5000 + k, text("l00"), None, "h") for k in range(400)]
+    docs = spark.createDataFrame(rare + often, schema)
+    model = language_id.fit(docs, label_docs=20)
+    assert model[0] == sorted(words)
+    got = {x.doc_id: x for x in language_id.identify(language_id.document_evidence(docs), model, ["doc_id"]).collect()}
+    assert all(got[k].language == lang and got[k].accepted for k, _, lang, _ in rare)
+
+
+def test_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words here", None, "h"), (2, "123 !!", None, "h"), (3, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    got = {x.doc_id: (x.language, x.accepted) for x in language_id.identify(language_id.document_evidence(docs), language_id.fit(docs), ["doc_id"]).collect()}
+    assert got == {1: (None, True), 2: (None, False), 3: (None, False)}
