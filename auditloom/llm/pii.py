@@ -87,13 +87,30 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
 
 
 _AT_WORD = re.compile(r"(?<![\w.+-])[\w.+-]{1,64} ?[\[(](?:at|AT)[\])] ?[\w-]{1,63}(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?[\w-]{2,63})+|(?<![\w.+-])[\w.+-]{1,64} at [\w-]{1,63}(?: dot [\w-]{2,63})+")
-_NUMBER = re.compile(r"[0-9][0-9 ()./:-]{5,40}[0-9]")
-_KEYED = re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})")
+_NUMBER = re.compile(r"[0-9][0-9 ()./:-]*")
+_DIGITS = re.compile(r"[0-9]+")
+#: Digits of a number that is proposed.
+LEAST_DIGITS, MOST_DIGITS = 9, 19
+_KEYED = re.compile(r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")
 _KEY_WORDS = ("token", "passw", "pwd", "secret", "key")
-_LONG = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}+={0,2}(?![A-Za-z0-9_/+-])")
+_LONG = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![A-Za-z0-9_/+-])")
 _ID = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])")
 
 
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of every run of neighbouring digit groups with a wanted number of digits; at most MOST_DIGITS for each start."""
+    for m in _NUMBER.finditer(text):
+        groups = [g.span() for g in _DIGITS.finditer(text, m.start(), m.end())]
+        for k, (start, _) in enumerate(groups):
+            n = 0
+            for s, end in groups[k : k + MOST_DIGITS]:
+                n += end - s
+                if n > MOST_DIGITS:
+                    break
+                if n >= LEAST_DIGITS:
+                    yield start, end, n
+
+
 def candidates(text: str) -> Iterator[Span]:
     """Overlapping proposals; each generator is cheap to rule out for a text without its signs."""
     if "@" in text:
@@ -107,16 +124,16 @@ def candidates(text: str) -> Iterator[Span]:
         for m in _KEYED.finditer(text):
             yield "secret", m.start(1), m.end(1)
     if _DIGIT.search(text):
-        for m in _NUMBER.finditer(text):
-            start, n = m.start(), len(digits_of(m[0]))
-            while start and text[start - 1] in "+(" and m.start() - start < 2:
+        for first, end, n in numbers(text):
+            start = first
+            while start and text[start - 1] in "+(" and first - start < 2:
                 start -= 1
-            if m[0].count(".") >= 3:
-                yield "ip", m.start(), m.end()
-            if 9 <= n <= 15:
-                yield "phone", start, m.end()
-            if 12 <= n <= 19:
-                yield "card", m.start(), m.end()
+            if text.count(".", first, end) >= 3:
+                yield "ip", first, end
+            if n <= 15:
+                yield "phone", start, end
+            if n >= 12:
+                yield "card", first, end
         for m in _LONG.finditer(text):
             if _DIGIT.search(m[0]) and not m[0].isdecimal():
                 yield "secret", m.start(), m.end()
@@ -125,13 +142,15 @@ def candidates(text: str) -> Iterator[Span]:
 
 
 _CONTEXT = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "pay", "credit"), "phone": ("tel", "phone", "call", "fax", "mobil"), "secret": _KEY_WORDS, "id": ("ssn", "iban", "social", "account", "tax")}
-N_FEATURES = 22
+#: Another number right beside.
+_BESIDE_BEFORE, _BESIDE_AFTER = re.compile(r"[0-9][ ()./:-]+\+?\Z"), re.compile(r"[ ()./:-]+[0-9]")
+N_FEATURES = 27
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the span and the characters around it."""
     s, before, after = text[start:end], text[max(0, start - 24) : start], text[end : end + 8]
-    d = digits_of(s)
+    d, groups = digits_of(s), _DIGITS.findall(s)
     n, letters, upper = len(s), sum(c.isalpha() for c in s), sum(c.isupper() for c in s)
     share = [s.count(c) / n for c in set(s)]
     parts = [p for p in s.split(".") if p]
@@ -141,6 +160,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(s[0] == "+" or before[-1:] == "+"), s.count("."), s.count("-"), s.count(" "), float("@" in s), max((len(p) for p in parts), default=0),
         float(len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) < 4 and int(p) < 256 for p in parts)), float(all(c in "0123456789abcdefABCDEF" for c in s)),
         float(any(w in low for w in _CONTEXT[kind])), float(before[-1:] in "\"'=:"), float(before[-1:].isalnum()), float(after[:1].isalnum()), float("(" in s or "(at" in s.lower() or " at " in s),
+        max(map(len, groups), default=0), len(groups), s.count(":") + s.count("/"), float(_BESIDE_BEFORE.search(before) is not None), float(_BESIDE_AFTER.match(after) is not None),
     ]
 
 
@@ -178,6 +198,28 @@ def _written(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             continue
         x.append(features(before + s + " " + word(), kind, len(before), len(before) + len(s)))
         y.append(k % 2)
+    # Numbers beside each other: runs of groups that are parts of times, tables and decimals, and whole numbers in a row.
+    def row(seps: str) -> str:
+        return "".join(digits(r.randint(1, 5)) + r.choice(seps) for _ in range(r.randint(6, 10)))[:-1]
+
+    def times() -> str:
+        return " ".join(r.choice([f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(2)}/{digits(2)}/{r.randint(1900, 2030)}"]) for _ in range(r.randint(2, 4)))
+
+    ones = [("card", card), ("phone", lambda: f"+{r.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), ("phone", lambda: f"+{digits(2)} {digits(3)} {digits(7)}")]
+    for k in range(n // 2):
+        head, tail = " ".join(word() for _ in range(3)) + " ", " " + word()
+        if k % 2:
+            kind, make = r.choice(ones)
+            s, other = make(), r.choice([make, lambda: digits(16), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4))])()
+            text, start = (head + s + " " + other + tail, len(head)) if r.random() < 0.5 else (head + other + " " + s + tail, len(head) + len(other) + 1)
+            spans = [(kind, start, start + len(s))]
+        else:
+            text = head + r.choice([times, lambda: row(" "), lambda: row(" .-:/"), lambda: row(". "), lambda: row(" -")])() + tail
+            kind = r.choice(["card", "phone"])
+            spans = [(kind, a, b) for a, b, m in numbers(text) if (12 <= m if kind == "card" else m <= 15)]
+            spans = r.sample(spans, min(2, len(spans)))
+        x += [features(text, *span) for span in spans]
+        y += [k % 2] * len(spans)
     return np.array(x, float), np.array(y, float)
 
 

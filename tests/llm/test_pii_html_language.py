@@ -55,6 +55,19 @@ def test_added_spans(model):
     assert len(base) == 300 and not added
 
 
+def test_numbers_side_by_side_and_long_tokens(model):
+    found = lambda text: [(k, text[s:e]) for k, s, e in pii.find_spans(text, *model)[1]]
+    assert found("pay 7536784127813050 4845168114407329 now") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert found("Des +1 (826) 555-4081 190.137.223.204 du") == [("phone", "+1 (826) 555-4081")]
+    text, token = "1 22 333 4444 55555 666666", "a1B2c3D4" * 50
+    got = {text[s:e] for s, e, _ in pii.numbers(text)}
+    groups = text.split()
+    assert got == {x for i in range(6) for j in range(i, 6) for x in [" ".join(groups[i : j + 1])] if 9 <= len(x.replace(" ", "")) <= 19}
+    for text in (f"see {token} end", f'token = "{token}" end'):
+        assert ("secret", text.index(token), text.index(token) + len(token)) in set(pii.candidates(text))
+    assert max(map(len, (list(pii.numbers(t)) for t in ("1 " * 20_000, "1" * 40_000)))) <= 20_000 * 19
+
+
 def test_pii_rows(spark):
     docs = spark.createDataFrame([(1, "é a@b.cd 1.2.3.4"), (2, None), (3, "no"), (None, "+1 (555) 123-4567")], "doc_id bigint, text string").withColumn("spans", pii.F.lit(1))
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
