@@ -169,9 +169,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
     return out.select(*keys, "declared", language.alias("language"), F.when(F.col("grams") > 0, F.col("posterior")).otherwise(0.0).alias("posterior"), (seen & (F.col("posterior") >= LEAST_POSTERIOR)).alias("accepted"))
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
+def document_evidence(docs: DataFrame, keys: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """Documents declare their `lang`; their `source` is the host."""
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
+    return docs.select(*keys, "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit("").alias("suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

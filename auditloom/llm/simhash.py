@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ WORDS, BITS = 4, 4
 SEED = 42
 SEGMENTS, GROUPS = 32, 3
 LOW_BITS = 0x5555555555555555
-#: Shingles whose bits are summed at once.
-SLICE = 1 << 15
+BYTE_ONES = 0x0101010101010101
+#: Words whose shingles are worked on at once, or those of one longer text.
+WORDS_AT_ONCE = 1 << 17
 #: Stands for the id of fingerprints whose rows have none; real ids are below.
 NO_ID = 1 << 62
 
@@ -52,17 +54,39 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint for each run of hashes, whose lengths are `sizes`: the bits set in over half of them.
+
+    Eight bits at a time are spread over the bytes of a word, so that plain additions count them; a byte holds 255.
+    """
+    out = np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        at = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        parts = np.flatnonzero(at % 255 == 0)
+        spread = np.stack([np.add.reduceat((hashes >> np.uint64(s)) & np.uint64(BYTE_ONES), parts) for s in range(8)], axis=1)
+        counts = spread.astype("<u8").view(np.uint8).reshape(len(parts), 8, 8).astype(np.int64)
+        counts = np.add.reduceat(counts, np.flatnonzero(at[parts] == 0), axis=0).transpose(0, 2, 1).reshape(len(some), 64)
+        out[some] = np.packbits(2 * counts > sizes[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Unsigned 64 bits: those set in over half of the hashes."""
-    return majority(shingle_hashes(text, words))
+    """Unsigned 64 bits of one text."""
+    hashes = shingle_hashes(text, words)
+    return int(majorities(np.array(hashes, np.uint64), np.array([len(hashes)]))[0])
 
 
-def majority(hashes: list[int]) -> int:
-    total = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), SLICE):
-        part = np.array(hashes[k : k + SLICE], np.uint64).astype(">u8")
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+def _groups_of(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about WORDS_AT_ONCE words, judged by their bytes, or of one longer text."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > 6 * WORDS_AT_ONCE:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    yield group
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -70,8 +94,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64).view(np.int64)
-            yield batch(PRINTS, [b.column(0), prints])
+            prints = []
+            for texts in _groups_of([x.as_py() for x in b.column(1)]):
+                hashes = [shingle_hashes(t, words) for t in texts]
+                prints.append(majorities(np.fromiter(chain.from_iterable(hashes), np.uint64), np.array(list(map(len, hashes)))))
+            yield batch(PRINTS, [b.column(0), np.concatenate(prints).view(np.int64)])
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint"), as_bytes(F.col(text_col))), run, PRINTS)
 
@@ -147,120 +174,220 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a passage on average, for similar_documents(); neighbours that a passage's document is compared with first; rows of a key that stand together; bits beyond which documents aren't compared first. None of these decides what is found.
 PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS = 16, 4, 5_000, 22
 #: Counters of how frequent shingles are, and documents that they are counted on, about. They order shingles; any order finds the same.
-COUNTERS, COUNTED_DOCS = 1 << 20, 100_000
+COUNTERS, COUNTED_DOCS = 1 << 20, 30_000
 #: Slack of the bounds, so that rounding never loses a pair.
 SLACK = 1e-6
-#: Candidate documents up to which their ids are broadcast to fetch the texts.
+#: Candidate documents up to which their keys are broadcast to fetch the texts.
 BROADCAST_IDS = 500_000
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 200_000
+#: An odd number whose powers tell the places of words in a run apart, its inverse modulo 2^64, and a multiplier that mixes.
+PLACE = 0x9E3779B97F4A7C15
+PLACE_INVERSE, MIX = pow(PLACE, -1, 1 << 64), 0xD6E8FEB86659FD93
 
-SKETCH = "doc_id bigint, fp bigint, same bigint, n bigint, passages array<bigint>, prefix array<bigint>"
+SKETCH = "rid bigint, doc_id bigint, key bigint, fp bigint, same bigint, n bigint, passages array<bigint>, prefix array<bigint>"
 
 
-def passages(text: bytes) -> list[int]:
-    """Hashes of the pieces between words that their own hash marks as ends, so that equal passages are cut alike."""
-    from xxhash import xxh64_intdigest
+class WordHashes(dict):
+    """XXH64 of each word, kept for the next time it comes."""
 
-    out, begin = set(), 0
-    found = text.lower().split()
-    ends: dict[bytes, bool] = {}
-    for k, w in enumerate(found, 1):
-        end = ends.get(w)
-        if end is None:
-            end = ends[w] = xxh64_intdigest(w, 7) % PASSAGE_WORDS == 0
-        if end or k == len(found):
-            out.add(xxh64_intdigest(b" ".join(found[begin:k]), SEED))
-            begin = k
-    return list(out)
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        out = self[word] = xxh64_intdigest(word, 7)
+        return out
 
-def shingle_frequencies(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """How many of the drawn rows have a shingle of each counter: a table of fixed size."""
+
+class Runs:
+    """Hashes of runs of words in several texts, by differences of one prefix sum: word hashes times powers of an odd number."""
+
+    def __init__(self, texts: list[bytes], kept: WordHashes):
+        found = [t.lower().split() for t in texts]
+        self.sizes = np.array(list(map(len, found)), np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.words = np.fromiter(map(kept.__getitem__, chain.from_iterable(found)), np.uint64, int(self.sizes.sum()))
+        powers = np.cumprod(np.full(len(self.words), PLACE, np.uint64))
+        self.sums = np.append(np.uint64(0), np.cumsum(self.words * powers))
+        self.back = np.cumprod(np.full(len(self.words) + 1, PLACE_INVERSE, np.uint64))
+
+    def hashes(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        h = (self.sums[after] - self.sums[first]) * self.back[first]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(MIX)
+        return h ^ (h >> np.uint64(29))
+
+    def shingles(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, how many of each text) of all runs of `words` words; a shorter text is one run, one without words none."""
+        counts = np.where(self.sizes > words, self.sizes - words + 1, np.minimum(self.sizes, 1))
+        first = np.repeat(self.begins, counts) + _places(counts)
+        return self.hashes(first, np.minimum(first + words, np.repeat(self.begins + self.sizes, counts))), counts
+
+    def wholes(self) -> np.ndarray:
+        return self.hashes(self.begins, self.begins + self.sizes)
+
+    def passages(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, texts) of the pieces between words that their own hash marks as ends, so that equal passages are cut alike."""
+        end = self.words % np.uint64(PASSAGE_WORDS) == 0
+        some = self.sizes > 0
+        end[(self.begins + self.sizes)[some] - 1] = True
+        after = np.flatnonzero(end) + 1
+        text_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        return distinct(self.hashes(np.append(0, after[:-1]) if len(after) else after, after), text_of[after - 1])
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the runs of these lengths."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _by_text(order: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """`order` brought into the order of texts, otherwise as it is."""
+    of = text_of[order]
+    return order[np.argsort(of.astype(np.uint16) if len(of) and int(text_of.max()) < 1 << 16 else of, kind="stable")]
+
+
+def distinct(hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts) without repeats in a text, by text, then hash."""
+    order = _by_text(np.argsort(hashes), text_of)
+    h, t = hashes[order], text_of[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
+    return h[new], t[new]
+
+
+def distinct_shingles(runs: Runs, words: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes, counts = runs.shingles(words)
+    return distinct(hashes, np.repeat(np.arange(len(counts)), counts))
+
+
+def _drawn(docs: DataFrame, id_col: str) -> DataFrame:
+    """About COUNTED_DOCS rows, by a hash of their ids."""
     share = min(1.0, COUNTED_DOCS / max(1, docs.count()))
-    drawn = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    return docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+
+
+def shingle_frequencies(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
+    """How many shingles of the drawn rows fall on each counter: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(COUNTERS, np.int64)
+        sums, kept = np.zeros(COUNTERS, np.int64), WordHashes()
         for b in batches:
-            for x in b.column(0):
-                found = np.fromiter(set(shingle_hashes(x.as_py(), words)), np.uint64)
-                np.add.at(sums, (found % np.uint64(COUNTERS)).astype(np.int64), 1)
+            for texts in _groups_of([x.as_py() for x in b.column(0)]):
+                hashes, _ = Runs(texts, kept).shingles(words)
+                sums += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(sums)
         yield batch("bin int, n bigint", [at.astype(np.int32), sums[at]])
 
-    counted = map_arrow(drawn.select(as_bytes(F.col(text_col))), run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int32)
-    out[counted["bin"].to_numpy()] = np.minimum(counted["n"].to_numpy(), np.iinfo(np.int32).max)
+    drawn = _drawn(docs, id_col).select(as_bytes(F.col(text_col)))
+    counted = map_arrow(drawn, run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    out = np.zeros(COUNTERS, np.uint16)
+    out[counted["bin"].to_numpy()] = np.minimum(counted["n"].to_numpy(), np.iinfo(np.uint16).max)
     return out
 
 
-def prefix(found: np.ndarray, frequency: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest of a text's different shingles, so many that any text this similar has one of them among its own rarest."""
-    order = np.lexsort((found, frequency[(found % np.uint64(COUNTERS)).astype(np.int64)]))
-    return found[order[: len(found) - math.ceil(similarity * len(found) - SLACK) + 1]]
+def prefixes(found: np.ndarray, text_of: np.ndarray, n: np.ndarray, frequency: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many of each text): the rarest of a text's n different shingles, so many that any text this similar has one of them among its own rarest."""
+    order = _by_text(np.argsort(frequency[(found % np.uint64(COUNTERS)).astype(np.int64)], kind="stable"), text_of)
+    most = np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
+    first = _places(n) < np.repeat(most, n)
+    return found[order][first], most
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Fingerprint, a hash of the whole word sequence, number of different shingles, passages, and rarest shingles of each row."""
+    """Of each row a number of its own, the hash of its text, its fingerprint, a hash of its words, number of different shingles, passages, and rarest shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(shingle_frequencies(docs, id_col, text_col, words))  # COUNTERS numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), values.view(np.int64))
 
-        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = WordHashes()
         for b in batches:
-            texts = [x.as_py() for x in b.column(1)]
-            same = [xxh64_intdigest(b" ".join(t.lower().split()), 11) for t in texts]
-            cut = [signed(passages(t)) for t in texts]
-            prints, n, rare = [], [], []
-            for t in texts:
-                hashes = shingle_hashes(t, words)
-                prints.append(majority(hashes))
-                found = np.fromiter(set(hashes), np.uint64)
-                n.append(len(found))
-                rare.append(prefix(found, sent.value, similarity).view(np.int64))
-            yield batch(SKETCH, [b.column(0), signed(prints), signed(same), n, cut, rare])
-
-    return map_arrow(docs.select(F.col(id_col).cast("bigint"), as_bytes(F.col(text_col))), run, SKETCH)
+            at = 0
+            for texts in _groups_of([x.as_py() for x in b.column(3)]):
+                runs = Runs(texts, kept)
+                hashes, counts = runs.shingles(words)
+                found, text_of = distinct(hashes, np.repeat(np.arange(len(texts)), counts))
+                n = np.bincount(text_of, minlength=len(texts))
+                cut, cut_of = runs.passages()
+                prints, same = majorities(hashes, counts).view(np.int64), runs.wholes().view(np.int64)
+                rows = b.slice(at, len(texts))
+                at += len(texts)
+                yield batch(SKETCH, [*rows.columns[:3], prints, same, n, lists(cut, np.bincount(cut_of, minlength=len(texts))), lists(*prefixes(found, text_of, n, sent.value, similarity))])
+
+    text = as_bytes(F.col(text_col))
+    return map_arrow(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")), run, SKETCH)
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): documents connected by pairs whose sets of word shingles have at least this Jaccard similarity.
+    """(doc_id, key, component_id, stays) for each row: documents connected by pairs whose sets of word shingles have at least this Jaccard similarity.
 
     Two rounds, all candidates verified on their whole texts. The first links what is cheap to find: the grid join of
     fingerprints within 5 bits, and of the documents with a passage each with its neighbours in size and with the first.
     The second is exact: of two documents this similar, each has a shingle of the other among its rarest ones
-    (`prefix`), so all documents that share one there are candidates, unless the first round has connected them or size
-    and place of the shingle rule the similarity out. Documents with the same words are one node from the start; texts
-    without words are all the same. Rows without an id get no component.
+    (`prefixes`), so all documents that share one there are candidates, unless the first round has connected them or size
+    and place of the shingle rule the similarity out.
+
+    Rows with the same words are one node from the start; texts without words, null ones too, are all the same. key is
+    the XXH64 of a row's text. component_id is the least doc_id of the rows connected, null where none has one. Rows
+    without an id and rows that repeat take part like any other. stays marks the row of least doc_id (null last), then
+    least key, in a component; rows that repeat with id and text are marked alike. An empty table gives no rows.
+    """
+    rows = checkpoint(sketches(docs, id_col, text_col, words, similarity))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    by_rid = lambda c: F.min_by(c, "rid").alias(c)
+    nodes = checkpoint(rows.groupBy("fp", "same", "n").agg(F.min("rid").alias("node"), by_rid("doc_id"), by_rid("key"), first))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(as_bytes(F.col(text_col))).alias("key"), as_bytes(F.col(text_col)).alias("text"))
+    verified = lambda pairs: checkpoint(spanning_forest(_verified(pairs, nodes, texts, words, similarity)))
+    links = verified(_likely_pairs(rows, nodes, similarity))
+    roots = components(links)
+    more = verified(checkpoint(_prefix_pairs(rows, nodes, roots, similarity)))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    placed = nodes.join(roots, "node")
+    of_root = checkpoint(placed.groupBy("root").agg(F.min("first").alias("_first")))
+    grouped = nodes.join(placed.join(of_root, "root").select("node", "_first"), "node", "left").select("fp", "same", "n", F.coalesce("_first", "first").alias("first"))
+    out = rows.join(grouped, ["fp", "same", "n"])
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key"))
+    return out.select("doc_id", "key", F.col("first.doc_id").alias("component_id"), stays.alias("stays"))
+
+
+def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of similar_documents(): that of least doc_id (null last), then least key of the text.
+
+    Of rows that repeat with id and text the one of least hash over all columns stays. Columns keep their names, whatever they are.
     """
-    rows = checkpoint(sketches(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words, similarity))
-    nodes = rows.groupBy("fp", "same", "n").agg(F.min("doc_id").alias("node"))
-    nodes = checkpoint(nodes)
+    found = similar_documents(docs, words, similarity, id_col, text_col).filter("stays")
+    kept = checkpoint(found.groupBy("doc_id", "key").agg(F.count("*").alias("copies")))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(as_bytes(F.col(text_col))).alias("_key"))
+    out = packed.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")))
+    if not kept.filter("copies > 1").isEmpty():
+        hashed = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+        repeated = out.filter("copies > 1").groupBy("_id", "_key").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in hashed])).alias("row"))
+        out = out.filter("copies = 1").select("row").unionByName(repeated.select("row"))
+    return out.select("row.*")
+
+
+def _likely_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that are cheap to find and probably similar."""
     # Fingerprints within the grid's reach, by the first node of each.
     prints = nodes.groupBy("fp").agg(F.min("node").alias("node")).withColumn("code", embedding(F.col("fp")))
     near = links_within(prints, 2 * GROUPS - 1).unionByName(nodes.join(prints.select("fp", F.col("node").alias("a")), "fp").filter("node <> a").select("a", F.col("node").alias("b")))
-    # Passages that several nodes have, each in parts of bounded size, ordered by size.
-    each = nodes.join(rows.select(F.col("doc_id").alias("node"), "passages"), "node").filter("n > 0").select("node", "n", F.explode("passages").alias("p"))
+    # Passages that several nodes have: each node with the first, and where there are more than two, in parts of bounded size, with the next in size.
+    each = nodes.select("node").join(rows.select(F.col("rid").alias("node"), "passages", "n"), "node").select("node", "n", F.explode("passages").alias("p"))
     shared = checkpoint(each.groupBy("p").agg(F.count("*").alias("rows"), F.min("node").alias("a")).filter("rows > 1"))
-    parts = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / ORDERED_ROWS))
+    held = each.join(shared, "p")
+    with_first = held.filter("node <> a").select("a", F.col("node").alias("b"))
     in_order = Window.partitionBy("p", "_part").orderBy("n", "node")
-    beside = each.join(shared, "p").withColumn("_part", parts)
-    beside = beside.select("node", F.array("a", *[F.lead("node", k).over(in_order) for k in range(1, NEIGHBOURS + 1)]).alias("others"))
-    pairs = near.unionByName(beside.select("node", F.explode("others").alias("o")).filter("o is not null and o <> node").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))).distinct()
+    beside = held.filter("rows > 2").withColumn("_part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / ORDERED_ROWS)))
+    beside = beside.select("node", F.array(*[F.lead("node", k).over(in_order) for k in range(1, NEIGHBOURS + 1)]).alias("others"))
+    beside = beside.select("node", F.explode("others").alias("o")).filter("o is not null").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+    pairs = near.unionByName(with_first).unionByName(beside).distinct()
     of = nodes.select("node", "fp", "n")
     known = pairs.join(of.toDF("a", "a_fp", "a_n"), "a").join(of.toDF("b", "b_fp", "b_n"), "b")
     # Repeats move a fingerprint but not the set of shingles, so far ones may be similar: they are left to the second round.
     likely = known.filter((distance(embedding(F.col("a_fp")), embedding(F.col("b_fp"))) <= FAR_BITS) & (distance(F.col("a_fp"), F.col("b_fp")) <= FAR_BITS))
-    likely = checkpoint(likely.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), as_bytes(F.col(text_col)).alias("text"))
-    links = checkpoint(spanning_forest(_verified(likely, texts, words, similarity)))
-    roots = components(links)
-    more = checkpoint(spanning_forest(_verified(checkpoint(_prefix_pairs(rows, nodes, roots, similarity)), texts, words, similarity)))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    named = nodes.join(roots, "node", "left").select("fp", "same", "n", F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(named, ["fp", "same", "n"]).select("doc_id", "component_id")
-    return out.unionByName(docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("component_id")))
+    return checkpoint(likely.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - SLACK).select("a", "b"))
 
 
 def _prefix_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -271,7 +398,7 @@ def _prefix_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     are dealt out to parts, and the shorter texts go to each part.
     """
     placed = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    held = checkpoint(rows.select(F.col("doc_id").alias("node"), "n", "prefix").join(placed, "node"))
+    held = checkpoint(rows.select(F.col("rid").alias("node"), "n", "prefix").join(placed, "node"))
     each = held.select("node", "root", "n", F.posexplode("prefix").alias("at", "p"))
     keys = each.groupBy("p").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     keys = checkpoint(keys.select("p", F.ceil(F.col("rows") / ORDERED_ROWS).alias("parts")))
@@ -287,21 +414,27 @@ def _prefix_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     return met.select(F.least(s("node"), l("node")).alias("a"), F.greatest(s("node"), l("node")).alias("b")).distinct()
 
 
-def _similar(a: bytes, b: bytes, words: int, similarity: float) -> bool:
-    s, t = set(shingle_hashes(a, words)), set(shingle_hashes(b, words))
-    both = len(s & t)
-    return both >= similarity * (len(s) + len(t) - both)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (doc_id, key, text) are similar enough."""
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "key"), "node"))
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    wanted = texts.join(small, (texts["key"] == small["key"]) & texts["doc_id"].eqNullSafe(small["doc_id"]))
+    wanted = wanted.groupBy("node").agg(F.first("text").alias("text"))  # rows that repeat with id and text
     both = pairs.join(wanted.toDF("a", "a_text"), "a").join(wanted.toDF("b", "b_text"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = WordHashes()
         for x in batches:
-            near = [_similar(s.as_py(), t.as_py(), words, similarity) for s, t in zip(x.column(2), x.column(3), strict=True)]
+            a, b = x.column(0).to_numpy(), x.column(1).to_numpy()
+            ids, at = np.unique(np.append(a, b), return_index=True)
+            sets: list[np.ndarray] = []
+            for group in _groups_of([(x.column(2)[k] if k < len(a) else x.column(3)[k - len(a)]).as_py() for k in at.tolist()]):
+                found, text_of = distinct_shingles(Runs(group, kept), words)
+                sets += np.split(found, np.cumsum(np.bincount(text_of, minlength=len(group)))[:-1])
+            near = []
+            for s, t in zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist(), strict=True):
+                both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
+                near.append(both >= similarity * (len(sets[s]) + len(sets[t]) - both) - SLACK)
             yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")

@@ -89,14 +89,58 @@ def test_similar_documents(spark):
                 copy[k] = word()
             docs.append(copy)
     docs = [(k, " ".join(w)) for k, w in enumerate(docs)] + [(900, ""), (901, None), (None, "x y")]
-    sets = {i: set(simhash.shingle_hashes((t or "").encode(), 5)) for i, t in docs if i is not None}
-    links = [(i, j) for i in sets for j in sets if j < i and (sets[i] | sets[j] or True) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    sets = {i: shingle_set(t) for i, t in docs if i is not None}
+    links = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(docs, DOCS)).collect()}
     assert got == connected(sets, links) | {None: None}
 
 
+def shingle_set(text, words=5):
+    """Shingles as strings; a shorter text is one."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def test_short_texts(spark):
+    r, docs = random.Random(21), []
+    for _ in range(60):  # texts of 1 to 100 words of a small vocabulary, and edited copies
+        base = [r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randint(1, 100))]
+        docs.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(r.randint(0, 2)):
+                copy[r.randrange(len(copy))] = "new" + r.choice("abc")
+            docs.append(copy[r.randint(0, 1) :])
+    got, want = similar_case(spark, [(k, " ".join(w)) for k, w in enumerate(docs)])
+    assert got == want and len(set(want.values())) < len(want) - 40
+
+
+def test_drop_similar(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, text, 1), (4, text, 1), (4, text, 2), (2, text.upper(), 3), (2, "other words here", 4), (2, text + " end", 5), (None, "other  words here", 6), (None, "alone", 7), (None, "alone", 7), (8, None, 8), (7, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `row` int")
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    got = sorted(x.row for x in kept.collect())
+    assert got in ([3, 4, 7, 9], [4, 5, 7, 9])  # of doc_id 2 one of two similar texts, told apart by their keys
+    repeated = spark.createDataFrame([(4, text, 1), (4, text, 1), (4, text, 2)], "doc_id bigint, text string, `row` int")
+    assert simhash.drop_similar(repeated).count() == 1
+    assert simhash.drop_similar(docs.limit(0)).count() == 0 and simhash.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_long_texts(spark, monkeypatch):
+    r = random.Random(31)
+    base = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    docs = [(1, " ".join(base)), (2, " ".join(base[:-3000])), (3, " ".join(r.sample(base, len(base)))), (4, "x " * 40_000)]
+    got, want = similar_case(spark, docs)
+    assert got == want == {1: 1, 2: 1, 3: 3, 4: 4}
+    monkeypatch.setattr(simhash, "WORDS_AT_ONCE", 10)
+    prints = {x.doc_id: x.fp & (1 << 64) - 1 for x in simhash.fingerprints(spark.createDataFrame(docs[1:], DOCS)).collect()}
+    assert prints == {i: brute_print(t, 4) for i, t in docs[1:]}
+
+
 def similar_case(spark, docs):
-    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in docs}
+    sets = {i: shingle_set(t) for i, t in docs}
     links = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(docs, DOCS)).collect()}
     return got, connected(sets, links)
