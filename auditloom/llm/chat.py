@@ -5,8 +5,8 @@ the text. Texts never yield reserved ids: control strings inside them are escape
 behind the first character; a string that already has n of them gets n + 1), so unescaping is exact. The loss mask is the
 prefix sum of +1 and -1 at the ends of the assistant's segments.
 
-Turns are formatted as they lie, in any task; only then do the rows of a conversation meet, sorted, and a stream folds
-them. A conversation of any length needs one batch of memory.
+Turns are formatted and read back as they lie, in any task; only then do the rows of a conversation meet, sorted, and a
+stream folds them. A conversation of any length needs one batch of memory, and its one task only feeds digests.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def format_turns(rows: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def with_token_starts(turns: DataFrame) -> DataFrame:
-    """Adds token_start: where a turn's ids begin in its conversation, by a running sum of the lengths before it."""
+    """Adds token_start: where a turn's ids begin in its conversation, by a running sum of the lengths before it; ties go by role, then formatted text."""
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "formatted").rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("token_start", F.coalesce(F.sum(F.size("input_ids").cast("bigint")).over(before), F.lit(0)))
 
@@ -116,40 +116,57 @@ DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint
 
 
 class _Fold:
-    """Running digests of one conversation, read back from its ids."""
+    """Running digests of one conversation."""
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.turns, self.loss = conv_id, hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = self.tokens = 0
 
-    def add(self, ids: np.ndarray, mask: np.ndarray, formatted: str, decode) -> None:
-        role, text, trained = read_back(ids, mask, decode)
+    def add(self, role: str, text: str, loss: str | None, chars: int, tokens: int) -> None:
         self.turns.update(f"{role}\n{text}\n".encode())
-        self.loss.update(trained.encode())
-        self.n_turns, self.loss_chars, self.chars, self.tokens = self.n_turns + 1, self.loss_chars + len(trained), self.chars + len(formatted), self.tokens + len(ids)
+        loss = text if loss is None else loss
+        self.loss.update(loss.encode())
+        self.n_turns, self.loss_chars, self.chars, self.tokens = self.n_turns + 1, self.loss_chars + len(loss), self.chars + chars, self.tokens + tokens
 
     def row(self) -> tuple:
         return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.tokens
 
 
+READ = "conv_id bigint, turn bigint, role string, text string, loss string, chars bigint, tokens bigint"
+
+
+def read_turns(turns: DataFrame, vocabulary: str) -> DataFrame:
+    """Role, text and loss text (null where it is the whole text) of the rows of format_turns(), read back from their ids and masks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = encoding(vocabulary).decode_bytes
+        for b in batches:
+            ids = [x.values.to_numpy() for x in b.column(2)]
+            made = [read_back(i, x.values.to_numpy(), decode) for i, x in zip(ids, b.column(3), strict=True)]
+            loss = [None if trained == text else trained for _, text, trained in made]
+            yield batch(READ, [b.column(0), b.column(1), [m[0] for m in made], [m[1] for m in made], loss, b.column(4), list(map(len, ids))])
+
+    return map_arrow(turns.select("conv_id", "turn", "input_ids", "loss_mask", F.length("formatted").cast("bigint")), run, READ)
+
+
 def conversation_digests(turns: DataFrame, vocabulary: str) -> DataFrame:
-    """One row for each conversation of format_turns(); turns that tie are taken by role, then by text. Rows without a conv_id are one conversation."""
+    """One row for each conversation of format_turns(); turns that tie are taken by role, then by text, both as read back. Rows without a conv_id are one conversation; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode, at = encoding(vocabulary).decode_bytes, None
+        at = None
         for b in batches:
             done = []
-            for k, conv_id in enumerate(b.column(0).to_pylist()):
+            for conv_id, _, *turn in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if at is None or at.conv_id != conv_id:
                     done += [at.row()] if at else []
                     at = _Fold(conv_id)
-                at.add(b.column(1)[k].values.to_numpy(), b.column(2)[k].values.to_numpy(), b.column(3)[k].as_py(), decode)
+                at.add(*turn)
             yield batch(DIGEST, list(zip(*done, strict=True)) or [[]] * 7)
         if at:
             yield batch(DIGEST, list(zip(at.row(), strict=True)))
 
-    together = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return map_arrow(together.select("conv_id", "input_ids", "loss_mask", "formatted"), run, DIGEST)
+    together = read_turns(turns, vocabulary).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_arrow(together, run, DIGEST)
 
 
 def byte_vocabulary() -> str:

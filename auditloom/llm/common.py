@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows in one Arrow batch of texts. Spark also closes a batch at spark.sql.execution.arrow.maxBytesPerBatch.
 TEXT_BATCH_ROWS = 1000
+#: Bytes of texts that numpy works on at once.
+BYTES_AT_ONCE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def groups_of(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about BYTES_AT_ONCE bytes, or of one longer text; one empty run of none."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > BYTES_AT_ONCE:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    yield group
+
+
 def as_bytes(col: Column) -> Column:
     """The UTF-8 bytes of a text, null as empty."""
     return F.coalesce(col, F.lit("")).cast("binary")

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_chat_format": chat.SQL,
-    "op7_repeats": repeats.op7_repeats,
+    "op7_repeats": repeats.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }

@@ -308,3 +308,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Bytes as pairs of hexadecimal digits; windows are cut from pieces, so that no long text is passed over for each of them.
+SQL = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) / 2 AS BIGINT) AS n FROM documents
+), pieces AS (
+  SELECT r, n, c, substr(h, 2 * c + 1, 2398) AS piece FROM (SELECT *, unnest(range(0, n - 199, 1000)) AS c FROM t)
+), windows AS (
+  SELECT r, c + k AS s, sha256(substr(piece, 2 * k + 1, 400)) AS w FROM (SELECT *, unnest(range(0, least(1000, n - 199 - c))) AS k FROM pieces)
+), repeated AS (
+  SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), starts AS (
+  SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before, lead(s) OVER (PARTITION BY r ORDER BY s) AS after FROM windows WHERE w IN (SELECT w FROM repeated)
+), counted AS (
+  SELECT r, CAST(sum(CASE WHEN after < s + 200 THEN after - s ELSE 200 END) AS BIGINT) AS n_removed, count(*) FILTER (before IS NULL OR s > before + 200) AS n_spans, max(s) + 200 AS last FROM starts GROUP BY r
+), kept AS (
+  SELECT r, string_agg(CASE WHEN before IS NULL THEN substr(h, 1, 2 * s) WHEN s > before + 200 THEN substr(h, 2 * (before + 200) + 1, 2 * (s - before - 200)) ELSE '' END, '' ORDER BY s) AS pieces FROM starts JOIN t USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN pieces IS NULL THEN h ELSE pieces || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN counted USING (r) LEFT JOIN kept USING (r)
+"""

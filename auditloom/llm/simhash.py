@@ -23,16 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpoint, map_arrow, table
+from .common import as_bytes, batch, checkpoint, groups_of, map_arrow, table
 from .components import components, spanning_forest
+from .words import Runs, by_text, distinct, places
 
 WORDS, BITS = 4, 4
 SEED = 42
 SEGMENTS, GROUPS = 32, 3
 LOW_BITS = 0x5555555555555555
 BYTE_ONES = 0x0101010101010101
-#: Words whose shingles are worked on at once, or those of one longer text.
-WORDS_AT_ONCE = 1 << 17
 #: Stands for the id of fingerprints whose rows have none; real ids are below.
 NO_ID = 1 << 62
 
@@ -77,25 +76,13 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(majorities(np.array(hashes, np.uint64), np.array([len(hashes)]))[0])
 
 
-def _groups_of(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Runs of texts of about WORDS_AT_ONCE words, judged by their bytes, or of one longer text."""
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t) > 6 * WORDS_AT_ONCE:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t)
-    yield group
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp) for each row, fp as a signed number. Null and empty texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = []
-            for texts in _groups_of([x.as_py() for x in b.column(1)]):
+            for texts in groups_of([x.as_py() for x in b.column(1)]):
                 hashes = [shingle_hashes(t, words) for t in texts]
                 prints.append(majorities(np.fromiter(chain.from_iterable(hashes), np.uint64), np.array(list(map(len, hashes)))))
             yield batch(PRINTS, [b.column(0), np.concatenate(prints).view(np.int64)])
@@ -179,82 +166,9 @@ COUNTERS, COUNTED_DOCS = 1 << 20, 30_000
 SLACK = 1e-6
 #: Candidate documents up to which their keys are broadcast to fetch the texts.
 BROADCAST_IDS = 500_000
-#: Words whose hashes a worker keeps.
-KEPT_WORDS = 200_000
-#: An odd number whose powers tell the places of words in a run apart, its inverse modulo 2^64, and a multiplier that mixes.
-PLACE = 0x9E3779B97F4A7C15
-PLACE_INVERSE, MIX = pow(PLACE, -1, 1 << 64), 0xD6E8FEB86659FD93
-
 SKETCH = "rid bigint, doc_id bigint, key bigint, fp bigint, same bigint, n bigint, passages array<bigint>, prefix array<bigint>"
 
 
-class WordHashes(dict):
-    """XXH64 of each word, kept for the next time it comes."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        out = self[word] = xxh64_intdigest(word, 7)
-        return out
-
-
-class Runs:
-    """Hashes of runs of words in several texts, by differences of one prefix sum: word hashes times powers of an odd number."""
-
-    def __init__(self, texts: list[bytes], kept: WordHashes):
-        found = [t.lower().split() for t in texts]
-        self.sizes = np.array(list(map(len, found)), np.int64)
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.words = np.fromiter(map(kept.__getitem__, chain.from_iterable(found)), np.uint64, int(self.sizes.sum()))
-        powers = np.cumprod(np.full(len(self.words), PLACE, np.uint64))
-        self.sums = np.append(np.uint64(0), np.cumsum(self.words * powers))
-        self.back = np.cumprod(np.full(len(self.words) + 1, PLACE_INVERSE, np.uint64))
-
-    def hashes(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-        h = (self.sums[after] - self.sums[first]) * self.back[first]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(MIX)
-        return h ^ (h >> np.uint64(29))
-
-    def shingles(self, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, how many of each text) of all runs of `words` words; a shorter text is one run, one without words none."""
-        counts = np.where(self.sizes > words, self.sizes - words + 1, np.minimum(self.sizes, 1))
-        first = np.repeat(self.begins, counts) + _places(counts)
-        return self.hashes(first, np.minimum(first + words, np.repeat(self.begins + self.sizes, counts))), counts
-
-    def wholes(self) -> np.ndarray:
-        return self.hashes(self.begins, self.begins + self.sizes)
-
-    def passages(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, texts) of the pieces between words that their own hash marks as ends, so that equal passages are cut alike."""
-        end = self.words % np.uint64(PASSAGE_WORDS) == 0
-        some = self.sizes > 0
-        end[(self.begins + self.sizes)[some] - 1] = True
-        after = np.flatnonzero(end) + 1
-        text_of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return distinct(self.hashes(np.append(0, after[:-1]) if len(after) else after, after), text_of[after - 1])
-
-
-def _places(counts: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each of the runs of these lengths."""
-    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _by_text(order: np.ndarray, text_of: np.ndarray) -> np.ndarray:
-    """`order` brought into the order of texts, otherwise as it is."""
-    of = text_of[order]
-    return order[np.argsort(of.astype(np.uint16) if len(of) and int(text_of.max()) < 1 << 16 else of, kind="stable")]
-
-
-def distinct(hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, texts) without repeats in a text, by text, then hash."""
-    order = _by_text(np.argsort(hashes), text_of)
-    h, t = hashes[order], text_of[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
-    return h[new], t[new]
-
-
 def distinct_shingles(runs: Runs, words: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = runs.shingles(words)
     return distinct(hashes, np.repeat(np.arange(len(counts)), counts))
@@ -270,10 +184,10 @@ def shingle_frequencies(docs: DataFrame, id_col: str, text_col: str, words: int)
     """How many shingles of the drawn rows fall on each counter: a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, kept = np.zeros(COUNTERS, np.int64), WordHashes()
+        sums = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            for texts in _groups_of([x.as_py() for x in b.column(0)]):
-                hashes, _ = Runs(texts, kept).shingles(words)
+            for texts in groups_of([x.as_py() for x in b.column(0)]):
+                hashes, _ = Runs(texts).shingles(words)
                 sums += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(sums)
         yield batch("bin int, n bigint", [at.astype(np.int32), sums[at]])
@@ -287,9 +201,9 @@ def shingle_frequencies(docs: DataFrame, id_col: str, text_col: str, words: int)
 
 def prefixes(found: np.ndarray, text_of: np.ndarray, n: np.ndarray, frequency: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, how many of each text): the rarest of a text's n different shingles, so many that any text this similar has one of them among its own rarest."""
-    order = _by_text(np.argsort(frequency[(found % np.uint64(COUNTERS)).astype(np.int64)], kind="stable"), text_of)
+    order = by_text(np.argsort(frequency[(found % np.uint64(COUNTERS)).astype(np.int64)], kind="stable"), text_of)
     most = np.minimum(n, n - np.ceil(similarity * n - SLACK).astype(np.int64) + 1)
-    first = _places(n) < np.repeat(most, n)
+    first = places(n) < np.repeat(most, n)
     return found[order][first], most
 
 
@@ -301,15 +215,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         return pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), values.view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = WordHashes()
         for b in batches:
             at = 0
-            for texts in _groups_of([x.as_py() for x in b.column(3)]):
-                runs = Runs(texts, kept)
+            for texts in groups_of([x.as_py() for x in b.column(3)]):
+                runs = Runs(texts)
                 hashes, counts = runs.shingles(words)
                 found, text_of = distinct(hashes, np.repeat(np.arange(len(texts)), counts))
                 n = np.bincount(text_of, minlength=len(texts))
-                cut, cut_of = runs.passages()
+                cut, cut_of = distinct(*runs.pieces(PASSAGE_WORDS))
                 prints, same = majorities(hashes, counts).view(np.int64), runs.wholes().view(np.int64)
                 rows = b.slice(at, len(texts))
                 at += len(texts)
@@ -423,13 +336,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     both = pairs.join(wanted.toDF("a", "a_text"), "a").join(wanted.toDF("b", "b_text"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = WordHashes()
         for x in batches:
             a, b = x.column(0).to_numpy(), x.column(1).to_numpy()
             ids, at = np.unique(np.append(a, b), return_index=True)
             sets: list[np.ndarray] = []
-            for group in _groups_of([(x.column(2)[k] if k < len(a) else x.column(3)[k - len(a)]).as_py() for k in at.tolist()]):
-                found, text_of = distinct_shingles(Runs(group, kept), words)
+            for group in groups_of([(x.column(2)[k] if k < len(a) else x.column(3)[k - len(a)]).as_py() for k in at.tolist()]):
+                found, text_of = distinct_shingles(Runs(group), words)
                 sets += np.split(found, np.cumsum(np.bincount(text_of, minlength=len(group)))[:-1])
             near = []
             for s, t in zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist(), strict=True):

@@ -73,7 +73,7 @@ def brute_leaks(docs, items, window):
                     hit |= set(range(k, k + n))
                     found |= names
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def leak_case(seed):
@@ -88,7 +88,7 @@ def test_leaks(spark):
         df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
         for block_bytes in (1 << 20, 25):  # one block, and several
             found = d.find_leaks(df, bench, window=4, block_bytes=block_bytes)
-            assert sorted(map(tuple, d.leak_report(found).collect())) == brute_leaks(docs, items, 4)
+            assert sorted(map(tuple, d.leak_report(found).collect()), key=repr) == brute_leaks(docs, items, 4)
 
 
 def test_decontaminate_keeps_columns(spark):
@@ -97,3 +97,30 @@ def test_decontaminate_keeps_columns(spark):
     out = d.decontaminate(df, bench)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]
     assert d.decontaminate(df, bench.limit(0)).count() == 3 and d.decontaminate(df.limit(0), bench).count() == 0
+
+
+def test_leaks_of_long_and_repeated(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    items = [(k, " ".join(word() for _ in range(r.choice([3, 12, 80])))) for k in range(30)]
+    items += [(100, items[0][1].upper()), (0, items[0][1]), (0, items[0][1]), (None, items[1][1])]
+    long = [word() for _ in range(120_000)]
+    for k in range(12):
+        long[9000 * k : 9000 * k] = items[k][1].split()
+    docs = [(1, " ".join(long)), (1, " ".join(long)), (2, items[5][1]), (None, items[0][1] + " " + items[0][1]), (3, "")]
+    df = spark.createDataFrame([(*x, "mine", 5) for x in docs], "doc_id bigint, text string, leak_items string, k int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(brute_leaks(docs, [("" if i is None else i, t) for i, t in items], 10), key=repr)
+    for block_bytes, few in ((1 << 20, 10), (900, 10), (900, 0)):
+        d.BROADCAST_HITS = few
+        found = d.find_leaks(df, bench, block_bytes=block_bytes)
+        assert set(found.columns) == {*df.columns, "leak_spans"} and dict(found.dtypes)["leak_items"] == "array<string>"
+        assert sorted(map(tuple, d.leak_report(found).collect()), key=repr) == want
+
+
+def test_table_size():
+    r = random.Random(3)
+    items = [(str(k), " ".join(str(r.getrandbits(30)) for _ in range(80)).encode()) for k in range(4000)]
+    built = d.Tables(items, 10)
+    arrays = [built.first, built.after, built.begins] + [a for s in built.searches for a in (s.shift, s.suffix, s.whole, s.starts)]
+    assert sum(a.nbytes for a in arrays) + len(built.raw) < 7 * sum(len(t) for _, t in items)

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from auditloom.llm import components, line_dedup, repeats, simhash
+from auditloom.llm import common, components, line_dedup, repeats, simhash
 
 DOCS = "doc_id bigint, text string"
 
@@ -134,7 +134,7 @@ def test_long_texts(spark, monkeypatch):
     docs = [(1, " ".join(base)), (2, " ".join(base[:-3000])), (3, " ".join(r.sample(base, len(base)))), (4, "x " * 40_000)]
     got, want = similar_case(spark, docs)
     assert got == want == {1: 1, 2: 1, 3: 3, 4: 4}
-    monkeypatch.setattr(simhash, "WORDS_AT_ONCE", 10)
+    monkeypatch.setattr(common, "BYTES_AT_ONCE", 60)
     prints = {x.doc_id: x.fp & (1 << 64) - 1 for x in simhash.fingerprints(spark.createDataFrame(docs[1:], DOCS)).collect()}
     assert prints == {i: brute_print(t, 4) for i, t in docs[1:]}
 
