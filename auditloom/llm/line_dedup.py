@@ -117,9 +117,9 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, at, line) of the lines that are not blank, of (doc_id, text)."""
+    """(doc_id, row, at, line, check, text) of the lines that are not blank, of (doc_id, text)."""
     each = docs.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("row"), F.posexplode(_lines(F.col("text"))).alias("at", "text"))
-    return each.filter(F.col("text").rlike("\\S")).select("doc_id", "row", "at", F.xxhash64("text").alias("line"), "text")
+    return each.filter(F.col("text").rlike("\\S")).select("doc_id", "row", "at", F.xxhash64("text").alias("line"), F.xxhash64(F.lit(1), "text").alias("check"), "text")
 
 
 KEYS = "key bigint, line bigint, sign bigint, same boolean"
@@ -211,7 +211,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
     release(docs.sparkSession)
     degrees = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("links"))
     places = occurrences(docs).drop("text")
-    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("n"))
+    first = places.groupBy("line").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("n"), F.min("check").alias("_low"), F.max("check").alias("_high"))
+    first = first.filter("_low = _high")  # different lines of one id all stay
     classed = first.join(near, first["line"] == near["node"], "left").select("line", "first", "n", "root")
     of_class = classed.filter("root is not null").groupBy("root").agg(F.min("first").alias("class_first"))
     repeated = classed.filter("n > 1 or root is not null").join(of_class, "root", "left").join(degrees, "line", "left")
@@ -229,25 +230,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone_lines array<int>: the lines taken out; kept_lines array<string>: for each, 'doc_id:line' of the one that stays for
     its class; near_links bigint: near lines of other text that the row's lines have; text_before.
 
-    Blank lines always stay and a null text stays null. Shorter lines than `least_chars` only go if equal. Rows are never
+    Lines are equal by two 64-bit hashes. Blank lines always stay and a null text stays null. Shorter lines than `least_chars` only go if equal. Rows are never
     dropped: a text all of whose lines repeat becomes empty. Rows that repeat with id and text count as one place. Of
     rows without an id the lines come first.
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = repeated_lines(plain, edits, least_chars).toDF("_id", "_row", "_gone", "_links")
-    keyed = docs.select(F.struct("*").alias("r"), F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t"), _row_key(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
+    new = ("gone_lines", "kept_lines", "near_links", "text_before")
+    others = [c for c in docs.columns if c not in (text_col, *new)]
+    keyed = docs.select(F.struct(*others).alias("r"), F.col(id_col).cast("bigint").alias("_i"), F.col(text_col).alias("_t"), _row_key(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
     joined = keyed.join(found, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_row")), "left")
     gone = F.transform("_gone", lambda x: x["at"])
-    left = F.array_join(F.filter(_lines(F.col("_t")), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    # The one-element array binds the lines, so that they are cut once for all their places.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    left = F.transform(F.array(_lines(F.col("_t"))), lambda lines: F.array_join(F.transform(stay(lines), lambda k: lines[k]), "\n"))[0]
     kept = F.when(F.size("_gone") > 0, left).otherwise(F.col("_t"))
-    new = {
+    made = {
         "gone_lines": F.coalesce(gone, F.expr("cast(array() as array<int>)")),
         "kept_lines": F.coalesce(F.transform("_gone", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["line"].cast("string"))), F.expr("cast(array() as array<string>)")),
         "near_links": F.coalesce("_links", F.lit(0)),
         "text_before": F.col("_t"),
     }
-    others = [F.col("r")[c].alias(c) for c in docs.columns if c not in (text_col, *new)]
-    return joined.select(*others, kept.alias(text_col), *[c.alias(n) for n, c in new.items()])
+    return joined.select(*[F.col("r")[c].alias(c) for c in others], kept.alias(text_col), *[made[n].alias(n) for n in new])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

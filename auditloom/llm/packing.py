@@ -9,12 +9,13 @@ histogram of piece lengths, which has `size` entries however large the corpus is
 4. the residual goes by best fit, longest first, into the room that is really left, or into new sequences.
 
 The plan is a list of runs (length, first rank, how many, ...) of bounded size. Pieces get a rank within their length
-from salted row numbers plus counted offsets, so a frequent length isn't numbered in one task, and a broadcast join
-with the plan gives each its sequence and place. No token travels in a shuffle.
+from salted row numbers plus counted offsets, in parts whose number follows the rows of the length, and a broadcast join
+with the plan gives each its sequence and place. Pieces that fill a sequence need no rank. No token travels in a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -31,7 +32,8 @@ from .common import as_bytes, batch, checkpoint, map_arrow, table
 SIZE, END_ID = 2048, 0
 #: Entries of a worker's word cache before it is begun anew.
 CACHE_WORDS = 300_000
-SALTS = 16
+#: Pieces of one length that are numbered together, about.
+RANKED_ROWS = 500_000
 #: Classes of length that patterns are made of.
 CLASSES = 128
 
@@ -81,10 +83,29 @@ class WordIds(dict):
         return out
 
 
+# The settings of a vocabulary file that the quick ways below reproduce.
+KNOWN_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _is_known(path: str) -> bool:
+    """Whether a vocabulary file lower-cases, drops white space and splits as the quick ways do."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    try:
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        return (
+            spec["normalizer"]["normalizers"] == KNOWN_NORMALIZERS and split == {"type": "Split", "pattern": {"Regex": KNOWN_SPLIT}, "behavior": "Removed", "invert": True}
+            and level["type"] == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"] and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in spec["added_tokens"])
+        )
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
 class TextIds:
     """Token ids of whole texts.
 
-    Texts of Latin letters, digits and signs fall into parts as the tokenizer's own splitting has it, and the parts'
+    A vocabulary with other settings than the known ones gets each text whole. With these, texts of Latin letters, digits and signs fall into parts as the tokenizer's own splitting has it, and the parts'
     vocabulary is small. Any other text (with apostrophes, special tokens, other scripts and numerals, marks) goes word
     by word through the whole tokenizer.
     """
@@ -92,13 +113,16 @@ class TextIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        self.known = _is_known(path)
         self.parts, self.words = PartIds(tokenizer), WordIds(tokenizer)
         usual = [chr(c) for c in range(0x21, 0x250) if chr(c) != "'" and not 0x7F <= c <= 0xA0 and c != 0x130 and (c < 0x80 or not chr(c).isnumeric())]
         self.plain = frozenset([*usual, *" \t\n\r\f\v"])
 
     def __call__(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.plain.issuperset(set(text)) and "<|" not in text:
             parts, text = self.parts, text.lower()
             if not _TOUCHING.search(text):  # then stops and commas are parts of their own, and words vary less without them
@@ -284,11 +308,18 @@ def _slots(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, int
     return out
 
 
-def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
-    """`pieces` (doc_id, piece, length, ...) with sequence_id and offset; sequences hold at most `size` tokens, without gaps."""
+def pack(pieces: DataFrame, size: int = SIZE, ranked_rows: int = RANKED_ROWS) -> DataFrame:
+    """`pieces` (doc_id, piece, length, ids_crc32, ...), a checkpoint or table, with sequence_id and offset; sequences hold at most `size` tokens, without gaps.
+
+    Pieces of `size` tokens have sequences of negative numbers to themselves.
+    """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counted = pieces.groupBy("length", "_salt").count().collect()  # at most size * salts rows
+    full = pieces.filter(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
+    part = pieces.filter(F.col("length") < size)
+    per_length = {r.length: -(-r["count"] // ranked_rows) for r in part.groupBy("length").count().collect()}  # at most size rows
+    salts = F.broadcast(spark.createDataFrame(list(per_length.items()), "length bigint, _salts bigint"))
+    part = part.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int"))
+    counted = part.groupBy("length", "_salt").count().collect()  # at most size rows, and one for each ranked_rows pieces
     histogram, offsets = defaultdict(int), []
     for r in sorted(counted, key=lambda r: (r.length, r._salt)):
         offsets.append((r.length, r._salt, histogram[r.length]))
@@ -297,13 +328,14 @@ def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
     before = spark.createDataFrame(offsets, "length bigint, _salt int, _before bigint")
     runs = spark.createDataFrame(slots, "length bigint, _first bigint, _ranks bigint, _side bigint, _sequence bigint, _offset bigint")
     nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("_nth", nth).join(F.broadcast(before), ["length", "_salt"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth") - 1).drop("_before", "_nth", "_salt")
+    ranked = part.withColumn("_nth", nth).join(F.broadcast(before), ["length", "_salt"])
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth") - 1)
     place = F.col("_rank") - F.col("_first")
     placed = ranked.join(F.broadcast(runs), "length").filter((place >= 0) & (place < F.col("_ranks")))
     whole = lambda x: F.expr(f"{x} div _side")
     placed = placed.withColumns({"sequence_id": F.col("_sequence") + whole("(_rank - _first)"), "offset": F.col("_offset") + (place % F.col("_side")) * F.col("length")})
-    return placed.select(*[c for c in pieces.columns if c != "_salt"], "sequence_id", "offset")
+    columns = [*pieces.columns, "sequence_id", "offset"]
+    return placed.select(*columns).unionByName(full.select(*columns))
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -315,9 +315,9 @@ SQL = """
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) / 2 AS BIGINT) AS n FROM documents
 ), pieces AS (
-  SELECT r, n, c, substr(h, 2 * c + 1, 2398) AS piece FROM (SELECT *, unnest(range(0, n - 199, 1000)) AS c FROM t)
+  SELECT r, n, c, substr(h, 2 * c + 1, 798) AS piece FROM (SELECT *, unnest(range(0, n - 199, 200)) AS c FROM t)
 ), windows AS (
-  SELECT r, c + k AS s, sha256(substr(piece, 2 * k + 1, 400)) AS w FROM (SELECT *, unnest(range(0, least(1000, n - 199 - c))) AS k FROM pieces)
+  SELECT r, c + k AS s, md5(substr(piece, 2 * k + 1, 400)) AS w FROM (SELECT *, unnest(range(0, least(200, n - 199 - c))) AS k FROM pieces)
 ), repeated AS (
   SELECT w FROM windows GROUP BY w HAVING count(*) > 1
 ), starts AS (

@@ -93,6 +93,26 @@ def test_plan_uses_every_piece_once(size):
         assert sum(n for _, n in plan) <= 1.02 * best_fit_decreasing(histogram, size) + 1
 
 
+def test_other_vocabularies():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, t = packing.TextIds(path), Tokenizer.from_file(path)
+    for text in ("Some  Words, here.\n", " x", ""):
+        assert np.frombuffer(ids(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_in_parts(spark):
+    docs = spark.createDataFrame([(k % 50, "word " * (k % 7)) for k in range(400)] + [(900, "word " * 95)], "doc_id bigint, text string")
+    pieces = packing.checkpoint(packing.tokenize_pieces(docs, packing.public_vocabulary(), size=32))
+    out = packing.pack(pieces, 32, ranked_rows=9).collect()
+    assert len(out) == pieces.count()
+    taken = {(p.sequence_id, p.offset + k) for p in out for k in range(p.length)}
+    assert len(taken) == sum(p.length for p in out) and max(at for _, at in taken) < 32
+    assert all(p.offset == 0 for p in out if p.length == 32) and len({p.sequence_id for p in out if p.sequence_id < 0}) == sum(p.length == 32 for p in out) == 3
+
+
 def test_pack_documents(spark):
     r, t = random.Random(3), tokenizer()
     docs = [(k, r.choice([None, "", "Some words, here. " * r.randint(1, 60), "x"])) for k in range(120)] + [(7, "again"), (None, "no id"), (500, "long text " * 2000)]
