@@ -3,7 +3,7 @@
 The symbols are words, as 64-bit hashes. For each window length a shift table over blocks of two words (one for single
 words) tells how far the search may jump; where the shift is zero the block selects a bucket of windows with that
 suffix, the hash of the whole window picks those to test in it, and comparing the words themselves decides. Many texts
-are searched side by side, each at its own place. Windows shorter than the standard length come from short items and
+and stretches of them are searched side by side, each at its own place. Windows shorter than the standard length come from short items and
 have tables of their own, so they don't shorten the jumps of the others.
 
 The benchmark travels to the tasks in blocks of at most `block_bytes` of normalised text; a worker builds the tables of
@@ -31,6 +31,8 @@ BLOCK_BYTES = 16 << 20
 #: Bytes between words become spaces and A-Z become a-z; digits, a-z and all bytes of other characters stay.
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 NUMBERS = letters(bytes(b for b in range(256) if WORD_BYTES[b] == 0x20))
+#: A text is searched in lanes of so many places side by side.
+LANE = 32
 #: Texts with hits up to which their results are broadcast to all documents, where there are several blocks.
 BROADCAST_HITS = 200_000
 
@@ -59,8 +61,11 @@ class Search:
 
     def candidates(self, sums: Sums, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, place of the window in the tables) of what has a window's suffix and hash, in texts of the words from begins to ends."""
-        text = np.flatnonzero(ends - begins >= self.length)
-        at, last = begins[text] + self.length, ends[text]
+        n_ends = np.maximum(ends - begins - self.length + 1, 0)  # where windows can end
+        lanes = -(-n_ends // LANE)
+        text = np.repeat(np.arange(len(begins)), lanes)
+        at = begins[text] + self.length + LANE * places(lanes)
+        last = np.minimum(at + LANE - 1, ends[text])
         found, first, place = [], [], []
         while len(at):
             block = sums.hashes(at - self.block, at)

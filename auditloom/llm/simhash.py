@@ -4,10 +4,11 @@ A 64-bit fingerprint is cut into 32 segments of two bits; the count of set bits
 32 dimensions where the Manhattan distance never exceeds the Hamming distance. The counts are written in unary (00, 01,
 11), so one exclusive-or and one bit count give the Manhattan distance.
 
-Range join: the dimensions fall into three groups. Fingerprints within 4 bits are within Manhattan distance 4, so in one
-group at least within 1 (4 // 3). Each fingerprint stands in one cell a group; it probes its own cell and those one step up.
-Of two cells one step apart, one is up from the other, so no pair is missed. A candidate must pass the Manhattan bound
-over all dimensions, then the exact Hamming distance, both inside the join condition: only links leave the join.
+Range join: the dimensions fall into more groups than bits may differ. Of two fingerprints within `bits`, all but
+`bits` groups at least agree in their counts, so each fingerprint stands in one cell for each choice of that many groups
+and meets those of its cell. How many groups there are follows the number of fingerprints, so that cells stay small: it
+changes the work, not what is found. A candidate must pass the Manhattan bound over all dimensions, then the exact
+Hamming distance, both inside the join condition: only links leave the join.
 
 Equal fingerprints are one node before any of this, and links become a spanning forest, batch by batch, before any shuffle.
 """
@@ -16,20 +17,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpoint, groups_of, map_arrow, table
+from .common import as_bytes, batch, checkpoint, groups_of, map_arrow, release, table
 from .components import components, spanning_forest
 from .words import Runs, by_text, distinct, places
 
 WORDS, BITS = 4, 4
 SEED = 42
-SEGMENTS, GROUPS = 32, 3
+SEGMENTS = 32
+#: Random fingerprints that a cell may hold on average.
+CELL_NODES = 16
 LOW_BITS = 0x5555555555555555
 BYTE_ONES = 0x0101010101010101
 #: Stands for the id of fingerprints whose rows have none; real ids are below.
@@ -105,37 +108,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _groups() -> list[tuple[int, int]]:
-    """(first segment, segment after the last) of each group."""
-    at = [round(k * SEGMENTS / GROUPS) for k in range(GROUPS + 1)]
-    return list(zip(at, at[1:], strict=False))
+def cell_masks(bits: int, nodes: int) -> list[int]:
+    """The bits of the code that make a cell, for each choice of groups.
 
-
-def _cell(code: Column, first: int, after: int) -> Column:
-    return code.bitwiseAND(F.lit(_signed(((1 << 2 * (after - first)) - 1) << 2 * first)))
-
-
-def _cells(nodes: DataFrame, neighbours: bool) -> DataFrame:
-    """Rows of nodes for each cell where they stand, or which they probe."""
-    rows = []
-    for g, (first, after) in enumerate(_groups()):
-        cell = _cell(F.col("code"), first, after)
-        rows.append(F.struct(F.lit(g).cast("tinyint").alias("g"), cell.alias("cell"), F.lit(True).alias("own")))
-        for s in range(first, after) if neighbours else ():
-            count = F.shiftrightunsigned("code", 2 * s).bitwiseAND(F.lit(3).cast("bigint"))
-            up = F.when(count == 0, cell.bitwiseOR(F.lit(_signed(1 << 2 * s)))).when(count == 1, cell.bitwiseOR(F.lit(_signed(2 << 2 * s))))
-            rows.append(F.when(count < 3, F.struct(F.lit(g).cast("tinyint").alias("g"), up.alias("cell"), F.lit(False).alias("own"))))
-    return nodes.select("*", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select(*nodes.columns, "x.g", "x.cell", "x.own")
+    A segment tells 1.5 bits on average, so a cell of half the segments has one in 2^24 of random fingerprints.
+    """
+    for groups in range(bits + 2, 2 * bits + 1):
+        if nodes / 2 ** (1.5 * SEGMENTS * (groups - bits) / groups) <= CELL_NODES:
+            break
+    else:
+        groups = max(2 * bits, bits + 1)
+    at = [round(k * SEGMENTS / groups) for k in range(groups + 1)]
+    own = [((1 << 2 * (b - a)) - 1) << 2 * a for a, b in zip(at, at[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(own, groups - bits)]
 
 
 def links_within(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) of all nodes (node, fp, code), one row for each distinct fp, at `bits` or fewer differing bits; a link may come more than once."""
-    if bits // GROUPS > 1:
-        raise ValueError(f"the grid finds distances up to {2 * GROUPS - 1}")
-    p, q = _cells(nodes, True).alias("p"), _cells(nodes, False).drop("own").alias("q")
-    once = ~F.col("p.own") | (F.col("p.node") < F.col("q.node"))
+    rows = [F.struct(F.lit(k).cast("tinyint").alias("t"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("cell")) for k, m in enumerate(cell_masks(bits, nodes.count()))]
+    cells = nodes.select("node", "fp", "code", F.explode(F.array(*rows)).alias("x")).select("node", "fp", "code", "x.t", "x.cell")
+    p, q = cells.alias("p"), cells.alias("q")
     near = (distance(F.col("p.code"), F.col("q.code")) <= bits) & (distance(F.col("p.fp"), F.col("q.fp")) <= bits)
-    return p.join(q, (F.col("p.g") == F.col("q.g")) & (F.col("p.cell") == F.col("q.cell")) & once & near).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    return p.join(q, (F.col("p.t") == F.col("q.t")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.node") < F.col("q.node")) & near).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
 def near_duplicates(prints: DataFrame, bits: int = BITS) -> DataFrame:
@@ -159,7 +153,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Words of a passage on average, for similar_documents(); neighbours that a passage's document is compared with first; rows of a key that stand together; bits beyond which documents aren't compared first. None of these decides what is found.
-PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS = 16, 4, 5_000, 22
+PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS, LIKELY_BITS = 16, 4, 5_000, 22, 3
 #: Counters of how frequent shingles are, and documents that they are counted on, about. They order shingles; any order finds the same.
 COUNTERS, COUNTED_DOCS = 1 << 20, 30_000
 #: Slack of the bounds, so that rounding never loses a pair.
@@ -236,7 +230,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """(doc_id, key, component_id, stays) for each row: documents connected by pairs whose sets of word shingles have at least this Jaccard similarity.
 
     Two rounds, all candidates verified on their whole texts. The first links what is cheap to find: the grid join of
-    fingerprints within 5 bits, and of the documents with a passage each with its neighbours in size and with the first.
+    fingerprints within 3 bits, and of the documents with a passage each with its neighbours in size and with the first.
     The second is exact: of two documents this similar, each has a shingle of the other among its rarest ones
     (`prefixes`), so all documents that share one there are candidates, unless the first round has connected them or size
     and place of the shingle rule the similarity out.
@@ -254,6 +248,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     verified = lambda pairs: checkpoint(spanning_forest(_verified(pairs, nodes, texts, words, similarity)))
     links = verified(_likely_pairs(rows, nodes, similarity))
     roots = components(links)
+    release(docs.sparkSession)
     more = verified(checkpoint(_prefix_pairs(rows, nodes, roots, similarity)))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
@@ -284,8 +279,8 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
 def _likely_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes that are cheap to find and probably similar."""
     # Fingerprints within the grid's reach, by the first node of each.
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("node")).withColumn("code", embedding(F.col("fp")))
-    near = links_within(prints, 2 * GROUPS - 1).unionByName(nodes.join(prints.select("fp", F.col("node").alias("a")), "fp").filter("node <> a").select("a", F.col("node").alias("b")))
+    prints = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node")).withColumn("code", embedding(F.col("fp"))))
+    near = links_within(prints, LIKELY_BITS).unionByName(nodes.join(prints.select("fp", F.col("node").alias("a")), "fp").filter("node <> a").select("a", F.col("node").alias("b")))
     # Passages that several nodes have: each node with the first, and where there are more than two, in parts of bounded size, with the next in size.
     each = nodes.select("node").join(rows.select(F.col("rid").alias("node"), "passages", "n"), "node").select("node", "n", F.explode("passages").alias("p"))
     shared = checkpoint(each.groupBy("p").agg(F.count("*").alias("rows"), F.min("node").alias("a")).filter("rows > 1"))
@@ -315,7 +310,8 @@ def _prefix_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     each = held.select("node", "root", "n", F.posexplode("prefix").alias("at", "p"))
     keys = each.groupBy("p").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     keys = checkpoint(keys.select("p", F.ceil(F.col("rows") / ORDERED_ROWS).alias("parts")))
-    each = each.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "p")
+    each = checkpoint(each.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "p"))
+    release(rows.sparkSession)
     share = 2 * similarity / (1 + similarity)
     short = each.filter(F.col("n") - F.col("at") >= share * F.col("n") - SLACK).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("s")
     long = each.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("l")

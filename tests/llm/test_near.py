@@ -52,7 +52,7 @@ def test_fingerprint():
         assert simhash.fingerprint(text.encode()) == brute_print(text, 4)
 
 
-def test_grid_finds_every_pair(spark):
+def test_grid_finds_every_pair(spark, monkeypatch):
     r, prints = random.Random(5), []
     for _ in range(60):
         base = r.getrandbits(64)
@@ -65,8 +65,25 @@ def test_grid_finds_every_pair(spark):
     rows = [(k, int(np.uint64(x).view(np.int64))) for k, x in enumerate(prints)]
     links = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
     want = connected(range(len(prints)), links)
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, fp bigint")).collect()}
-    assert got == want
+    for held in (16, 1e-4, 1e-9):  # six, seven and eight groups
+        monkeypatch.setattr(simhash, "CELL_NODES", held)
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, fp bigint")).collect()}
+        assert got == want
+
+
+def test_cells():
+    r = random.Random(6)
+    simhash_masks = {bits: [simhash.cell_masks(bits, n) for n in (10, 10**6, 10**10)] for bits in (0, 1, 3, 4, 5)}
+    for bits, kinds in simhash_masks.items():
+        for masks in kinds:
+            for _ in range(300):
+                a = r.getrandbits(64)
+                b = a
+                for k in r.sample(range(64), bits):
+                    b ^= 1 << k
+                x, y = (sum(((v >> 2 * s) & 3).bit_count() * (1 if (v >> 2 * s) & 3 in (1, 2) else 0) << 2 * s | (3 << 2 * s if (v >> 2 * s) & 3 == 3 else 0) for s in range(32)) for v in (a, b))
+                assert any(x & m == y & m for m in masks)
+    assert [len(simhash.cell_masks(4, n)) for n in (1000, 10**7, 10**11)] == [15, 35, 70]
 
 
 def test_simhash_edges(spark):
