@@ -3,9 +3,10 @@
 A tree builder makes elements of the tag stream: it opens what may be implied (html, body, table bodies and rows), closes
 what another tag ends (paragraphs, list items, cells, options), skips void elements and forgives stray end tags. The
 renderer walks the tree without recursion and drops what isn't shown (head, scripts, templates, hidden attributes,
-display:none, visibility:hidden). Blocks stand on lines of their own, with an empty line where margins would be; lists
-carry bullets or numbers and indents; table cells are padded so that columns line up; preformatted text keeps its white
-space.
+display:none); visibility is handed down, so a visible child of a hidden element shows. Blocks stand on lines of their own, with an empty line where margins would be; lists
+carry bullets or numbers and indents; table cells are padded so that columns line up, over rows and columns that others
+span; preformatted text keeps its white space. Padding is bounded: a column is padded to WIDEST characters at most, and
+the first PADDED_COLUMNS of a row; longer cells and further ones stand whole, without padding.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,7 +38,10 @@ CLOSES = {
 }
 STOPS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "optgroup": ("select",)}
 SPACE = re.compile(r"[ \t\n\f\r]+")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Columns are padded to so many characters, and so many of them.
+WIDEST, PADDED_COLUMNS = 60, 64
 #: Open elements; deeper ones are taken as text of the last.
 DEEPEST = 512
 
@@ -53,15 +58,15 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.count = Counter({"html": 1})  # open elements by tag
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             self.root.attrs = dict(attrs) | self.root.attrs
             return
-        tags = [n.tag for n in self.open]
-        if tag == "body" and "body" in tags:
+        if tag == "body" and self.count["body"]:
             return
-        if "head" in tags and tag not in HEAD_ONLY and tag != "head":
+        if self.count["head"] and tag not in HEAD_ONLY and tag != "head":
             self._close("head", ())
         if tag in ENDS_PARAGRAPH:
             self._close("p", ("table", "td", "th", "button", "caption"))
@@ -72,8 +77,8 @@ class TreeBuilder(HTMLParser):
             self._push("tr", {})
         if len(self.open) < DEEPEST or tag in VOID:
             self._push(tag, {k: v or "" for k, v in attrs})
-        if tag in VOID:
-            self.open.pop()
+            if tag in VOID:
+                self._pop()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, the slash of other elements means nothing
@@ -83,9 +88,9 @@ class TreeBuilder(HTMLParser):
             return
         if tag == "br":
             self.handle_starttag("br", [])
-        elif tag == "p" and not any(n.tag == "p" for n in self.open):
+        elif tag == "p" and not self.count["p"]:
             self.handle_starttag("p", [])
-            self.open.pop()
+            self._close("p", ())
         else:
             self._close(tag, () if tag == "table" else ("table",))
 
@@ -96,19 +101,32 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.count[tag] += 1
+
+    def _pop(self) -> None:
+        self.count[self.open.pop().tag] -= 1
 
     def _close(self, tag: str, stops: tuple) -> None:
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                while len(self.open) > k:
+                    self._pop()
                 return
             if self.open[k].tag in stops:
                 return
 
 
-def shown(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     a = node.attrs
-    return not (node.tag in NOT_SHOWN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() in ("hidden", "checkbox", "radio", "password")) or ("style" in a and HIDING.search(a["style"])))
+    return not (node.tag in NOT_SHOWN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() in ("hidden", "checkbox", "radio", "password")) or ("style" in a and NO_DISPLAY.search(a["style"])))
+
+
+def visible(node: Node, above: bool) -> bool:
+    """What the element says of its visibility, else what holds above it."""
+    said = VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else []
+    return said[-1].lower() == "visible" if said else above
 
 
 class Lines:
@@ -179,46 +197,55 @@ def render(root: Node) -> tuple[str, int]:
     top = Lines()
     counts: dict[int, int] = {}
     tables = 0
-    #: (what, node or text, lines, preformatted, list parent); cells collect their texts for the end of their table.
-    steps: list[tuple] = [("node", root, top, False, None)]
+    #: (what, node or text, lines, preformatted, list parent, visible); cells collect their texts for the end of their table.
+    steps: list[tuple] = [("node", root, top, False, None, True)]
+
+    def push(children: list, out: Lines, pre: bool, parent: Node | None, seen: bool) -> None:
+        steps.extend(("text" if isinstance(c, str) else "node", c, out, pre, parent, seen) for c in reversed(children))
+
     while steps:
-        what, x, out, pre, parent = steps.pop()
+        what, x, out, pre, parent, seen = steps.pop()
         if what == "text":
-            out.text(x, pre)
-        elif what == "end":
+            if seen:
+                out.text(x, pre)
+            continue
+        if what == "end":
             out.end()
             out.indent -= parent
             out.mark = ""
             if x:
                 out.space()
-        elif what == "cells":
+            continue
+        if what == "cells":
             rows, captions = x
-            out.whole([line for c in captions if (got := c.result()) for line in got.split("\n")] + _aligned([[(c.result(), span) for c, span in r] for r in rows]))
+            out.whole([line for c in captions if (got := c.result()) for line in got.split("\n")] + _aligned([[(c.result(), span, down) for c, span, down in r] for r in rows]))
             out.space()
-        elif not shown(x):
             continue
-        elif x.tag == "br":
-            out.end(keep=True)
+        if not displayed(x):
+            continue
+        seen = visible(x, seen)
+        if x.tag == "br":
+            out.end(keep=seen)
         elif x.tag == "hr":
             out.end()
-            out.whole(["-" * 8])
+            out.whole(["-" * 8] if seen else [])
         elif x.tag == "img":
-            out.text(x.attrs.get("alt", ""), False)
+            out.text(x.attrs.get("alt", "") if seen else "", False)
         elif x.tag == "input":
-            out.text(x.attrs.get("value") or x.attrs.get("placeholder", ""), False)
+            out.text((x.attrs.get("value") or x.attrs.get("placeholder", "")) if seen else "", False)
         elif x.tag == "table":
             tables += 1
             out.end()
             out.space()
-            rows, captions = _cells(x)
-            texts: list[list[tuple[Lines, int]]] = [[(Lines(), span) for _, span in r] for r in rows]
+            rows, captions = _cells(x, seen)
+            texts: list[list[tuple[Lines, int, int]]] = [[(Lines(), span, down) for _, _, span, down in r] for r in rows]
             heads = [Lines() for _ in captions]
-            steps.append(("cells", (texts, heads), out, pre, None))
+            steps.append(("cells", (texts, heads), out, pre, None, seen))
             for r, row in zip(texts, rows, strict=True):
-                for (lines, _), (cell, _) in zip(r, row, strict=True):
-                    steps += [("text" if isinstance(c, str) else "node", c, lines, False, cell) for c in reversed(cell.children)]
-            for lines, c in zip(heads, captions, strict=True):
-                steps += [("text" if isinstance(y, str) else "node", y, lines, False, c) for y in reversed(c.children)]
+                for (lines, _, _), (cell, shows, _, _) in zip(r, row, strict=True):
+                    push(cell.children, lines, False, cell, shows)
+            for lines, (c, shows) in zip(heads, captions, strict=True):
+                push(c.children, lines, False, c, shows)
         elif x.tag in BLOCK:
             spaced = x.tag in SPACED and not (x.tag in ("ul", "ol") and parent is not None and parent.tag == "li")
             out.end()
@@ -229,44 +256,46 @@ def render(root: Node) -> tuple[str, int]:
                 mark = _number(x, counts, parent)
                 deeper = len(mark)
                 out.indent += deeper
-                out.mark = mark
+                out.mark = mark if seen else ""
             elif x.tag in ("blockquote", "dd"):
                 deeper = 4
                 out.indent += deeper
-            steps.append(("end", spaced, out, pre, deeper))
-            steps += [("text" if isinstance(c, str) else "node", c, out, pre or x.tag == "pre", x) for c in reversed(x.children)]
+            steps.append(("end", spaced, out, pre, deeper, seen))
+            push(x.children, out, pre or x.tag == "pre", x, seen)
         else:
-            steps += [("text" if isinstance(c, str) else "node", c, out, pre or x.tag == "textarea", parent) for c in reversed(x.children)]
+            push(x.children, out, pre or x.tag == "textarea", parent, seen)
     return top.result(), tables
 
 
-def _cells(root: Node) -> tuple[list[list[tuple[Node, int]]], list[Node]]:
-    """Rows of (cell, columns it spans) and captions of a table, not those of tables inside."""
-    rows: list[list[tuple[Node, int]]] = []
-    captions: list[Node] = []
-    stack = [(c, None) for c in reversed(root.children)]
+def _cells(root: Node, seen: bool) -> tuple[list[list[tuple[Node, bool, int, int]]], list[tuple[Node, bool]]]:
+    """Rows of (cell, whether it is visible, columns and rows it spans; 0 rows: all that follow) and captions of a table, not those of tables inside."""
+    rows: list[list[tuple[Node, bool, int, int]]] = []
+    captions: list[tuple[Node, bool]] = []
+    stack = [(c, None, seen) for c in reversed(root.children)]
     while stack:
-        x, row = stack.pop()
+        x, row, seen = stack.pop()
         if isinstance(x, str):
             if x.strip():
                 if row is None:
-                    captions.append(_holder(x))
+                    captions.append((_holder(x), seen))
                 else:
-                    row.append((_holder(x), 1))
-        elif not shown(x):
+                    row.append((_holder(x), seen, 1, 1))
+            continue
+        if not displayed(x):
             continue
-        elif x.tag in ("td", "th"):
+        seen = visible(x, seen)
+        if x.tag in ("td", "th"):
             if row is None:
                 rows.append(row := [])
-            row.append((x, min(max(_integer(x.attrs.get("colspan"), 1), 1), 100)))
+            row.append((x, seen, min(max(_integer(x.attrs.get("colspan"), 1), 1), 100), max(_integer(x.attrs.get("rowspan"), 1), 0)))
         elif x.tag == "tr":
             rows.append(own := [])
-            stack += [(c, own) for c in reversed(x.children)]
+            stack += [(c, own, seen) for c in reversed(x.children)]
         elif x.tag in ("tbody", "thead", "tfoot"):
-            stack += [(c, None) for c in reversed(x.children)]
+            stack += [(c, None, seen) for c in reversed(x.children)]
         elif x.tag not in ("col", "colgroup"):
-            captions.append(x)
-    return [r for r in rows if r], captions
+            captions.append((x, seen))
+    return rows, captions
 
 
 def _holder(text: str) -> Node:
@@ -275,22 +304,36 @@ def _holder(text: str) -> Node:
     return node
 
 
-def _aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines of a table: each column as wide as its widest single-column cell; cells of several lines take several."""
+def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table of (text, columns, rows): a column is as wide as its widest single-column cell, up to WIDEST; cells of several lines take several.
+
+    Columns that a cell from above spans are left blank. Rows without cells give no line.
+    """
+    placed: list[list[tuple[int, str, int]]] = []
     widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # rows that a cell from above still spans, by column
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max([widths.get(at, 0), *map(_width, text.split("\n"))])
+        at, cells, new = 0, [], []
+        for text, span, down in row:
+            while taken.get(at, 0):
+                at += 1
+            cells.append((at, text, span))
+            if span == 1 and at < PADDED_COLUMNS:
+                widths[at] = max([widths.get(at, 0), *(min(WIDEST, _width(x)) for x in text.split("\n"))])
+            if down != 1:
+                new += [(c, down - 1 if down else len(rows)) for c in range(at, min(at + span, PADDED_COLUMNS))]
             at += span
+        cells += [(c, "", 1) for c in taken if c < at]
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | dict(new)
+        placed.append(sorted(cells))
     out = []
-    for row in rows:
-        cells, at = [], 0
-        for text, span in row:
-            room = sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
+    for row, given in zip(placed, rows, strict=True):
+        if not given:
+            continue
+        cells = []
+        for at, text, span in row:
+            room = sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (min(at + span, PADDED_COLUMNS) - min(at + 1, PADDED_COLUMNS))
             cells.append((text.split("\n"), room))
-            at += span
         for k in range(max(len(lines) for lines, _ in cells)):
             parts = [lines[k] if k < len(lines) else "" for lines, _ in cells]
             out.append(" | ".join(p + " " * max(0, room - _width(p)) for p, (_, room) in zip(parts, cells, strict=True)).rstrip(" "))
@@ -310,7 +353,11 @@ TEXTS = "page_id bigint, url string, text string, n_chars bigint, n_lines bigint
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """A row for each page: its visible text, and the language its html element declares ('' if none). Null and empty pages have empty text."""
+    """A row for each page: its visible text, and the language its html element declares ('' if none).
+
+    Null and empty pages have empty text. Rows that repeat give rows that repeat; an empty table gives none. Other columns
+    than these three are left behind, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

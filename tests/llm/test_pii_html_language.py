@@ -149,3 +149,74 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words here", None, "h"), (2, "123 !!", None, "h"), (3, None, None, None)], "doc_id bigint, text string, lang string, source string")
     got = {x.doc_id: (x.language, x.accepted) for x in language_id.identify(language_id.document_evidence(docs), language_id.fit(docs), ["doc_id"]).collect()}
     assert got == {1: (None, True), 2: (None, False), 3: (None, False)}
+
+
+def test_html_tables_and_visibility():
+    text = lambda html: html_text.extract(html)[0]
+    assert text("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
+    assert text("<table><tr><td>x<td rowspan=0>y<tr><td>p<tr><td>q<td>r</table>") == "x | y\np |\nq |   | r"
+    assert text("<table><tr><td colspan=2 rowspan=2>wide<td>1<tr><td>2<tr><td>a<td>b<td>c</table>") == "wide  | 1\n  |   | 2\na | b | c"
+    assert text('<div style="visibility:hidden">no <b style="visibility: visible">yes</b><p>no<p style="x:y; VISIBILITY:visible">shown</div>after') == "yes\n\nshown\n\nafter"
+    assert text('<table style="visibility:hidden"><tr><td>no<td style="visibility:visible">yes</table>') == " | yes"
+    assert text('<p style="display:none">no <b style="visibility:visible">no</b></p>ok') == "ok"
+
+
+def test_html_long_pages():
+    long_cell = "y" * 20_000
+    page = f"<table><tr><td>{long_cell}<td>z" + "<tr><td>a<td>b" * 5000 + "</table>"
+    found = html_text.extract(page)[0]
+    assert long_cell in found and found.count("\n") == 5000 and len(found) < 12 * len(page)
+    wide = "<table><tr>" + "<td rowspan=9999 colspan=100>" * 300 + "<tr><td>k" * 8000 + "</table>"
+    assert len(html_text.extract(wide)[0]) < 24 * len(wide)
+    import time
+
+    began = time.time()
+    html_text.extract("<div><b>" * 100_000 + "<p>" * 50_000 + "end")
+    assert time.time() - began < 20
+
+
+def test_html_against_a_plain_renderer():
+    """Random trees of well-formed markup: the visible words in order, by recursion."""
+    r = random.Random(40)
+    names = iter(range(10**9))
+
+    def tree(depth):
+        kind = r.choice(["text", "text", "div", "p", "span", "ul", "table", "hidden", "unseen", "seen", "script"]) if depth else "text"
+        if kind == "text":
+            return ("text", f"w{next(names)}")
+        if kind == "table":
+            return (kind, [[("td", [tree(0) for _ in range(r.randint(0, 2))]) for _ in range(r.randint(1, 3))] for _ in range(r.randint(1, 3))])
+        return (kind, [tree(0 if kind in ("p", "script") else depth - 1) for _ in range(r.randint(0, 3))])
+
+    def markup(node):
+        kind, x = node
+        if kind == "text":
+            return x + " "
+        if kind == "table":
+            return "<table>" + "".join("<tr>" + "".join("<td>" + "".join(map(markup, cell)) + "</td>" for _, cell in row) + "</tr>" for row in x) + "</table>"
+        inside = "".join("<li>" + markup(c) + "</li>" if kind == "ul" else markup(c) for c in x)
+        tag, style = {"hidden": ("div", " style='display:none'"), "unseen": ("div", " style='visibility:hidden'"), "seen": ("div", " style='visibility:visible'")}.get(kind, (kind, ""))
+        return f"<{tag}{style}>{inside}</{tag}>"
+
+    def words(node, seen):
+        kind, x = node
+        if kind == "text":
+            return [x] if seen else []
+        if kind in ("hidden", "script"):
+            return []
+        if kind == "table":
+            return [w for row in x for _, cell in row for c in cell for w in words(c, seen)]
+        seen = {"unseen": False, "seen": True}.get(kind, seen)
+        return [w for c in x for w in words(c, seen)]
+
+    for _ in range(400):
+        nodes = [tree(4) for _ in range(3)]
+        assert re.findall(r"w[0-9]+", html_text.extract("".join(map(markup, nodes)))[0]) == [w for n in nodes for w in words(n, True)]
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 1), (2, None, None, 2), (None, "v", "", 3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
+    got = sorted((repr(x.page_id), x.text) for x in html_text.extract_text(pages).collect())
+    assert got == [("1", "a"), ("1", "a"), ("2", ""), ("None", "")]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
