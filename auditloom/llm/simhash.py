@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpoint, groups_of, map_arrow, release, table
+from .common import as_bytes, batch, checkpoint, discard, groups_of, map_arrow, release, table, written
 from .components import components, spanning_forest
 from .words import Runs, by_text, distinct, places
 
@@ -154,6 +154,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of a passage on average, for similar_documents(); neighbours that a passage's document is compared with first; rows of a key that stand together; bits beyond which documents aren't compared first. None of these decides what is found.
 PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS, LIKELY_BITS = 16, 4, 5_000, 22, 3
+#: Rows of a rare shingle from which its central document is compared first.
+HUB_ROWS = 8
 #: Counters of how frequent shingles are, and documents that they are counted on, about. They order shingles; any order finds the same.
 COUNTERS, COUNTED_DOCS = 1 << 20, 30_000
 #: Slack of the bounds, so that rounding never loses a pair.
@@ -240,18 +242,30 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     without an id and rows that repeat take part like any other. stays marks the row of least doc_id (null last), then
     least key, in a component; rows that repeat with id and text are marked alike. An empty table gives no rows.
     """
-    rows = checkpoint(sketches(docs, id_col, text_col, words, similarity))
+    wide = written(sketches(docs, id_col, text_col, words, similarity))
+    rows = checkpoint(wide.drop("passages", "prefix"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     by_rid = lambda c: F.min_by(c, "rid").alias(c)
     nodes = checkpoint(rows.groupBy("fp", "same", "n").agg(F.min("rid").alias("node"), by_rid("doc_id"), by_rid("key"), first))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(as_bytes(F.col(text_col))).alias("key"), as_bytes(F.col(text_col)).alias("text"))
-    verified = lambda pairs: checkpoint(spanning_forest(_verified(pairs, nodes, texts, words, similarity)))
-    links = verified(_likely_pairs(rows, nodes, similarity))
-    roots = components(links)
-    release(docs.sparkSession)
-    more = verified(checkpoint(_prefix_pairs(rows, nodes, roots, similarity)))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    links = None
+
+    def connect(pairs: DataFrame) -> DataFrame:
+        """Roots once the similar ones of the pairs are linked, too."""
+        nonlocal links
+        found = checkpoint(spanning_forest(_verified(pairs, nodes, texts, words, similarity)))
+        links = found if links is None else links.unionByName(found)
+        release(docs.sparkSession)
+        return components(links)
+
+    roots = connect(_likely_pairs(wide, nodes, similarity))
+    shared = _shared_rarest(wide, nodes, roots)
+    discard(wide)
+    central = _central_pairs(shared, similarity)
+    if not central.isEmpty():
+        roots = connect(central)
+    roots = connect(_prefix_pairs(shared, roots, similarity))
+    discard(shared)
     placed = nodes.join(roots, "node")
     of_root = checkpoint(placed.groupBy("root").agg(F.min("first").alias("_first")))
     grouped = nodes.join(placed.join(of_root, "root").select("node", "_first"), "node", "left").select("fp", "same", "n", F.coalesce("_first", "first").alias("first"))
@@ -298,29 +312,58 @@ def _likely_pairs(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     return checkpoint(likely.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - SLACK).select("a", "b"))
 
 
-def _prefix_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _shared_rarest(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, n, at, p): the rarest shingles of nodes, each with its place, where nodes of different roots share one."""
+    held = written(rows.select(F.col("rid").alias("node"), "n", "prefix").join(_with_roots(nodes.filter("n > 0").select("node"), roots), "node"))
+    each = held.select("node", "root", "n", F.posexplode("prefix").alias("at", "p"))
+    keys = each.groupBy("p").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    keys = checkpoint(keys.select("p"))
+    release(rows.sparkSession)
+    shared = written(each.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "p"))
+    discard(held)
+    release(rows.sparkSession)
+    return shared
+
+
+def _possible(s, l, similarity: float) -> Column:  # noqa: E741
+    """Whether sizes, and places of a shared shingle, leave room for the similarity if it is the first that they share: then they share at most what is left from there on."""
+    room = F.least(s("n") - s("at"), l("n") - l("at")) >= similarity / (1 + similarity) * (s("n") + l("n")) - SLACK
+    return room & (F.least(s("n"), l("n")) >= similarity * F.greatest(s("n"), l("n")) - SLACK)
+
+
+def _central_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes that share a shingle of many and the node where it comes first: copies of a text have own shingles before, the text hasn't.
+
+    So large groups of copies are one root before all pairs are looked at.
+    """
+    hub = F.min(F.struct("at", "n", "node", "root")).alias("hub")
+    hubs = checkpoint(shared.groupBy("p").agg(F.count("*").alias("rows"), hub).filter(F.col("rows") > HUB_ROWS).select(F.col("p").alias("_p"), "hub.*"))
+    s, l = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"l.{c}"))  # noqa: E731, E741
+    met = hubs.alias("s").join(shared.alias("l"), (s("_p") == l("p")) & (s("root") != l("root")) & _possible(s, l, similarity))
+    return checkpoint(met.select(F.least(s("node"), l("node")).alias("a"), F.greatest(s("node"), l("node")).alias("b")).distinct())
+
+
+def _prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes with different roots that share a shingle of their prefixes, where it can be their first shared one.
 
-    If it is, they share at most what is left from its places on. Of two prefixes the shorter text's may be cut at what
-    a partner of its own size leaves. A shingle whose documents all have one root needs no pair; rows of a frequent one
-    are dealt out to parts, and the shorter texts go to each part.
+    Of two prefixes the shorter text's may be cut at what a partner of its own size leaves. A shingle whose documents
+    all have one root needs no pair; rows of a frequent one are dealt out to parts, and the shorter texts go to each part.
     """
-    placed = nodes.filter("n > 0").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    held = checkpoint(rows.select(F.col("rid").alias("node"), "n", "prefix").join(placed, "node"))
-    each = held.select("node", "root", "n", F.posexplode("prefix").alias("at", "p"))
+    each = _with_roots(shared.drop("root"), roots)
     keys = each.groupBy("p").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
     keys = checkpoint(keys.select("p", F.ceil(F.col("rows") / ORDERED_ROWS).alias("parts")))
     each = checkpoint(each.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "p"))
-    release(rows.sparkSession)
     share = 2 * similarity / (1 + similarity)
     short = each.filter(F.col("n") - F.col("at") >= share * F.col("n") - SLACK).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("s")
     long = each.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("l")
     s, l = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"l.{c}"))  # noqa: E731, E741
     ordered = (s("n") < l("n")) | ((s("n") == l("n")) & (s("node") < l("node")))
-    possible = F.least(s("n") - s("at"), l("n") - l("at")) >= similarity / (1 + similarity) * (s("n") + l("n")) - SLACK
-    sized = s("n") >= similarity * l("n") - SLACK
-    met = short.join(long, (s("p") == l("p")) & (s("part") == l("part")) & (s("root") != l("root")) & ordered & sized & possible)
-    return met.select(F.least(s("node"), l("node")).alias("a"), F.greatest(s("node"), l("node")).alias("b")).distinct()
+    met = short.join(long, (s("p") == l("p")) & (s("part") == l("part")) & (s("root") != l("root")) & ordered & _possible(s, l, similarity))
+    return checkpoint(met.select(F.least(s("node"), l("node")).alias("a"), F.greatest(s("node"), l("node")).alias("b")).distinct())
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -154,7 +154,7 @@ def test_without_labels(spark):
 def test_html_tables_and_visibility():
     text = lambda html: html_text.extract(html)[0]
     assert text("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
-    assert text("<table><tr><td>x<td rowspan=0>y<tr><td>p<tr><td>q<td>r</table>") == "x | y\np |\nq |   | r"
+    assert text("<table><tr><td>x<td rowspan=0>y<tr><td>p<tr><td>q<td>r</table>") == "x | y\np\nq |   | r"
     assert text("<table><tr><td colspan=2 rowspan=2>wide<td>1<tr><td>2<tr><td>a<td>b<td>c</table>") == "wide  | 1\n  |   | 2\na | b | c"
     assert text('<div style="visibility:hidden">no <b style="visibility: visible">yes</b><p>no<p style="x:y; VISIBILITY:visible">shown</div>after') == "yes\n\nshown\n\nafter"
     assert text('<table style="visibility:hidden"><tr><td>no<td style="visibility:visible">yes</table>') == " | yes"
