@@ -20,19 +20,24 @@ def spanning_forest(links: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            root: dict[int, int] = {}
-            kept: tuple[list[int], list[int]] = ([], [])
-            for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                ra, rb = _find(root, a), _find(root, b)
-                if ra != rb:
-                    root[max(ra, rb)] = min(ra, rb)
-                    kept[0].append(a)
-                    kept[1].append(b)
-            yield batch(LINKS, list(kept))
+            yield forest_of(x.column(0).to_pylist(), x.column(1).to_pylist())
 
     return map_arrow(links.select("a", "b"), run, LINKS)
 
 
+def forest_of(first: list[int], second: list[int]) -> pa.RecordBatch:
+    """The links of a batch that join what the ones before leave apart."""
+    root: dict[int, int] = {}
+    kept: tuple[list[int], list[int]] = ([], [])
+    for a, b in zip(first, second, strict=True):
+        ra, rb = _find(root, a), _find(root, b)
+        if ra != rb:
+            root[max(ra, rb)] = min(ra, rb)
+            kept[0].append(a)
+            kept[1].append(b)
+    return batch(LINKS, list(kept))
+
+
 def _find(root: dict[int, int], x: int) -> int:
     top = x
     while (up := root.get(top, top)) != top:

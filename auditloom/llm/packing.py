@@ -119,6 +119,10 @@ class TextIds:
         usual = [chr(c) for c in range(0x21, 0x250) if chr(c) != "'" and not 0x7F <= c <= 0xA0 and c != 0x130 and (c < 0x80 or not chr(c).isnumeric())]
         self.plain = frozenset([*usual, *" \t\n\r\f\v"])
 
+    def clear(self) -> None:
+        self.parts.clear()
+        self.words.clear()
+
     def __call__(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
         if not self.known:
@@ -154,16 +158,19 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = text_ids(vocabulary), END_ID.to_bytes(4, "little")
-        for b in batches:
-            out = [[] for _ in schema.split(", ")]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                run = ids_of(text.as_py()) + end
-                for k in range(0, len(run), 4 * size):
-                    ids = run[k : k + 4 * size]
-                    row = (doc_id, k // (4 * size), k // 4, len(ids) // 4, zlib.crc32(ids), ids)
-                    for column, value in zip(out, row, strict=False):
-                        column.append(value)
-            yield batch(schema, out)
+        try:
+            for b in batches:
+                out = [[] for _ in schema.split(", ")]
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    run = ids_of(text.as_py()) + end
+                    for k in range(0, len(run), 4 * size):
+                        ids = run[k : k + 4 * size]
+                        row = (doc_id, k // (4 * size), k // 4, len(ids) // 4, zlib.crc32(ids), ids)
+                        for column, value in zip(out, row, strict=False):
+                            column.append(value)
+                yield batch(schema, out)
+        finally:  # a worker goes on with other work, for which it should not hold the words of this
+            ids_of.clear()
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint"), as_bytes(F.col(text_col))), run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, checkpoint, discard, groups_of, map_arrow, release, table, written
-from .components import components, spanning_forest
+from .components import components, forest_of, spanning_forest
 from .words import Runs, by_text, distinct, places
 
 WORDS, BITS = 4, 4
@@ -253,7 +253,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     def connect(pairs: DataFrame) -> DataFrame:
         """Roots once the similar ones of the pairs are linked, too."""
         nonlocal links
-        found = checkpoint(spanning_forest(_verified(pairs, nodes, texts, words, similarity)))
+        found = checkpoint(_verified(pairs, nodes, texts, words, similarity))
         links = found if links is None else links.unionByName(found)
         release(docs.sparkSession)
         return components(links)
@@ -367,7 +367,7 @@ def _prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> Dat
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, key, text) are similar enough."""
+    """A forest, by batches, of the pairs (a, b) whose texts (doc_id, key, text) are similar enough."""
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "key"), "node"))
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = texts.join(small, (texts["key"] == small["key"]) & texts["doc_id"].eqNullSafe(small["doc_id"]))
@@ -382,10 +382,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
             for group in groups_of([(x.column(2)[k] if k < len(a) else x.column(3)[k - len(a)]).as_py() for k in at.tolist()]):
                 found, text_of = distinct_shingles(Runs(group), words)
                 sets += np.split(found, np.cumsum(np.bincount(text_of, minlength=len(group)))[:-1])
-            near = []
-            for s, t in zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist(), strict=True):
+            near = np.zeros(len(a), bool)
+            for k, (s, t) in enumerate(zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist(), strict=True)):
                 both = len(np.intersect1d(sets[s], sets[t], assume_unique=True))
-                near.append(both >= similarity * (len(sets[s]) + len(sets[t]) - both) - SLACK)
-            yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                near[k] = both >= similarity * (len(sets[s]) + len(sets[t]) - both) - SLACK
+            yield forest_of(a[near].tolist(), b[near].tolist())
 
     return map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")
