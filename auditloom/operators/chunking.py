@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -20,25 +20,25 @@ NAIVE, FIXED, ADAPTIVE = "baseline_naive", "baseline_fixed", "adaptive_markdown"
 HARD_SPLIT = "hard_split"
 # What ends a sentence, and where an overlong one may be cut.
 SENTENCE = re.compile(r"[^。？！\n]*[。？！\n]|[^。？！\n]+")
-SOFT_CUTS = "]；，,.;"
+SOFT_CUTS = "]，；,.;"
 CONTINUED, TABLE_END = "(续表)", "</table>"
 ROW = re.compile(r"<tr.*?>.*?</tr>", re.S)
 #: A buffer under this share of a chunk is too short to stand alone.
 SHORT_SHARE = 0.1
 
 
-def sliding_windows(text: Column, size: int = catalog.CHUNK_SIZE, overlap: int = catalog.OVERLAP) -> Column:
-    """Array of windows; the last is the first that reaches the end. Null and empty texts have none."""
-    if not 0 <= overlap < size:
+def sliding_windows(text: Column, size: int | Column = catalog.CHUNK_SIZE, overlap: int = catalog.OVERLAP) -> Column:
+    """Array of windows; the last is the first that reaches the end. Null and empty texts have none. A size may be a column above the overlap."""
+    if isinstance(size, int) and not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than the chunk size")
     step = size - overlap
     n = F.length(text)
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, size if isinstance(size, Column) else F.lit(size)))
     return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
 
 
-def chunk_sliding(docs: DataFrame, size: int = catalog.CHUNK_SIZE, overlap: int = catalog.OVERLAP) -> DataFrame:
+def chunk_sliding(docs: DataFrame, size: int | Column = catalog.CHUNK_SIZE, overlap: int = catalog.OVERLAP) -> DataFrame:
     """Adds chunk_idx, chunk, length and strategy to (…, text); the text goes."""
     others = [c for c in docs.columns if c != "text"]
     out = docs.select(*others, F.posexplode(sliding_windows(F.col("text"), size, overlap)).alias("chunk_idx", "chunk"))
@@ -220,26 +220,22 @@ def dispatch(docs: DataFrame, renditions: DataFrame, size: int = catalog.CHUNK_S
     """
     from .markdown import markdown_blocks
 
-    best = renditions.groupBy("base_name").agg(F.min_by("text", "priority").alias("markdown"))
-    joined = docs.join(best, "base_name", "left")
-    adaptive = (F.col("strategy") == "ours-adaptive") & F.col("markdown").isNotNull()
-    fixed = (F.col("strategy") == "ours-fixed") | ((F.col("strategy") == "ours-adaptive") & F.col("markdown").isNull())
-    plain = lambda cond: joined.filter(cond).select("doc_id", "text")
-    out = None
-    for archive, n in ((False, size), (True, archive_size)):
-        kind = (F.col("suffix") == "chm") == archive
-        parts = [
-            chunk_sliding(plain(kind & (F.col("strategy") == "baseline-naive")), n).withColumn("note", F.lit(None).cast("string")),
-            chunk_paragraphs(plain(kind & fixed), n, compat),
-            chunk_markdown(markdown_blocks(joined.filter(kind & adaptive).select("doc_id", F.col("markdown").alias("text"))), n),
-        ]
-        for p in parts:
-            p = p.select("doc_id", "chunk_idx", "chunk", "length", "strategy", "note")
-            out = p if out is None else out.unionByName(p)
-    return out
+    best = renditions.groupBy("base_name").agg(F.min_by("text", "priority").alias("_markdown"))
+    sized = docs.select("doc_id", "base_name", "strategy", "text", F.when(F.coalesce(F.col("suffix") == "chm", F.lit(False)), archive_size).otherwise(size).alias("_size"))
+    naive = sized.filter(F.col("strategy") == "baseline-naive").select("doc_id", "text", "_size")
+    naive = chunk_sliding(naive, F.col("_size")).withColumn("note", F.lit(None).cast("string"))
+    rest = sized.filter(F.col("strategy").isin("ours-fixed", "ours-adaptive")).join(best, "base_name", "left")
+    adaptive = (F.col("strategy") == "ours-adaptive") & F.col("_markdown").isNotNull()
+    fixed = _fold(rest.filter(~adaptive).select("doc_id", "text", "_size"), lambda text, n: [(c, None) for c in pack_paragraphs(text or "", n, compat)], FIXED, ["text", "_size"])
+    blocks = markdown_blocks(rest.filter(adaptive).select("doc_id", F.col("_markdown").alias("text")))
+    one = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_idx", "content", "header_text"))).alias("blocks"))
+    one = one.join(rest.filter(adaptive).select("doc_id", "_size"), "doc_id")
+    packed = _fold(one, lambda blocks, n: pack_blocks([(b["content"], b["header_text"]) for b in blocks], n), ADAPTIVE, ["blocks", "_size"])
+    parts = [x.select("doc_id", "chunk_idx", "chunk", "length", "strategy", "note") for x in (naive, fixed, packed)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_idx, strategy, length, total_chunks), without the naive strategy, which keeps none."""
-    totals = chunks.filter(F.col("strategy") != NAIVE).groupBy("doc_id").agg(F.count("*").alias("total_chunks"))
-    return chunks.join(totals, "doc_id").select("doc_id", "chunk_idx", F.when(F.col("strategy") == FIXED, "ours_fixed").otherwise(F.col("strategy")).alias("strategy"), "length", "total_chunks")
+    kept = chunks.filter(F.col("strategy") != NAIVE).select("doc_id", "chunk_idx", F.when(F.col("strategy") == FIXED, "ours_fixed").otherwise(F.col("strategy")).alias("strategy"), "length")
+    return kept.withColumn("total_chunks", F.count("*").over(Window.partitionBy("doc_id")))

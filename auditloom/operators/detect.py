@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .. import catalog
 
 #: Words up to which they become part of the expression; words of one automaton beyond that.
-INLINE_WORDS, AUTOMATON_WORDS = 1000, 200_000
+INLINE_WORDS, AUTOMATON_WORDS = 48, 200_000
+#: Words of a lexicon up to which it is broadcast.
+BROADCAST_WORDS = 2_000_000
 SENSITIVE = "敏感词"
 # Pairs of opening and closing signs, signs that stand for themselves, and signs of broken encodings.
 PAIRS = [("“", "”"), ("‘", "’"), ("《", "》"), ("(", ")"), ("（", "）")]
@@ -87,8 +89,11 @@ def _words(text: Column) -> Column:
 def detect_spelling(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, word, n): English words not in the lexicon (word, lower case). Mixed case, capitals, digits and underscores are exempt."""
     plain = F.filter(_words(F.col("text")), lambda w: w.rlike("^[A-Za-z]?[a-z]+$") & (F.length(w) > 1))
-    used = docs.select("doc_id", F.explode(F.transform(plain, F.lower)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return used.join(lexicon.select("word").distinct(), "word", "left_anti")
+    used = docs.select("doc_id", F.explode(F.transform(plain, F.lower)).alias("word"))
+    known = lexicon.select("word").distinct()
+    if known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:  # then only unknown words are shuffled
+        return used.join(F.broadcast(known), "word", "left_anti").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return used.groupBy("doc_id", "word").agg(F.count("*").alias("n")).join(known, "word", "left_anti")
 
 
 def detect_term_variants(docs: DataFrame, variants: DataFrame) -> DataFrame:

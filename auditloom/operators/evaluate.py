@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .reports import dedupe_findings
@@ -90,8 +90,8 @@ def parse_experiment(name: Column) -> tuple[Column, Column]:
 
 def best_runs(metrics: DataFrame, by: tuple[str, ...] = ("strategy", "mode")) -> DataFrame:
     """The run with the highest F1 of each configuration, then the first by name."""
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f1"), "experiment"))
-    return metrics.withColumn("_n", nth).filter("_n = 1").drop("_n")
+    best = F.min_by(F.struct(*metrics.columns), F.struct(-F.col("f1"), "experiment")).alias("_best")
+    return metrics.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(best).select("_best.*")
 
 
 def dataset_stats(docs: DataFrame) -> DataFrame:

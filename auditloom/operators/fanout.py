@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -64,6 +64,6 @@ def route(work: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def dedupe_uploads(files: DataFrame, name: str = "file_name", size: str = "size", arrival: str = "arrival") -> DataFrame:
-    """Of uploads with one name and size the first stays."""
-    nth = F.row_number().over(Window.partitionBy(name, size).orderBy(arrival))
-    return files.withColumn("_n", nth).filter("_n = 1").drop("_n")
+    """Of uploads with one name and size the first stays, of several at once that of least hash."""
+    first = F.min_by(F.struct(*files.columns), F.struct(arrival, F.xxhash64(*files.columns))).alias("_first")
+    return files.groupBy(name, size).agg(first).select("_first.*")

@@ -59,5 +59,5 @@ def export_selection(findings: DataFrame, scan_item: str | None = None) -> DataF
 
 def dedupe_findings(findings: DataFrame, keys: tuple[str, ...] = ("file_name", "scan_item", "sentence", "suggestion")) -> DataFrame:
     """One finding, the one with the least id, for each file, check, sentence and suggestion."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("finding_id"))
-    return findings.withColumn("_n", nth).filter("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*findings.columns), "finding_id").alias("_first")
+    return findings.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first).select("_first.*")

@@ -27,13 +27,20 @@ _BROKEN = "replace(replace(text, '. ', '.' || chr(10)), '!! ', '!!' || chr(10))"
 for _letter in "etirhoO":
     _BROKEN = f"replace({_BROKEN}, ' {_letter}', chr(10) || '{_letter}')"
 _SHORT_LINES = f"SELECT doc_id, {_BROKEN} AS text FROM {{documents}}"
-_PACKED = f"""
+
+
+def packed_sql(size: int) -> str:
+    """WITH clauses that end in c (doc_id, chunk_idx, chunk): short lines packed while they fit."""
+    return f"""
 WITH RECURSIVE d AS ({_SHORT_LINES}), l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, line FROM (SELECT doc_id, i, trim(ls[i + 1]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), unnest(range(len(ls))) AS u(i)) WHERE line <> ''),
 f(doc_id, n, held, chunk_idx) AS (SELECT doc_id, n, length(line) + 1, 0 FROM l WHERE n = 1
-  UNION ALL SELECT l.doc_id, l.n, CASE WHEN f.held + length(line) + 1 <= {SIZE} THEN f.held + length(line) + 1 ELSE length(line) + 1 END, CASE WHEN f.held + length(line) + 1 <= {SIZE} THEN f.chunk_idx ELSE f.chunk_idx + 1 END FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n + 1),
+  UNION ALL SELECT l.doc_id, l.n, CASE WHEN f.held + length(line) + 1 <= {size} THEN f.held + length(line) + 1 ELSE length(line) + 1 END, CASE WHEN f.held + length(line) + 1 <= {size} THEN f.chunk_idx ELSE f.chunk_idx + 1 END FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n + 1),
 c AS (SELECT f.doc_id, chunk_idx, string_agg(line || chr(10), '' ORDER BY f.n) AS chunk FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n GROUP BY f.doc_id, chunk_idx)"""
 
 
+_PACKED = packed_sql(SIZE)
+
+
 @query("chunk_paragraphs", f"{_PACKED} SELECT doc_id, cast(chunk_idx AS integer) AS chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM c")
 def _(t: Tables):
     chunks = chunking.chunk_paragraphs(t.sql(_SHORT_LINES), SIZE)
@@ -58,12 +65,19 @@ def _(t: Tables):
 
 
 _BLOCK_SIZE = 3000
-_PACKED_BLOCKS = f"""{_BLOCKS_SQL.replace('WITH ml', 'WITH RECURSIVE ml', 1)},
+
+
+def packed_blocks_sql(size: int) -> str:
+    """The same of Markdown blocks, none of which is longer than `size`."""
+    return f"""{_BLOCKS_SQL.replace('WITH ml', 'WITH RECURSIVE ml', 1)},
 f(doc_id, block_idx, held, chunk_idx) AS (SELECT doc_id, block_idx, length(content) + 1, 0 FROM blocks WHERE block_idx = 0
-  UNION ALL SELECT b.doc_id, b.block_idx, CASE WHEN f.held + length(b.content) <= {_BLOCK_SIZE} OR f.held < {_BLOCK_SIZE} * 0.1 THEN f.held + length(b.content) + 1 ELSE length(b.content) + 1 END, CASE WHEN f.held + length(b.content) <= {_BLOCK_SIZE} OR f.held < {_BLOCK_SIZE} * 0.1 THEN f.chunk_idx ELSE f.chunk_idx + 1 END FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx + 1),
+  UNION ALL SELECT b.doc_id, b.block_idx, CASE WHEN f.held + length(b.content) <= {size} OR f.held < {size} * 0.1 THEN f.held + length(b.content) + 1 ELSE length(b.content) + 1 END, CASE WHEN f.held + length(b.content) <= {size} OR f.held < {size} * 0.1 THEN f.chunk_idx ELSE f.chunk_idx + 1 END FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx + 1),
 c AS (SELECT f.doc_id, chunk_idx, string_agg(content, chr(10) ORDER BY f.block_idx) AS chunk FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx GROUP BY f.doc_id, chunk_idx)"""
 
 
+_PACKED_BLOCKS = packed_blocks_sql(_BLOCK_SIZE)
+
+
 @query("chunk_markdown", f"{_PACKED_BLOCKS} SELECT doc_id, cast(chunk_idx AS integer) AS chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM c")
 def _(t: Tables):
     chunks = chunking.chunk_markdown(markdown.markdown_blocks(markdown_docs(t)), _BLOCK_SIZE)
@@ -89,11 +103,22 @@ def _(t: Tables):
     return chunks.groupBy("doc_id").agg(F.size(parts).cast("bigint").alias("n_rows"), F.md5(F.array_join(parts, "")).alias("digest"), F.bool_and(good).alias("whole"))
 
 
-_DISPATCHED = "SELECT doc_id, 'd' || cast(doc_id AS string) AS base_name, CASE WHEN doc_id % 5 = 0 THEN 'chm' ELSE 'docx' END AS suffix, CASE doc_id % 4 WHEN 0 THEN 'baseline-naive' WHEN 1 THEN 'ours-fixed' WHEN 2 THEN 'ours-adaptive' ELSE 'other' END AS strategy, text FROM {documents}"
+_DISPATCHED = f"SELECT doc_id, 'd' || cast(doc_id AS string) AS base_name, CASE WHEN doc_id % 5 = 0 THEN 'chm' ELSE 'docx' END AS suffix, CASE doc_id % 4 WHEN 0 THEN 'baseline-naive' WHEN 1 THEN 'ours-fixed' WHEN 2 THEN 'ours-adaptive' ELSE 'other' END AS strategy, text FROM ({_SHORT_LINES})"
+_ARCHIVE_SIZE = 8000
+
+
+def _of_size(size: int, archive: bool) -> str:
+    """Chunks of the documents of one kind, each under its strategy; the parts are those of the single strategies."""
+    kind = f"doc_id % 5 {'=' if archive else '<>'} 0"
+    rendered = "doc_id IN (SELECT conv_id FROM conversations)"
+    naive = windows_sql(size, 0).replace("FROM documents", f"FROM ({_SHORT_LINES})")
+    return f"""SELECT doc_id, 'baseline_naive' AS strategy, chunk_idx, chunk FROM ({naive}) WHERE doc_id % 4 = 0 AND {kind}
+      UNION ALL SELECT doc_id, 'baseline_fixed', chunk_idx, chunk FROM ({packed_sql(size)} SELECT * FROM c) WHERE {kind} AND (doc_id % 4 = 1 OR (doc_id % 4 = 2 AND NOT {rendered}))
+      UNION ALL SELECT doc_id, 'adaptive_markdown', chunk_idx, chunk FROM ({packed_blocks_sql(size)} SELECT * FROM c) WHERE {kind} AND doc_id % 4 = 2 AND doc_id IN (SELECT doc_id FROM documents)"""
 
 
-@query("chunk_dispatch", f"WITH d AS ({_DISPATCHED}), r AS (SELECT DISTINCT 'd' || cast(conv_id AS string) AS base_name FROM {{conversations}}) SELECT d.doc_id, CASE strategy WHEN 'baseline-naive' THEN 'baseline_naive' WHEN 'ours-adaptive' THEN (CASE WHEN r.base_name IS NULL THEN 'baseline_fixed' ELSE 'adaptive_markdown' END) ELSE 'baseline_fixed' END AS strategy, CASE WHEN strategy = 'baseline-naive' THEN cast(CASE WHEN length(text) <= (CASE suffix WHEN 'chm' THEN 8000 ELSE 2000 END) THEN 1 ELSE ceil(length(text) / (CASE suffix WHEN 'chm' THEN 8000 ELSE 2000 END)) END AS bigint) ELSE 0 END AS windows FROM d LEFT JOIN r USING (base_name) WHERE strategy <> 'other' AND length(trim(text)) > 0")
+@query("chunk_dispatch", f"WITH x AS ({_of_size(_BLOCK_SIZE, False)} UNION ALL {_of_size(_ARCHIVE_SIZE, True)}) SELECT doc_id, strategy, cast(chunk_idx AS integer) AS chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM x")
 def _(t: Tables):
     renditions = markdown_docs(t).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("base_name"), F.lit(1).alias("priority"), "text")
-    chunks = chunking.dispatch(t.sql(_DISPATCHED), renditions)
-    return chunks.groupBy("doc_id", "strategy").agg(F.sum(F.when(F.col("strategy") == chunking.NAIVE, 1).otherwise(0)).alias("windows"))
+    chunks = chunking.dispatch(t.sql(_DISPATCHED), renditions, _BLOCK_SIZE, _ARCHIVE_SIZE)
+    return chunks.select("doc_id", "strategy", "chunk_idx", "length", F.md5("chunk").alias("digest"))

@@ -53,7 +53,7 @@ def _answer(part):
 
 @query("score_requests", "SELECT doc_id, '[{\"问题类型\": \"w\", \"问题所在句子\": \"' || replace(string_split(text, ' ')[1], chr(10), ' ') || '\"}]' AS content FROM {documents}")
 def _(t: Tables):
-    return scoring.score(t["documents"].select("doc_id", "text"), _answer, partitions=4).select("doc_id", "content")
+    return scoring.score(t["documents"].select("doc_id", "text"), _answer).select("doc_id", "content")
 
 
 _ANSWERS = """

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evaluate
+from ..operators import chunking, evaluate, markdown
 from .base import Tables, query
-from .chunking import windows_sql
+from .chunking import _BLOCK_SIZE, _SHORT_LINES, packed_blocks_sql, packed_sql, windows_sql
+from .text import markdown_docs
 
 SIZE = 2000
 _MARKED = "SELECT doc_id, replace(replace(text, '. ', '. - '), chr(10), chr(10) || '# ') AS text FROM {documents}"
@@ -43,14 +44,16 @@ def _(t: Tables):
     return t["pages"].select("page_id", evaluate.fragmented(F.col("html")).alias("fragmented"))
 
 
-_Q = ", ".join(["round(avg(length(chunk)), 6) AS mean_length", "cast(min(length(chunk)) AS integer) AS min_length", "cast(max(length(chunk)) AS integer) AS max_length", "cast(quantile_cont(length(chunk), 0.5) AS double) AS median_length", f"round(avg(({_DENSITY.replace('text', 'chunk')}) / length(chunk) * 1000), 6) AS marker_density", r"round(avg(length(regexp_replace(chunk, '\s', '', 'g')) / length(chunk)), 6) AS information_density", f"round(avg(({_START})::int), 6) AS valid_start", f"round(avg(({_END})::int), 6) AS valid_end", f"round(avg(({_START} AND {_END})::int), 6) AS intact", "0.0::double AS fragmented"])
+_Q = ", ".join(["round(avg(length(chunk)), 6) AS mean_length", "cast(min(length(chunk)) AS integer) AS min_length", "cast(max(length(chunk)) AS integer) AS max_length", "cast(quantile_cont(length(chunk), 0.5) AS double) AS median_length", f"round(avg(({_DENSITY.replace('text', 'chunk')}) / length(chunk) * 1000), 6) AS marker_density", r"round(avg(length(regexp_replace(chunk, '\s', '', 'g')) / length(chunk)), 6) AS information_density", f"round(avg(({_START})::int), 6) AS valid_start", f"round(avg(({_END})::int), 6) AS valid_end", f"round(avg(({_START} AND {_END})::int), 6) AS intact", "round(avg(((length(chunk) - length(replace(chunk, '<table', ''))) / 6 <> (length(chunk) - length(replace(chunk, '</table', ''))) / 7)::int), 6) AS fragmented"])
 
 
-@query("chunk_quality_by_strategy", f"WITH c AS (SELECT 'w2000' AS strategy, chunk FROM ({windows_sql(SIZE, 0)}) UNION ALL SELECT 'w500', chunk FROM ({windows_sql(500, 100)})) SELECT strategy, count(*) AS chunks, {_Q} FROM c GROUP BY strategy")
+@query("chunk_quality_by_strategy", f"WITH c AS (SELECT 'baseline_naive' AS strategy, chunk FROM ({windows_sql(SIZE, 0)}) UNION ALL SELECT 'baseline_fixed', chunk FROM ({packed_sql(SIZE)} SELECT chunk FROM c) UNION ALL SELECT 'adaptive_markdown', chunk FROM ({packed_blocks_sql(_BLOCK_SIZE)} SELECT chunk FROM c)) SELECT strategy, count(*) AS chunks, {_Q} FROM c GROUP BY strategy")
 def _(t: Tables):
-    docs = t["documents"].select("doc_id", "text")
-    both = chunking.chunk_sliding(docs, SIZE).withColumn("strategy", F.lit("w2000")).unionByName(chunking.chunk_sliding(docs, 500, 100).withColumn("strategy", F.lit("w500")))
-    out = evaluate.chunk_quality(both, exact=True)
+    """Windows, packed paragraphs and packed Markdown blocks side by side."""
+    columns = ["strategy", "chunk", "length"]
+    parts = [chunking.chunk_sliding(t["documents"].select("doc_id", "text"), SIZE), chunking.chunk_paragraphs(t.sql(_SHORT_LINES), SIZE), chunking.chunk_markdown(markdown.markdown_blocks(markdown_docs(t)), _BLOCK_SIZE)]
+    every = parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+    out = evaluate.chunk_quality(every, exact=True)
     return out.select(*[F.round(c, 6).alias(c) if k == "double" and c != "median_length" else c for c, k in out.dtypes])
 
 

@@ -29,16 +29,16 @@ def _(t: Tables):
     return readers.route_files(files).select("doc_id", "reader", "reason")
 
 
-@query("decode_html_blocks", "SELECT page_id % 10 AS doc_id, count(*) AS parts, sha256(string_agg(html, chr(10) ORDER BY path)) AS sha FROM (SELECT *, url || '#' || cast(page_id AS string) AS path FROM {pages}) GROUP BY page_id % 10")
+@query("decode_html_blocks", "SELECT page_id // 20 AS doc_id, count(*) AS parts, sha256(string_agg(html, chr(10) ORDER BY path)) AS sha FROM (SELECT *, url || '#' || cast(page_id AS string) AS path FROM {pages}) GROUP BY page_id // 20")
 def _(t: Tables):
-    files = t["pages"].select((F.col("page_id") % 10).alias("doc_id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    files = t["pages"].select(F.expr("page_id div 20").alias("doc_id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return readers.decode_html_blocks(files).select("doc_id", "parts", F.sha2("text", 256).alias("sha"))
 
 
 _CELLS = """
-SELECT p_partkey % 50 AS doc_id, p_size % 3 AS sheet_idx, 0 AS col_idx, p_partkey AS row_idx, p_name AS value FROM {part}
-UNION ALL SELECT p_partkey % 50, p_size % 3, 1, p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END FROM {part}
-UNION ALL SELECT p_partkey % 50, p_size % 3, 2, p_partkey, p_type FROM {part}"""
+SELECT cast(floor(p_partkey / 200.0) AS bigint) AS doc_id, p_size % 3 AS sheet_idx, 0 AS col_idx, p_partkey AS row_idx, p_name AS value FROM {part}
+UNION ALL SELECT cast(floor(p_partkey / 200.0) AS bigint), p_size % 3, 1, p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END FROM {part}
+UNION ALL SELECT cast(floor(p_partkey / 200.0) AS bigint), p_size % 3, 2, p_partkey, p_type FROM {part}"""
 
 
 @query("assemble_sheet_text", f"WITH c AS ({_CELLS}) SELECT doc_id, coalesce(string_agg(value, chr(10) ORDER BY sheet_idx, col_idx, row_idx) FILTER (row_idx > 0 AND value IS NOT NULL), '') AS text, count(DISTINCT sheet_idx) AS sheets FROM c GROUP BY doc_id")
@@ -98,7 +98,7 @@ def _(t: Tables):
 
 @query("load_task_tables", f"WITH t AS ({TASKS}), m AS ({MATERIALS}) SELECT status, count(DISTINCT t.task_id) AS tasks, count(file_name) AS materials FROM t LEFT JOIN m ON m.task_id = t.task_id GROUP BY status")
 def _(t: Tables):
-    joined = t.sql(TASKS).join(t.sql(MATERIALS).select("task_id", "file_name"), "task_id", "left")
+    joined = readers.load_task_tables(t.sql(TASKS), t.sql(MATERIALS))
     return joined.groupBy("status").agg(F.count_distinct("task_id").alias("tasks"), F.count("file_name").alias("materials"))
 
 

@@ -113,6 +113,12 @@ def export_report(findings: DataFrame, path: str) -> None:
     named.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
+def load_task_tables(tasks: DataFrame, materials: DataFrame) -> DataFrame:
+    """Tasks with their materials: a row for each material, and one with nulls for a task without any. Columns of the same name are the task's."""
+    extra = [c for c in materials.columns if c == "task_id" or c not in tasks.columns]
+    return tasks.join(materials.select(*extra), "task_id", "left")
+
+
 def document_summary(docs: DataFrame) -> DataFrame:
     """Characters and parts of each document and, with doc_id null, of each task: (task_id, doc_id, text, parts)."""
     sizes = docs.select("task_id", "doc_id", F.length("text").cast("bigint").alias("words"), F.col("parts").cast("bigint").alias("parts"))
