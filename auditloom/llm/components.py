@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import batch, checkpoint, map_arrow
 
-LINKS = "a bigint, b bigint"
+LINKS, ROOTS = "a bigint, b bigint", "node bigint, root bigint"
 #: More rounds than any link table needs: each halves the longest path at least.
 MOST_ROUNDS = 60
+#: Links that one task connects.
+ONE_TASK_LINKS = 100_000
 
 
 def spanning_forest(links: DataFrame) -> DataFrame:
@@ -52,9 +54,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps on links that point from the larger to the smaller node: each node hands its larger neighbours
     to its least one, then its smaller ones. A node's links are never gathered in one row; a node with very many links is
-    a skewed join key, which adaptive execution splits.
+    a skewed join key, which adaptive execution splits. Up to ONE_TASK_LINKS links, which need a bounded memory, are
+    connected by one task instead of by dozens of small shuffles.
     """
-    down = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = checkpoint(links.select("a", "b").filter("a <> b"))
+    if links.count() <= ONE_TASK_LINKS:
+        return checkpoint(_in_one_task(links))
+    down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     down = checkpoint(down)
     seen = None
     for _ in range(MOST_ROUNDS):
@@ -71,3 +77,18 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return down.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        nodes: set[int] = set()
+        for x in batches:
+            for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+                nodes |= {a, b}
+                a, b = _find(root, a), _find(root, b)
+                root[max(a, b)] = min(a, b)
+        found = list(nodes)
+        yield batch(ROOTS, [found, [_find(root, n) for n in found]])
+
+    return map_arrow(links.coalesce(1), run, ROOTS)

@@ -28,13 +28,15 @@ def connected(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(1)
     for links in ([(k, k + 1) for k in range(60)], [(r.randint(0, 80), r.randint(0, 80)) for _ in range(70)], [(0, k) for k in range(1, 40)], []):
         df = spark.createDataFrame(links, "a bigint, b bigint")
-        got = {r.node: r.root for r in components.components(components.spanning_forest(df)).collect()}
         want = connected({n for x in links for n in x}, links)
-        assert got == {n: w for n, w in want.items() if n in got} and all(n == want[n] for n in set(want) - set(got))
+        for most in (100_000, 0):  # in one task, and by joins
+            monkeypatch.setattr(components, "ONE_TASK_LINKS", most)
+            got = {r.node: r.root for r in components.components(components.spanning_forest(df)).collect()}
+            assert got == {n: w for n, w in want.items() if n in got} and all(n == want[n] for n in set(want) - set(got))
 
 
 def brute_print(text, words):
