@@ -140,3 +140,36 @@ def test_keywords_match(spark):
     truth = spark.createDataFrame([(1, "e", "f", "x", "never", ["k"])], "gt_id int, experiment string, file_name string, injected_text string, expected_correction string, keywords array<string>")
     found = spark.createDataFrame([(7, "e", "f", "axb", "a k"), (8, "e", "f", "axb", "z")], "finding_id int, experiment string, file_name string, sentence string, suggestion string")
     assert [r.finding_id for r in evaluate.match_ground_truth(truth, found).collect()] == [7]
+
+
+def test_reviewed_audit(spark, tmp_path):
+    from auditloom.plans import audit
+
+    def detector(part):
+        return ['[{"问题类型": "p", "问题所在句子": "' + c.split()[0] + '"}]' for c in part["chunk"]]
+
+    def reviewer(part):
+        if "boom" in set(part["sentence"]):
+            raise ValueError("down")
+        return ['{"decision": "True"}' if s == "good" else "no JSON" if s == "odd" else '{"decision": "False"}' for s in part["sentence"]]
+
+    both = ["scanItem6002", "scanItem6002", "scanItem99999", "scanItem6003", "scanItem1"]
+    rows = [(1, 1, "a.md", both, "good token"), (1, 2, "b.md", ["scanItem6002"], "bad x"), (1, 3, "c.md", ["scanItem6002"], "odd x"), (2, 4, "d.md", both, ""), (2, 5, "e.md", both, None), (2, 6, "f.md", None, "good")]
+    docs = spark.createDataFrame(rows, "task_id bigint, doc_id bigint, file_name string, scan_items array<string>, text string").coalesce(1)
+    words = spark.createDataFrame([("token",), ("",)], "word string")
+    models = spark.createDataFrame([("english", "m")], "language string, model string")
+    shape = lambda x: sorted((r.doc_id, r.scan_item, r.sentence) for r in x.collect())
+
+    detected, final = audit.reviewed_audit(docs, words, models, detector, reviewer, str(tmp_path / "one"))
+    good, word = (1, "scanItem6002", "good"), (1, "scanItem99999", "检测到敏感词：token")
+    assert shape(detected) == sorted([good, good, word, (2, "scanItem6002", "bad"), (3, "scanItem6002", "odd")])
+    assert shape(final) == sorted([good, good, word])
+    assert {(r.sentence, r.review) for r in final.collect()} == {("good", "confirmed"), (word[2], "bypassed")}
+    assert spark.read.csv(str(tmp_path / "one/final-csv"), header=True).count() == 3
+    assert spark.read.json(str(tmp_path / "one/final-json")).count() == 3
+
+    failing = docs.withColumn("text", F.lit("boom x"))
+    detected, final = audit.reviewed_audit(failing, words, models, detector, reviewer, str(tmp_path / "two"))
+    assert shape(final) == shape(detected) and {r.review for r in final.collect()} == {"unreviewed"}
+    detected, final = audit.reviewed_audit(docs.limit(0), words, models, detector, reviewer, str(tmp_path / "three"))
+    assert detected.count() == final.count() == 0
