@@ -21,24 +21,30 @@ def suggestion_text(suggestion: Column) -> Column:
 
 
 def issue_page(findings: DataFrame, page: int, limit: int = USUAL_PAGE) -> DataFrame:
-    """One page of every task's report, with what a list of issues shows."""
+    """One page of every task's report, with what a list of issues shows.
+
+    Spark takes the first page * limit rows of a task in each partition before it shuffles, up to spark.sql.optimizer.windowGroupLimitThreshold rows.
+    """
     limit = min(limit, MOST_A_PAGE)
     placed = with_place(findings).filter(F.col("place").between((page - 1) * limit + 1, page * limit))
     return placed.select("task_id", "place", F.col("problem_type").alias("type"), F.col("file_name").alias("location"), F.col("sentence").alias("question"), suggestion_text(F.col("suggestion")).alias("suggestion"))
 
 
 def filter_issues(findings: DataFrame, page: int, problem_type: str | None = None, file_name: str | None = None) -> DataFrame:
-    """A screen of the matching issues of each task; a page past the end is the last one."""
+    """A screen of the matching issues of each task; a page past the end is the last one.
+
+    Matches are counted by an aggregate of their own, so that only the first screens of a task are sorted, as in issue_page().
+    """
     rows = findings
     if problem_type:
         rows = rows.filter(F.col("problem_type") == problem_type)
     if file_name:
         rows = rows.filter(F.col("file_name") == file_name)
-    per_task = Window.partitionBy("task_id")
-    rows = rows.withColumns({"n": F.row_number().over(per_task.orderBy("seq", "finding_id")), "matches": F.count("*").over(per_task)})
-    pages = F.ceil(F.col("matches") / SCREEN_ROWS)
-    rows = rows.withColumn("page", F.least(F.lit(page), pages).cast("int"))
-    return rows.filter((F.col("n") > (F.col("page") - 1) * SCREEN_ROWS) & (F.col("n") <= F.col("page") * SCREEN_ROWS))
+    matches = rows.groupBy(F.col("task_id").alias("_task")).agg(F.count("*").alias("matches"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("task_id").orderBy("seq", "finding_id"))).filter(F.col("n") <= page * SCREEN_ROWS)
+    first = first.join(matches, F.col("task_id").eqNullSafe(F.col("_task"))).drop("_task")
+    first = first.withColumn("page", F.least(F.lit(page), F.ceil(F.col("matches") / SCREEN_ROWS)).cast("int"))
+    return first.filter((F.col("n") > (F.col("page") - 1) * SCREEN_ROWS) & (F.col("n") <= F.col("page") * SCREEN_ROWS))
 
 
 def issue_facets(findings: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..folders import shared_folder
 from ..operators import fanout
 from ..streaming import audit
 from .base import Tables, query
@@ -16,7 +16,7 @@ from .inputs import DOCUMENTS
 
 
 def _folder(t: Tables) -> str:
-    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='auditloom-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_audit", f"WITH d AS ({DOCUMENTS}), w AS ({WORDS}), c AS ({windows_sql(2000, 0)}) SELECT d.doc_id, chunk_idx, word FROM c JOIN d ON c.doc_id = d.doc_id JOIN w ON contains(chunk, word) WHERE items LIKE '%scanItem99999%'")

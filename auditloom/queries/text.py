@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-
+from ..folders import shared_folder
 from ..functions import text as fx
 from ..operators import layout, markdown
 from ..sources import readers
@@ -18,9 +18,7 @@ SPACES = r"^[\s]+|[\s]+$"
 
 def _folder(t: Tables) -> str:
     """A new folder where all executors see it."""
-    import tempfile
-
-    return f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='auditloom-')}/report-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}"
 
 
 @query("read_documents", f"WITH d AS ({DOCUMENTS}) SELECT doc_id, CASE WHEN file_name LIKE '%.xlsx' THEN 'sheets' WHEN file_name LIKE '%.pptx' THEN 'slides' WHEN file_name LIKE '%.tar' THEN NULL ELSE lower(split_part(file_name, '.', 2)) END AS reader, CASE WHEN file_name LIKE '%.tar' THEN 'cannot read .tar' END AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'a.tar' ELSE file_name END AS file_name FROM d)")
