@@ -132,7 +132,7 @@ def candidates(text: str) -> Iterator[Span]:
                 yield "ip", first, end
             if n <= 15:
                 yield "phone", start, end
-            if n >= 12:
+            if n >= 12 and luhn(digits_of(text[first:end])):
                 yield "card", first, end
         for m in _LONG.finditer(text):
             if _DIGIT.search(m[0]) and not m[0].isdecimal():
@@ -183,7 +183,7 @@ def _written(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     ]
     no = [
         ("email", lambda: f"{word()}@{word()}"), ("ip", lambda: f"{r.randint(256, 999)}.{digits(3)}.{digits(4)}.{digits(2)}"), ("ip", lambda: f"{digits(1)}.{digits(2)}.{digits(1)}.{digits(4)}.{digits(1)}"), ("phone", lambda: f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}"),
-        ("phone", lambda: f"{digits(4)}.{digits(8)}"), ("phone", lambda: digits(r.randint(9, 15))), ("card", lambda: digits(15) + "x"), ("card", lambda: f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}:{digits(2)}"), ("secret", lambda: "-".join(word() for _ in range(5)) + digits(1)), ("secret", lambda: "/".join(word() for _ in range(4)) + "/" + digits(2)), ("secret", lambda: word(6, 8)), ("id", lambda: f"{word().upper()[:2]}{digits(2)} {word(4, 4).upper()} {word(4, 4).upper()} {word(4, 4).upper()}"),
+        ("phone", lambda: f"{digits(4)}.{digits(8)}"), ("phone", lambda: digits(r.randint(9, 15))), ("card", lambda: f"{r.randint(1900, 2030)}-{digits(2)}-{digits(2)} {digits(2)}:{digits(2)}:{digits(2)}"), ("secret", lambda: "-".join(word() for _ in range(5)) + digits(1)), ("secret", lambda: "/".join(word() for _ in range(4)) + "/" + digits(2)), ("secret", lambda: word(6, 8)), ("id", lambda: f"{word().upper()[:2]}{digits(2)} {word(4, 4).upper()} {word(4, 4).upper()} {word(4, 4).upper()}"),
     ]
     x, y = [], []
     for k in range(n):
@@ -193,8 +193,8 @@ def _written(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             before += r.choice(_CONTEXT[kind]) + r.choice([": ", " "])
         if kind == "secret" and k % 2:
             before += r.choice(['token = "', "password=", 'api_key: "'])
-        s = make().removesuffix("x")
-        if kind == "card" and not k % 2 and luhn(digits_of(s)):
+        s = make()
+        if kind == "card" and not luhn(digits_of(s)):  # never proposed
             continue
         x.append(features(before + s + " " + word(), kind, len(before), len(before) + len(s)))
         y.append(k % 2)
@@ -216,7 +216,7 @@ def _written(n: int = 2400, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         else:
             text = head + r.choice([times, lambda: row(" "), lambda: row(" .-:/"), lambda: row(". "), lambda: row(" -")])() + tail
             kind = r.choice(["card", "phone"])
-            spans = [(kind, a, b) for a, b, m in numbers(text) if (12 <= m if kind == "card" else m <= 15)]
+            spans = [(kind, a, b) for a, b, m in numbers(text) if (12 <= m and luhn(digits_of(text[a:b])) if kind == "card" else m <= 15)]
             spans = r.sample(spans, min(2, len(spans)))
         x += [features(text, *span) for span in spans]
         y += [k % 2] * len(spans)
@@ -295,7 +295,7 @@ def thresholds(scores: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision:
 
 
 def weak_labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Candidates that a validator speaks for or against, with features."""
+    """Candidates that a validator speaks for or against, with features; digits that fail Luhn are no card, so they aren't candidates."""
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
@@ -304,7 +304,7 @@ def weak_labels(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(doc_id, s, int(ok), features(text, kind, s, e)) for kind, s, e, ok in base_matches(text) if ok or kind != "card" or e - s >= 9]
+                rows += [(doc_id, s, int(ok), features(text, kind, s, e)) for kind, s, e, ok in base_matches(text) if ok or kind != "card"]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.float64()))], names=schema.names)
 
@@ -368,11 +368,11 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-REPORT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+REPORT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Counts of base spans, a digest of them, and all spans, for each row; a null text has none. Offsets are code points."""
+    """Counts of base spans, a digest of them, all spans, and how many are added and in all, for each row; a null text has none. Offsets are code points."""
     model, limits = fit(docs, id_col, text_col, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,8 +381,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
             for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 base, added = find_spans(raw.as_py().decode("utf-8", "replace"), model, limits)
                 spans = sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
-                out.append((doc_id, *(sum(k == kind for k, _, _ in base) for kind in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(added)))
-            yield batch(REPORT, list(zip(*out, strict=True)) or [[]] * 8)
+                out.append((doc_id, *(sum(k == kind for k, _, _ in base) for kind in KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(added), len(spans)))
+            yield batch(REPORT, list(zip(*out, strict=True)) or [[]] * 9)
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint"), as_bytes(F.col(text_col))), run, REPORT)
 

@@ -59,6 +59,7 @@ def test_numbers_side_by_side_and_long_tokens(model):
     found = lambda text: [(k, text[s:e]) for k, s, e in pii.find_spans(text, *model)[1]]
     assert found("pay 7536784127813050 4845168114407329 now") == [("card", "7536784127813050"), ("card", "4845168114407329")]
     assert found("Des +1 (826) 555-4081 190.137.223.204 du") == [("phone", "+1 (826) 555-4081")]
+    assert not any(k == "card" for k, _ in found("card 4111 1111 1111 1112 now"))  # fails Luhn
     text, token = "1 22 333 4444 55555 666666", "a1B2c3D4" * 50
     got = {text[s:e] for s, e, _ in pii.numbers(text)}
     groups = text.split()
@@ -72,6 +73,7 @@ def test_pii_rows(spark):
     docs = spark.createDataFrame([(1, "é a@b.cd 1.2.3.4"), (2, None), (3, "no"), (None, "+1 (555) 123-4567")], "doc_id bigint, text string").withColumn("spans", pii.F.lit(1))
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     assert got[1].spans.split(",")[:2] == ["email:2:8", "ip:9:16"] and got[1].n_email == got[1].n_ip == 1
+    assert [got[k].n_spans for k in (1, 2, 3, None)] == [2, 0, 0, 1]
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[None].n_phone == 1
     assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["<phone>", "é <email> <ip>", None, "no"]
     assert pii.find_pii(docs.limit(0)).count() == 0
