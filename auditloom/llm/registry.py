@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, packing, pii, repeats, simhash
+from . import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, packing, pii, repeats, simhash, token_counts
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_token_counts": token_counts.op12_token_counts,
 }
 
 ORACLES = {
