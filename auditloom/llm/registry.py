@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_text, language_id, line_dedup, packing, pii, repeats, simhash, token_counts
+from . import chat, decontaminate, exact_dedup, hard_negatives, html_text, language_id, line_dedup, packing, pii, repeats, simhash, token_counts, variants
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 ORACLES = {
@@ -23,4 +25,6 @@ ORACLES = {
     "op7_repeats": repeats.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_spelling_variants": variants.SQL,
 }

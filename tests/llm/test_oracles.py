@@ -26,13 +26,16 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    vectors = [(k % 700 if k % 50 else None, [r.choice([0.5, -0.25, 0.013, r.random()]) for _ in range(6)], r.choice([0, 1, 1, 1, 4, 9])) for k in range(900)]
+    vectors += [(1400, None, 1), (1401, [0.5, None, 0.1, 0.1, 0.1, 0.1], 1), (1402, [float("nan")] * 6, 2), (1403, [float("-inf")] * 6, 2), (1500, [0.5] * 6, None)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").coalesce(2).write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
     found = registry.QUERIES[name](spark, folder)
     want = db.execute(registry.ORACLES[name])
