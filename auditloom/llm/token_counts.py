@@ -110,6 +110,20 @@ def count_pieces(pre_tokens: DataFrame, path: str, cut: bool = True) -> DataFram
     return map_arrow(pre_tokens.select("pre_token", "n"), run, schema)
 
 
+def hot_pre_tokens(pieces: DataFrame, hot: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens by name, at most `hot`: those above a frequency that the counts by its logarithm tell."""
+    level = F.floor(F.log2("n") * 16).alias("level")
+    left, least = hot, None
+    for r in sorted(pieces.groupBy(level).count().collect(), reverse=True):  # about a thousand rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.level
+    if least is None:
+        return {}
+    return {r.name: r.pieces for r in pieces.filter(F.floor(F.log2("n") * 16) >= least).select("name", "pieces").collect()}
+
+
 def token_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", path: str | None = None, limit: int = LIMIT, hot: int = HOT_PRE_TOKENS) -> DataFrame:
     """(…keys, n_bytes, n_tokens, over_limit), a row for each row of `docs`; other columns are ignored.
 
@@ -120,8 +134,7 @@ def token_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str
     path = path or public_vocabulary(MODEL)
     cut = cuts_hold(load(path))
     pieces = written(count_pieces(distinct_pre_tokens(docs, text, cut), path, cut))
-    known = {r.name: r.pieces for r in pieces.orderBy(F.desc("n"), "name").limit(hot).collect()}  # at most `hot` short names
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast(hot_pre_tokens(pieces, hot))
     rows = docs.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("keys"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), F.col(text).alias("text"))
     schema = T.StructType([*rows.drop("text").schema.fields, *[T.StructField(n, t) for n, t in (("n_hot", T.LongType()), ("rare", T.ArrayType(T.StringType())), ("times", T.ArrayType(T.LongType())))]])
 
