@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,3 +16,27 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().isLocal():
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder under shared_folder() that isn't there yet."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+    """`df` as a Parquet table, so that nothing before it runs again: under `path`, in place of what is there, or in a new folder."""
+    path = path or new_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The store that a path lies in, and the path, as Hadoop has them."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)

@@ -215,21 +215,22 @@ def choose_strategy(strategy: Column, adaptive: Column) -> Column:
 def dispatch(docs: DataFrame, renditions: DataFrame, size: int = catalog.CHUNK_SIZE, archive_size: int = catalog.ARCHIVE_CHUNK_SIZE, compat: bool = False) -> DataFrame:
     """(doc_id, chunk_idx, chunk, length, strategy, note) of (doc_id, base_name, suffix, strategy, text) under each document's strategy.
 
-    `renditions` (base_name, priority, text) are Markdown forms; the least priority wins. Adaptive documents without one
-    are packed by paragraphs. Archives have larger chunks. Rows of unknown strategy give nothing.
+    `renditions` (base_name, priority, text) are Markdown forms; the least priority wins, then the first text, and those
+    without a priority come last. Adaptive documents without one are packed by paragraphs. Archives have larger chunks.
+    Rows of unknown strategy give nothing. Rows without a doc_id, and rows that share one, are documents of their own.
     """
     from .markdown import markdown_blocks
 
-    best = renditions.groupBy("base_name").agg(F.min_by("text", "priority").alias("_markdown"))
-    sized = docs.select("doc_id", "base_name", "strategy", "text", F.when(F.coalesce(F.col("suffix") == "chm", F.lit(False)), archive_size).otherwise(size).alias("_size"))
+    best = renditions.groupBy("base_name").agg(F.min(F.struct(F.col("priority").isNull(), "priority", "text"))["text"].alias("_markdown"))
+    sized = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "base_name", "strategy", "text", F.when(F.coalesce(F.col("suffix") == "chm", F.lit(False)), archive_size).otherwise(size).alias("_size"))
     naive = sized.filter(F.col("strategy") == "baseline-naive").select("doc_id", "text", "_size")
     naive = chunk_sliding(naive, F.col("_size")).withColumn("note", F.lit(None).cast("string"))
     rest = sized.filter(F.col("strategy").isin("ours-fixed", "ours-adaptive")).join(best, "base_name", "left")
     adaptive = (F.col("strategy") == "ours-adaptive") & F.col("_markdown").isNotNull()
     fixed = _fold(rest.filter(~adaptive).select("doc_id", "text", "_size"), lambda text, n: [(c, None) for c in pack_paragraphs(text or "", n, compat)], FIXED, ["text", "_size"])
-    blocks = markdown_blocks(rest.filter(adaptive).select("doc_id", F.col("_markdown").alias("text")))
-    one = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_idx", "content", "header_text"))).alias("blocks"))
-    one = one.join(rest.filter(adaptive).select("doc_id", "_size"), "doc_id")
+    each = F.struct("_row", "doc_id", "_size").alias("doc_id")  # a row's blocks stay together, and take along what packing needs
+    blocks = markdown_blocks(rest.filter(adaptive).select(each, F.col("_markdown").alias("text")))
+    one = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_idx", "content", "header_text"))).alias("blocks")).select("doc_id.doc_id", "doc_id._size", "blocks")
     packed = _fold(one, lambda blocks, n: pack_blocks([(b["content"], b["header_text"]) for b in blocks], n), ADAPTIVE, ["blocks", "_size"])
     parts = [x.select("doc_id", "chunk_idx", "chunk", "length", "strategy", "note") for x in (naive, fixed, packed)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
+from . import patterns
 
-#: Words up to which they become part of the expression; words of one automaton beyond that.
-INLINE_WORDS, AUTOMATON_WORDS = 48, 200_000
+#: Words up to which they become part of the expression; words and bytes of a table that is sent to every worker.
+INLINE_WORDS, TABLE_WORDS, TABLE_BYTES = 48, 1_000_000, 32 << 20
 #: Words of a lexicon up to which it is broadcast.
 BROADCAST_WORDS = 2_000_000
 SENSITIVE = "敏感词"
@@ -24,19 +25,19 @@ GARBLED = r"(Åäö|\?{2,}|â‚¬|□{2,}|锟斤拷|\x{FFFD}+)"
 def contained_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """A row for each chunk and different word that it contains, case counting; empty words are ignored.
 
-    Few words are matched by an expression; many by one automaton for each worker and block of words, in as many maps as
-    there are blocks.
+    Few words are matched by an expression, many by a table that each worker builds once, in one scan of the chunks.
+    More than such a table may hold meet the chunks in a join on rare grams.
     """
     usable = words.select("word").filter("word is not null and word <> ''").distinct()
     first = usable.limit(INLINE_WORDS + 1).collect()
     if len(first) <= INLINE_WORDS:
         listed = F.array(*[F.lit(r.word) for r in sorted(first)]) if first else F.array().cast("array<string>")
         return chunks.withColumn("word", F.explode(F.filter(listed, lambda w: F.contains(F.col("chunk"), w))))
-    found = None
-    for block in _blocks(usable):
-        part = _automaton(chunks, block)
-        found = part if found is None else found.unionByName(part)
-    return found
+    size = usable.agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    if size.n <= TABLE_WORDS and size.bytes <= TABLE_BYTES:
+        return _by_table(chunks, [r.word for r in usable.collect()])
+    pairs = patterns.contained_pairs(usable.withColumnRenamed("word", "needle"), chunks.select(F.col("chunk").alias("text")), [])
+    return chunks.join(pairs.select(F.col("text").alias("_text"), F.col("needle").alias("word")), F.col("chunk") == F.col("_text")).drop("_text")
 
 
 def scan_sensitive_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
@@ -46,33 +47,26 @@ def scan_sensitive_words(chunks: DataFrame, words: DataFrame) -> DataFrame:
     })
 
 
-def _blocks(words: DataFrame) -> Iterator[list[str]]:
-    block: list[str] = []
-    for r in words.toLocalIterator():
-        block.append(r.word)
-        if len(block) == AUTOMATON_WORDS:
-            yield block
-            block = []
-    if block:
-        yield block
+#: The table of the last broadcast in this worker.
+_tables: dict[int, patterns.WordTable] = {}
 
 
-def _automaton(chunks: DataFrame, words: list[str]) -> DataFrame:
-    sent = chunks.sparkSession.sparkContext.broadcast(words)
+def _by_table(chunks: DataFrame, words: list[str]) -> DataFrame:
+    sent = chunks.sparkSession.sparkContext.broadcast(sorted(words))
+    name = sent._jbroadcast.id()
     at = chunks.columns.index("chunk")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for w in sent.value:
-            machine.add_word(w, w)
-        machine.make_automaton()
-        for f in frames:
-            rows = [(*r, w) for r in f.itertuples(index=False, name=None) if r[at] for w in sorted({w for _, w in machine.iter(r[at])})]
-            yield pd.DataFrame(rows, columns=[*f.columns, "word"])
-
-    return chunks.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*chunks.dtypes, ("word", "string")]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _tables:
+            _tables.clear()
+            _tables[name] = patterns.WordTable(sent.value)
+        given = pa.array(sent.value, pa.string())
+        for b in batches:
+            row, word = patterns.find_words(b.column(at), _tables[name])
+            found = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*found.columns, given.take(pa.array(word))], names=[*found.schema.names, "word"])
+
+    return chunks.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*chunks.dtypes, ("word", "string")]))
 
 
 def detect_typos(chunks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

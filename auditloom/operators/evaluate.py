@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .patterns import contained_pairs
 from .reports import dedupe_findings
 
 MARKERS = ["# ", "<table>", "<tr>", "- ", "!["]
@@ -51,15 +52,19 @@ def chunk_quality(chunks: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def match_ground_truth(truth: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("experiment", "file_name")) -> DataFrame:
-    """(…keys, gt_id, finding_id): the injected text lies in the sentence, and the correction, or one of the keywords, in the suggestion."""
-    g, f = truth.alias("g"), findings.alias("f")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"g.{k}") == F.col(f"f.{k}"))
-    said = F.contains(F.col("f.suggestion"), F.col("g.expected_correction"))
-    if "keywords" in truth.columns:
-        said = said | F.exists(F.coalesce(F.col("g.keywords"), F.array().cast("array<string>")), lambda w: F.contains(F.col("f.suggestion"), w))
-    return g.join(f, same & F.contains(F.col("f.sentence"), F.col("g.injected_text")) & said).select(*[F.col(f"g.{k}").alias(k) for k in keys], "g.gt_id", "f.finding_id")
+    """(…keys, gt_id, finding_id): the injected text lies in the sentence, and the correction, or one of the keywords, in the suggestion.
+
+    Which text lies in which sentence is found once for different texts, by a join on the text's rarest gram. Null keys,
+    texts and sentences match nothing.
+    """
+    keys = list(keys)
+    lies = contained_pairs(truth.withColumnRenamed("injected_text", "needle"), findings.withColumnRenamed("sentence", "text"), keys)
+    lies = lies.select(*keys, F.col("needle").alias("injected_text"), F.col("text").alias("sentence"))
+    keywords = F.coalesce(F.col("keywords") if "keywords" in truth.columns else F.lit(None), F.array().cast("array<string>")).alias("_keywords")
+    sought = truth.select(*keys, "injected_text", "gt_id", F.col("expected_correction").alias("_correction"), keywords)
+    given = findings.select(*keys, "sentence", "finding_id", F.col("suggestion").alias("_suggestion"))
+    said = F.contains("_suggestion", F.col("_correction")) | F.exists("_keywords", lambda w: F.contains(F.col("_suggestion"), w))
+    return sought.join(lies, [*keys, "injected_text"]).join(given, [*keys, "sentence"]).filter(said).select(*keys, "gt_id", "finding_id")
 
 
 def detection_metrics(truth: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("experiment", "file_name")) -> DataFrame:
@@ -89,8 +94,8 @@ def parse_experiment(name: Column) -> tuple[Column, Column]:
 
 
 def best_runs(metrics: DataFrame, by: tuple[str, ...] = ("strategy", "mode")) -> DataFrame:
-    """The run with the highest F1 of each configuration, then the first by name."""
-    best = F.min_by(F.struct(*metrics.columns), F.struct(-F.col("f1"), "experiment")).alias("_best")
+    """The run with the highest F1 of each configuration, then the first by name; a run without F1 only where no run has one."""
+    best = F.min_by(F.struct(*metrics.columns), F.struct(F.col("f1").isNull(), -F.col("f1"), F.col("experiment").isNull(), "experiment")).alias("_best")
     return metrics.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(best).select("_best.*")
 
 

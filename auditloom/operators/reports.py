@@ -26,7 +26,11 @@ def issue_page(findings: DataFrame, page: int, limit: int = USUAL_PAGE) -> DataF
     Spark takes the first page * limit rows of a task in each partition before it shuffles, up to spark.sql.optimizer.windowGroupLimitThreshold rows.
     """
     limit = min(limit, MOST_A_PAGE)
-    placed = with_place(findings).filter(F.col("place").between((page - 1) * limit + 1, page * limit))
+    return page_rows(with_place(findings).filter(F.col("place").between((page - 1) * limit + 1, page * limit)))
+
+
+def page_rows(placed: DataFrame) -> DataFrame:
+    """What a list of issues shows of findings with their places."""
     return placed.select("task_id", "place", F.col("problem_type").alias("type"), F.col("file_name").alias("location"), F.col("sentence").alias("question"), suggestion_text(F.col("suggestion")).alias("suggestion"))
 
 
@@ -64,6 +68,8 @@ def export_selection(findings: DataFrame, scan_item: str | None = None) -> DataF
 
 
 def dedupe_findings(findings: DataFrame, keys: tuple[str, ...] = ("file_name", "scan_item", "sentence", "suggestion")) -> DataFrame:
-    """One finding, the one with the least id, for each file, check, sentence and suggestion."""
-    first = F.min_by(F.struct(*findings.columns), "finding_id").alias("_first")
+    """One finding, the one with the least id, for each file, check, sentence and suggestion. Findings without an id come last; equal ids are told apart by a hash of the row."""
+    plain = [c for c, kind in findings.dtypes if "map<" not in kind]
+    order = F.struct(F.col("finding_id").isNull(), "finding_id", F.xxhash64(*plain))
+    first = F.min_by(F.struct(*findings.columns), order).alias("_first")
     return findings.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(first).select("_first.*")

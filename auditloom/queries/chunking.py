@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, markdown
+from ..operators import chunking, giant, markdown
 from .base import Tables, query
 from .text import _BLOCKS_SQL, markdown_docs
 
@@ -52,27 +52,63 @@ def _(t: Tables):
     return chunking.chunk_stats(chunking.chunk_paragraphs(t.sql(_SHORT_LINES), SIZE))
 
 
-#: Whole texts with full stops that end sentences; long lines are split, and nothing is lost.
+#: Whole texts with full stops that end sentences, so that long lines are split.
 _SENTENCES = "SELECT doc_id, replace(text, '.', '。') AS text FROM {documents}"
+_CUT = "CASE WHEN length(regexp_extract(substring({0}, 1, {1}), '[^\\]，；,.;]*$')) < length(substring({0}, 1, {1})) THEN length(substring({0}, 1, {1})) - length(regexp_extract(substring({0}, 1, {1}), '[^\\]，；,.;]*$')) ELSE {1} END"
 
 
-@query("split_long_paragraph", f"WITH d AS ({_SENTENCES}) SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), '')) AS digest, true AS bounded FROM d WHERE length(trim(replace(text, chr(10), ''))) > 0")
+def packed_lines_sql(lines: str, size: int) -> str:
+    """WITH clauses that end in c (doc_id, chunk_idx, chunk) of lines (doc_id, n, line), n from 1: long ones are packed by sentences, overlong sentences cut, others packed while they fit."""
+    return f"""
+WITH RECURSIVE l AS MATERIALIZED ({lines}),
+s AS (SELECT doc_id, n, i AS k, ss[i + 1] AS s FROM (SELECT doc_id, n, regexp_extract_all(line, '[^。？！]*[。？！]|[^。？！]+') AS ss FROM l WHERE length(line) > {size}), unnest(range(len(ss))) AS u(i)),
+x(doc_id, n, k, p, cut, rest) AS (SELECT doc_id, n, k, 0, {_CUT.format('s', size)}, s FROM s WHERE length(s) > {size}
+  UNION ALL SELECT doc_id, n, k, p + 1, {_CUT.format('substring(rest, cut + 1)', size)}, substring(rest, cut + 1) FROM x WHERE length(rest) > cut),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k, p) AS u FROM (SELECT doc_id, n, k, 0 AS p, s AS t, false AS hard FROM s WHERE length(s) <= {size} UNION ALL SELECT doc_id, n, k, p, substring(rest, 1, cut), true FROM x)),
+g(doc_id, n, u, own, c, held) AS (SELECT doc_id, n, 0::BIGINT, -1, 0, 0::BIGINT FROM (SELECT DISTINCT doc_id, n FROM u)
+  UNION ALL SELECT u.doc_id, u.n, u.u, CASE WHEN NOT hard AND held + length(t) <= {size} THEN c WHEN held > 0 THEN c + 1 ELSE c END, CASE WHEN hard THEN c + 1 + (held > 0)::INTEGER WHEN held + length(t) <= {size} THEN c ELSE c + (held > 0)::INTEGER END, CASE WHEN hard THEN 0 WHEN held + length(t) <= {size} THEN held + length(t) ELSE length(t) END
+  FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n AND u.u = g.u + 1),
+q AS (SELECT g.doc_id, g.n, own, string_agg(t, '' ORDER BY g.u) AS piece FROM g JOIN u ON u.doc_id = g.doc_id AND u.n = g.n AND u.u = g.u GROUP BY g.doc_id, g.n, own),
+m AS MATERIALIZED (SELECT l.doc_id, l.n, length(line) AS chars, coalesce(pieces, 0) AS pieces FROM l LEFT JOIN (SELECT doc_id, n, count(*) AS pieces FROM q GROUP BY doc_id, n) USING (doc_id, n)),
+f(doc_id, n, own, c, held) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT doc_id FROM l)
+  UNION ALL SELECT m.doc_id, m.n, CASE WHEN held + chars + 1 <= {size} THEN c ELSE c + (held > 0)::INTEGER END, CASE WHEN held + chars + 1 <= {size} THEN c ELSE c + (held > 0)::INTEGER END + pieces, CASE WHEN chars > {size} THEN 0 WHEN held + chars + 1 <= {size} THEN held + chars + 1 ELSE least(chars + 1, {size}) END
+  FROM f JOIN m ON m.doc_id = f.doc_id AND m.n = f.n + 1),
+c AS (SELECT f.doc_id, f.own AS chunk_idx, string_agg(line || CASE WHEN length(line) < {size} THEN chr(10) ELSE '' END, '' ORDER BY f.n) AS chunk FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n WHERE length(line) <= {size} GROUP BY f.doc_id, f.own
+  UNION ALL SELECT f.doc_id, f.own + q.own, piece FROM f JOIN q ON q.doc_id = f.doc_id AND q.n = f.n)"""
+
+
+_OF_TEXTS = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, line FROM (SELECT doc_id, i, trim(ls[i + 1]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({})), unnest(range(len(ls))) AS u(i)) WHERE line <> ''"
+
+
+@query("split_long_paragraph", f"{packed_lines_sql(_OF_TEXTS.format(_SENTENCES), SIZE)} SELECT doc_id, cast(chunk_idx AS integer) AS chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM c")
 def _(t: Tables):
-    """All characters of the lines, each once and in order, in chunks within the size."""
+    """Chunks of lines many of which are longer than a chunk."""
     chunks = chunking.chunk_paragraphs(t.sql(_SENTENCES), SIZE)
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "chunk"))), lambda x: x["chunk"])
-    return chunks.groupBy("doc_id").agg(F.md5(F.replace(F.array_join(pieces, ""), F.lit("\n"), F.lit(""))).alias("digest"), (F.max("length") <= SIZE).alias("bounded"))
+    return chunks.select("doc_id", "chunk_idx", "length", F.md5("chunk").alias("digest"))
+
+
+#: Places that a document's lines, or a conversation's blocks, take at most in the file of many; places of a segment.
+_ROOM, _PLACES = 1_000_000, 200_000_000
+_OF_SOURCES = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n, line FROM (SELECT source AS doc_id, doc_id * {_ROOM} + i AS place, trim(ls[i + 1]) AS line FROM (SELECT source, doc_id, string_split(replace(text, '.', '。'), chr(10)) AS ls FROM {{documents}}), unnest(range(len(ls))) AS u(i)) WHERE line <> ''"
+
+
+@query("chunk_lines", f"{packed_lines_sql(_OF_SOURCES, SIZE)} SELECT doc_id AS file_name, cast(chunk_idx AS integer) AS chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM c")
+def _(t: Tables):
+    """All texts of a source as one file, whose lines are rows: packed in segments."""
+    lines = t["documents"].select("source", "doc_id", F.posexplode(F.split(F.replace("text", F.lit("."), F.lit("。")), "\n")).alias("i", "line"))
+    lines = lines.select(F.col("source").alias("doc_id"), (F.col("doc_id") * _ROOM + F.col("i")).alias("at"), "line")
+    return giant.chunk_lines(lines, SIZE, _PLACES).select(F.col("doc_id").alias("file_name"), "chunk_idx", "length", F.md5("chunk").alias("digest"))
 
 
 _BLOCK_SIZE = 3000
 
 
-def packed_blocks_sql(size: int) -> str:
-    """The same of Markdown blocks, none of which is longer than `size`."""
-    return f"""{_BLOCKS_SQL.replace('WITH ml', 'WITH RECURSIVE ml', 1)},
-f(doc_id, block_idx, held, chunk_idx) AS (SELECT doc_id, block_idx, length(content) + 1, 0 FROM blocks WHERE block_idx = 0
-  UNION ALL SELECT b.doc_id, b.block_idx, CASE WHEN f.held + length(b.content) <= {size} OR f.held < {size} * 0.1 THEN f.held + length(b.content) + 1 ELSE length(b.content) + 1 END, CASE WHEN f.held + length(b.content) <= {size} OR f.held < {size} * 0.1 THEN f.chunk_idx ELSE f.chunk_idx + 1 END FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx + 1),
-c AS (SELECT f.doc_id, chunk_idx, string_agg(content, chr(10) ORDER BY f.block_idx) AS chunk FROM f JOIN blocks b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx GROUP BY f.doc_id, chunk_idx)"""
+def packed_blocks_sql(size: int, given: str = _BLOCKS_SQL, blocks: str = "blocks") -> str:
+    """The same of Markdown blocks, none of which is longer than `size`: the table `blocks` that `given` ends in."""
+    return f"""{given.replace('WITH ml', 'WITH RECURSIVE ml', 1)},
+f(doc_id, block_idx, held, chunk_idx) AS (SELECT doc_id, block_idx, length(content) + 1, 0 FROM {blocks} WHERE block_idx = 0
+  UNION ALL SELECT b.doc_id, b.block_idx, CASE WHEN f.held + length(b.content) <= {size} OR f.held < {size} * 0.1 THEN f.held + length(b.content) + 1 ELSE length(b.content) + 1 END, CASE WHEN f.held + length(b.content) <= {size} OR f.held < {size} * 0.1 THEN f.chunk_idx ELSE f.chunk_idx + 1 END FROM f JOIN {blocks} b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx + 1),
+c AS (SELECT f.doc_id, chunk_idx, string_agg(content, chr(10) ORDER BY f.block_idx) AS chunk FROM f JOIN {blocks} b ON b.doc_id = f.doc_id AND b.block_idx = f.block_idx GROUP BY f.doc_id, chunk_idx)"""
 
 
 _PACKED_BLOCKS = packed_blocks_sql(_BLOCK_SIZE)
@@ -84,23 +120,37 @@ def _(t: Tables):
     return chunks.select("doc_id", "chunk_idx", "length", F.md5("chunk").alias("digest"))
 
 
-#: One table for each order, with a caption; its rows are split over chunks.
+def _one_after_other(blocks: str) -> str:
+    """The blocks of every third conversation as one document."""
+    return f"{blocks}, joined AS (SELECT doc_id % 3 AS doc_id, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id, block_idx) - 1 AS block_idx, content FROM blocks)"
+
+
+@query("chunk_block_rows", f"{packed_blocks_sql(_BLOCK_SIZE, _one_after_other(_BLOCKS_SQL), 'joined')} SELECT doc_id, cast(chunk_idx AS integer) AS chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM c")
+def _(t: Tables):
+    """Markdown blocks of many conversations as three long documents: packed in segments."""
+    blocks = markdown.markdown_blocks(markdown_docs(t))
+    blocks = blocks.withColumns({"doc_id": F.col("doc_id") % 3, "block_idx": F.col("doc_id") * _ROOM + F.col("block_idx")})
+    chunks = giant.chunk_block_rows(blocks, _BLOCK_SIZE, _PLACES // 20)
+    return chunks.select("doc_id", "chunk_idx", "length", F.md5("chunk").alias("digest"))
+
+
+#: One table for each supplier, with a caption; its rows are split over chunks.
 _TABLE_ROWS = "SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n, '<tr><td>' || cast(l_orderkey AS string) || '</td><td>' || cast(l_partkey AS string) || '</td></tr>' AS tr FROM {lineitem}"
 _HEADER = "表 1 订单"
+_LEAD, _AGAIN = f"'{_HEADER}' || chr(10) || '<table>'", f"'{_HEADER} {chunking.CONTINUED}' || chr(10) || '<table>'"
 
 
-@query("split_long_block", f"WITH r AS ({_TABLE_ROWS}) SELECT doc_id, count(*) AS n_rows, md5(string_agg(tr, '' ORDER BY n)) AS digest, true AS whole FROM r GROUP BY doc_id")
+@query("split_long_block", f"""WITH RECURSIVE r AS MATERIALIZED ({_TABLE_ROWS}), t AS (SELECT doc_id, sum(length(tr)) + length({_LEAD}) + 8 <= {SIZE} AS whole, max(tr) FILTER (n = 1) AS head FROM r GROUP BY doc_id),
+f(doc_id, n, held, chunk_idx) AS (SELECT doc_id, 0::BIGINT, length({_LEAD})::BIGINT, 0 FROM t
+  UNION ALL SELECT r.doc_id, r.n, CASE WHEN whole OR held + length(tr) <= {SIZE} - 8 THEN held + length(tr) ELSE length({_AGAIN} || head) + length(tr) END, CASE WHEN whole OR held + length(tr) <= {SIZE} - 8 THEN chunk_idx ELSE chunk_idx + 1 END FROM f JOIN r ON r.doc_id = f.doc_id AND r.n = f.n + 1 JOIN t ON t.doc_id = r.doc_id),
+c AS (SELECT f.doc_id, chunk_idx, CASE WHEN chunk_idx = 0 THEN {_LEAD} ELSE {_AGAIN} || max(head) END || string_agg(tr, '' ORDER BY f.n) || '</table>' AS chunk FROM f JOIN r ON r.doc_id = f.doc_id AND r.n = f.n JOIN t ON t.doc_id = f.doc_id GROUP BY f.doc_id, chunk_idx)
+SELECT doc_id, chunk_idx, cast(length(chunk) AS integer) AS length, md5(chunk) AS digest FROM c""")
 def _(t: Tables):
-    """Every row of a table once and in order, in pieces that are tables within the size; continued ones repeat caption and first row."""
+    """Pieces of long tables, each a table; continued ones repeat caption and first row."""
     rows = t.sql(_TABLE_ROWS)
     tables = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "tr"))), lambda x: x["tr"]), "").alias("trs"))
     blocks = tables.select("doc_id", F.lit(0).alias("block_idx"), F.concat(F.lit(f"{_HEADER}\n<table>"), "trs", F.lit("</table>")).alias("content"), F.lit(_HEADER).alias("header_text"))
-    chunks = chunking.chunk_markdown(blocks, SIZE)
-    mine = F.transform(F.regexp_extract_all("chunk", F.lit("<tr>.*?</tr>"), F.lit(0)), lambda x: x)
-    own = F.when(F.col("chunk_idx") > 0, F.slice(mine, 2, F.greatest(F.size(mine) - 1, F.lit(0)))).otherwise(mine)
-    good = F.col("chunk").endswith("</table>") & (F.col("length") <= SIZE) & F.col("chunk").startswith(_HEADER)
-    parts = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", own.alias("o")))), lambda x: x["o"]))
-    return chunks.groupBy("doc_id").agg(F.size(parts).cast("bigint").alias("n_rows"), F.md5(F.array_join(parts, "")).alias("digest"), F.bool_and(good).alias("whole"))
+    return chunking.chunk_markdown(blocks, SIZE).select("doc_id", "chunk_idx", "length", F.md5("chunk").alias("digest"))
 
 
 _DISPATCHED = f"SELECT doc_id, 'd' || cast(doc_id AS string) AS base_name, CASE WHEN doc_id % 5 = 0 THEN 'chm' ELSE 'docx' END AS suffix, CASE doc_id % 4 WHEN 0 THEN 'baseline-naive' WHEN 1 THEN 'ours-fixed' WHEN 2 THEN 'ours-adaptive' ELSE 'other' END AS strategy, text FROM ({_SHORT_LINES})"
