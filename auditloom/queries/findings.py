@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports, rollup
+from ..sources import report_store
 from .base import Tables, query
 from .inputs import FINDINGS, MATERIALS, TASKS
+from .text import _folder
 
 F_ = f"WITH f AS ({FINDINGS})"
 T_ = f"WITH t AS ({TASKS})"
@@ -101,6 +103,31 @@ def _(t: Tables):
     return reports.issue_page(t.sql(FINDINGS), page=2, limit=50)
 
 
+_STORED = "finding_id bigint, seq bigint, file_name string, problem_type string, sentence string, suggestion string, strategy string, value double, place bigint, task_id bigint, scan_item string"
+
+
+def _stored(t: Tables):
+    """The findings as a stored report."""
+    path = _folder(t)
+    report_store.write_report(t.sql(FINDINGS), path)
+    return report_store.read_report(t.spark, path, _STORED)
+
+
+_PLACED = "SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq, finding_id) AS place FROM f"
+
+
+@query("stored_issue_page", f"{F_}, p AS ({_PLACED}) SELECT task_id, place, problem_type AS type, file_name AS location, sentence AS question, coalesce(suggestion, '') AS suggestion FROM p WHERE place BETWEEN 101 AND 150")
+def _(t: Tables):
+    """The third page of every task's report, read from the stored order."""
+    return report_store.stored_page(_stored(t), page=3, limit=50)
+
+
+@query("stored_selection", f"{F_}, p AS ({_PLACED}) SELECT finding_id, place, file_name, sentence, suggestion FROM p WHERE task_id = 3 AND scan_item = 'scanItem6001'")
+def _(t: Tables):
+    """One check of one task, read from its partition."""
+    return report_store.stored_selection(_stored(t), "scanItem6001", task_id=3).select("finding_id", "place", "file_name", "sentence", "suggestion")
+
+
 @query("filter_issues", f"{F_}, p AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq, finding_id) AS n, count(*) OVER (PARTITION BY task_id) AS matches FROM f WHERE problem_type = 'error'), q AS (SELECT *, least(3, ceil(matches / 20)) AS page FROM p) SELECT task_id, finding_id, cast(n AS integer) AS n, matches, cast(page AS integer) AS page FROM q WHERE n > (page - 1) * 20 AND n <= page * 20")
 def _(t: Tables):
     return reports.filter_issues(t.sql(FINDINGS), page=3, problem_type="error").select("task_id", "finding_id", "n", "matches", "page")

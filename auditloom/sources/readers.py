@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..folders import file_system
 from ..operators.layout import compact_rows
 
 # Suffixes that can be read, and encodings in the order that they are tried.
@@ -107,6 +110,54 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.partitionBy("task_id", "scan_item").mode("append").json(path)
 
 
+def commit_findings(findings: DataFrame, path: str, unit: str) -> bool:
+    """Appends the findings of one unit of work, a name, once: False if they are there already.
+
+    An attempt writes to a folder of its own, which readers don't look at until a note of the unit names it. The note is
+    made only if there is none, so an attempt that dies leaves nothing to be read, and of two attempts one counts.
+    """
+    spark = findings.sparkSession
+    fs, at = file_system(spark, f"{path}/_manifest/{unit}")
+    if unit in committed_units(spark, path):
+        return False
+    attempt = f"{unit}-{uuid.uuid4().hex}"
+    findings.write.partitionBy("task_id", "scan_item").json(f"{path}/attempt={attempt}")
+    if fs.exists(at) and not fs.getFileStatus(at).getLen():
+        fs.delete(at, False)  # cut off by an attempt that died
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError:
+        if not fs.exists(at):
+            raise
+        return False
+    out.write(bytearray(attempt.encode()))
+    out.close()
+    return True
+
+
+def committed_units(spark: SparkSession, path: str) -> dict[str, str]:
+    """The attempt that counts for each unit."""
+    fs, at = file_system(spark, f"{path}/_manifest")
+    if not fs.exists(at):
+        return {}
+    out = {}
+    for f in fs.listStatus(at):
+        if f.getLen():  # a note without a word was cut off: its unit has not been committed
+            note = fs.open(f.getPath())
+            out[f.getPath().getName()] = bytes(note.readNBytes(int(f.getLen()))).decode()
+            note.close()
+    return out
+
+
+def read_committed(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of all units that were committed."""
+    attempts = committed_units(spark, path).values()
+    schema = FINDING_SCHEMA + ", attempt string"
+    if not attempts:
+        return spark.createDataFrame([], schema).drop("attempt")
+    return spark.read.schema(schema).option("basePath", path).json([f"{path}/attempt={a}" for a in sorted(attempts)]).drop("attempt")
+
+
 def export_report(findings: DataFrame, path: str) -> None:
     """CSV with a header and the reports' own column names, in as many files as there are partitions."""
     named = findings.select(*[F.col(c).alias(REPORT_NAMES.get(c, c)) if t != "struct" else F.to_json(c).alias(c) for c, t in findings.dtypes])
