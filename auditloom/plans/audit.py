@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import chunking, detect, fanout, rollup, scoring
+from ..folders import saved
+from ..operators import answers, chunking, detect, fanout, rollup, scoring
 from ..sources import readers
 
 #: What a finding keeps of its work item, and what it says.
 PLACE = ["task_id", "doc_id", "file_name", "chunk_idx", "scan_item", "strategy"]
 SAID = ["problem_type", "sentence", "suggestion"]
+#: What tells requests to the detector apart.
+REQUEST = ("model", "system", "prompt", "settings")
 Scorer = Callable[[pd.DataFrame], list[str]]
 
 
@@ -30,47 +33,49 @@ def audit_run(docs: DataFrame, words: DataFrame) -> DataFrame:
     return rollup.problem_totals(sensitive_findings(docs, words))
 
 
-def detected_findings(docs: DataFrame, words: DataFrame, models: DataFrame, detector: Scorer, folder: str) -> DataFrame:
+def detected_findings(docs: DataFrame, words: DataFrame, models: DataFrame, detector: Scorer, folder: str, **bounds) -> DataFrame:
     """Findings (finding_id, …) of every check that a document asks for: sensitive words by rule, live checks by `detector`.
 
-    Answers are written to `folder` before they are read, so that a lost stage calls no model again. Equal findings of one
-    chunk have equal ids.
+    Answers stay in the store under `folder`/answers: a run that is begun again in the same folder asks only for what has
+    no answer. Requests without one, and answers that can't be read, are a table under `folder`/rejects with a reason.
+    Equal findings of one chunk have equal ids.
     """
     chunks = chunking.chunk_sliding(docs).withColumn("language", fanout.detect_language(F.col("file_name")))
     work, _ = fanout.fan_out(chunks, live_only=True)
     sensitive = F.col("scan_item") == catalog.SENSITIVE_ITEM
     asked = scoring.build_requests(fanout.route(work.filter(~sensitive), models))
-    answers = _saved(scoring.score(asked, detector).select(*PLACE, "content", "error"), f"{folder}/answers")
-    found, _ = scoring.parse_responses(answers)
+    answers.ask(asked, detector, f"{folder}/answers", REQUEST, **bounds)
+    got = saved(answers.answered(asked, f"{folder}/answers", REQUEST, tuple(PLACE)), f"{folder}/responses")
+    found, unreadable = scoring.parse_responses(got)
+    silent = got.filter("content is null").withColumn("reason", F.concat(F.lit("no answer: "), F.coalesce("error", F.lit("null"))))
+    saved(silent.unionByName(unreadable.withColumn("reason", F.lit("no JSON array"))).drop("error"), f"{folder}/rejects")
     by_rule = detect.scan_sensitive_words(work.filter(sensitive).drop("scan_item"), words)
     every = scoring.normalize(found.select(*PLACE, *SAID).unionByName(by_rule.select(*PLACE, *SAID)))
-    return _saved(every.withColumn("finding_id", F.sha2(F.to_json(F.struct(*PLACE, *SAID)), 256)), f"{folder}/detected")
+    return saved(every.withColumn("finding_id", F.sha2(F.to_json(F.struct(*PLACE, *SAID)), 256)), f"{folder}/detected")
 
 
-def reviewed_findings(detected: DataFrame, reviewer: Scorer, folder: str) -> DataFrame:
+def reviewed_findings(detected: DataFrame, reviewer: Scorer, folder: str, **bounds) -> DataFrame:
     """The findings that stay after `reviewer` has answered a JSON object with a decision for each, and why (review).
 
-    Equal findings are asked for once. Where the reviewer gave no answer at all the finding stays, unreviewed.
+    Equal findings are asked for once. Where the reviewer gave no answer at all the finding stays, unreviewed. Answers stay
+    in a store as those of the detector do.
     """
     asked = scoring.build_review_requests(detected.dropDuplicates(["finding_id"]))
-    answers = _saved(scoring.score(asked, reviewer).select("finding_id", "content", "error"), f"{folder}/verdicts")
-    verdicts = answers.filter("content is not null").select("finding_id", F.from_json("content", "decision string, reason string").getField("decision").alias("decision"))
+    answers.ask(asked, reviewer, f"{folder}/reviews", ("finding_id", "prompt"), **bounds)
+    said = saved(answers.answered(asked, f"{folder}/reviews", ("finding_id", "prompt"), ("finding_id",)), f"{folder}/verdicts")
+    verdicts = said.filter("content is not null").select("finding_id", F.from_json("content", "decision string, reason string").getField("decision").alias("decision"))
     return scoring.apply_review(detected, verdicts)
 
 
-def reviewed_audit(docs: DataFrame, words: DataFrame, models: DataFrame, detector: Scorer, reviewer: Scorer, folder: str) -> tuple[DataFrame, DataFrame]:
+def reviewed_audit(docs: DataFrame, words: DataFrame, models: DataFrame, detector: Scorer, reviewer: Scorer, folder: str, **bounds) -> tuple[DataFrame, DataFrame]:
     """(findings before review, findings that stay) of documents (task_id, doc_id, file_name, scan_items, text).
 
-    `folder` is new and seen by all executors. It gets both reports as CSV and, by task and check, what stays as JSON lines.
+    `folder` is seen by all executors, and is new or that of the same run that died. It gets both reports as CSV and, by
+    task and check, what stays as JSON lines, once. `bounds` are those of answers.ask().
     """
-    detected = detected_findings(docs, words, models, detector, folder)
-    final = _saved(reviewed_findings(detected, reviewer, folder), f"{folder}/final")
+    detected = detected_findings(docs, words, models, detector, folder, **bounds)
+    final = saved(reviewed_findings(detected, reviewer, folder, **bounds), f"{folder}/final")
     readers.export_report(detected, f"{folder}/detected-csv")
     readers.export_report(final, f"{folder}/final-csv")
-    readers.write_findings(final, f"{folder}/final-json")
+    readers.commit_findings(final, f"{folder}/final-json", "final")
     return detected, final
-
-
-def _saved(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -67,7 +67,7 @@ SELECT stage, task_id, scan_item, file_name, concat_ws('+', CASE WHEN grouping(s
 def _(t: Tables):
     docs = t.sql(DOCUMENTS).withColumns({"task_id": F.col("doc_id") % 7, "scan_items": fanout.parse_scan_items(F.col("items"))}).drop("items")
     models = t.spark.createDataFrame([("english", "a"), ("chinese", "b")], "language string, model string")
-    detected, final = audit.reviewed_audit(docs, t.sql(WORDS), models, _detector, _reviewer, _folder(t))
+    detected, final = audit.reviewed_audit(docs, t.sql(WORDS), models, _detector, _reviewer, _folder(t), calls_at_once=64, task_requests=20_000)
     counts = [rollup.problem_totals(x).withColumn("stage", F.lit(stage)) for stage, x in (("detector", detected), ("final", final))]
     return counts[0].unionByName(counts[1])
 

@@ -30,8 +30,11 @@ def _(t: Tables):
 
 @query("stream_progress", "SELECT user_id AS task_id, count(*) AS complete, cast(trunc(count(*) / 200 * 100) AS integer) AS progress FROM {events} WHERE event_type = 'purchase' GROUP BY user_id")
 def _(t: Tables):
+    """Completions some of which are told twice."""
     folder = _folder(t)
-    done = audit.read_documents(t.spark, f"{t.sf_dir}/events.parque*", t["events"].schema).filter("event_type = 'purchase'").select(F.col("user_id").alias("task_id"))
+    done = audit.read_documents(t.spark, f"{t.sf_dir}/events.parque*", t["events"].schema).filter("event_type = 'purchase'")
+    told = F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    done = done.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("item_id"), told.alias("time"))
     totals = t["events"].select(F.col("user_id").alias("task_id")).distinct().withColumn("total", F.lit(200))
     audit.stream_progress(done, totals, f"{folder}/out", f"{folder}/checkpoint")
-    return t.spark.read.parquet(f"{folder}/out")
+    return audit.read_progress(t.spark, f"{folder}/out")
