@@ -27,8 +27,8 @@ from .common import map_arrow, table, written
 
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 5, 80, 100
 ANCHOR_EVERY, RELABEL_EVERY, LABELS, SCALE = 100, 7, 10, 256
-#: Rows and components of a shard, about; rows of a leaf; children of a node.
-SHARD_ROWS, SHARD_NUMBERS, LEAF_ROWS, CHILDREN = 32_768, 4_000_000, 64, 64
+#: Rows and components of a shard, about, and rows of one where that gives fewer than SHARDS_LEAST shards; rows of a leaf; children of a node.
+SHARD_ROWS, SHARD_NUMBERS, SHARDS_LEAST, SMALL_SHARD_ROWS, LEAF_ROWS, CHILDREN = 32_768, 4_000_000, 64, 4_096, 64, 64
 #: Leaves that an anchor verifies first; each next step takes twice as many.
 FIRST_LEAVES = 4
 #: Beyond the first bound, products are made of integers; beyond the second they don't fit the result.
@@ -169,7 +169,7 @@ class Tree:
 def _shards(vectors: DataFrame) -> DataFrame:
     """SHARDS of VECTORS, a table: trees over all rows, and the anchors among them."""
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
-    rows = max(min(SHARD_ROWS, SHARD_NUMBERS // max(size.width or 1, 1)), 1)
+    rows = max(min(SHARD_ROWS, SHARD_NUMBERS // max(size.width or 1, 1), max(size.n // SHARDS_LEAST, SMALL_SHARD_ROWS)), 1)
     dealt = vectors.repartitionByRange(max(-(-size.n // rows), 1), "label", F.xxhash64("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +186,11 @@ def _shards(vectors: DataFrame) -> DataFrame:
     return map_arrow(dealt, run, SHARDS)
 
 
-def _search(pairs: DataFrame, trees: DataFrame, same_label: bool, k: int, low: int, high: int) -> DataFrame:
-    """FOUND by each anchor in each shard that it is sent to. `pairs` (shard, block, data, windows): the anchors of a block, and with `windows` (row, slot, score) their positives."""
+def _search(pairs: DataFrame, trees: DataFrame, shards: int, same_label: bool, k: int, low: int, high: int) -> DataFrame:
+    """FOUND by each anchor in each shard that it is sent to, in as many tasks as there are shards. `pairs` (shard, block, data, windows): the anchors of a block, and with `windows` (row, slot, score) their positives."""
     kinds = dict(pairs.dtypes)
     both = trees.select("shard", F.lit(-1).cast("bigint").alias("block"), F.col("tree").alias("data"), F.lit(None).cast(kinds["windows"]).alias("windows"))
-    both = both.unionByName(pairs).repartition("shard").sortWithinPartitions("shard", "block")
+    both = both.unionByName(pairs).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tree = None, None
@@ -254,16 +254,16 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negativ
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"), "v")
     rows = written(rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())))
     shards = written(_shards(rows))
+    everywhere = [r.shard for r in shards.select("shard").collect()]  # a number for each shard of thousands of rows
     trees, blocks = shards.select("shard", "tree"), shards.select(F.col("shard").alias("block"), F.col("anchors").alias("data"), "labels")
     homes = shards.select("shard", F.explode("labels").alias("label"))
     visits = blocks.select("block", F.explode("labels").alias("label")).join(homes, "label").select("block", "shard").distinct()
     none = F.lit(None).cast("array<struct<row:bigint,slot:int,score:bigint>>")
-    near = _search(visits.join(blocks, "block").select("shard", "block", "data", none.alias("windows")), trees, True, positives, low, high)
+    near = _search(visits.join(blocks, "block").select("shard", "block", "data", none.alias("windows")), trees, len(everywhere), True, positives, low, high)
     best = written(_first(near, ["row"], positives).select("row", "anchor_id", F.col("rank").alias("slot"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score")))
     windows = best.join(_home(shards), "row").groupBy("block").agg(F.collect_list(F.struct("row", "slot", F.col("positive_score").alias("score"))).alias("windows"))
-    everywhere = [r.shard for r in shards.select("shard").collect()]  # a number for each SHARD_ROWS rows
     sent = blocks.join(windows, "block").select("block", "data", "windows", F.explode(F.lit(everywhere).cast("array<bigint>")).alias("shard"))
-    found = _first(_search(sent, trees, False, negatives, low, high), ["row", "slot"], negatives)
+    found = _first(_search(sent, trees, len(everywhere), False, negatives, low, high), ["row", "slot"], negatives)
     out = found.join(best.drop("anchor_id"), ["row", "slot"])
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
