@@ -35,11 +35,11 @@ UNSUITED = {
     "english": ["scanItem1001", "scanItem1002", "scanItem5002", "scanItem5003", "scanItem5005", "scanItem6001", "scanItem6002", "scanItem6004", "scanItem12009"],
 }
 
-# File types, state texts, word pairs, noise lines.
+# File types, state texts, word pairs, noise lines. A line that begins with a company's own name is noise to that company only: pass its pattern.
 FILE_TYPES = [("docx", "Word文档"), ("pdf", "PDF文档"), ("xlsx", "Excel文档"), ("chm", "CHM文档")]
 STATUS_TEXTS = [("processing", "任务处理中"), ("error", "任务执行失败")]
 TYPO_PAIRS = [("帐号", "账号"), ("步署", "部署"), ("云浮雾", "云服务")]
-NOISE_PATTERNS = [r"^\s*\d+\s*$", r"^文档版本\s+\d+", r"^发布日期\s+\d{4}-\d{2}-\d{2}", r"^版权所有\s+©", r"^非经本公司书面许可", r"^华为云计算技术有限公司"]
+NOISE_PATTERNS = [r"^\s*\d+\s*$", r"^文档版本\s+\d+", r"^发布日期\s+\d{4}-\d{2}-\d{2}", r"^版权所有\s+©", r"^非经本公司书面许可"]
 CAPTION_PATTERN = r"^(表|Table)\s*\d+[-.]?\d*.*"
 
 

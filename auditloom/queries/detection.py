@@ -7,10 +7,10 @@ import hashlib
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..operators import chunking, detect, fanout, rollup, scoring
-from ..plans import audit
+from ..operators import answers, chunking, detect, fanout, rollup, scoring
+from ..plans import audit, rules
 from .base import Tables, query
-from .chunking import windows_sql
+from .chunking import _SHORT_LINES, packed_sql, windows_sql
 from .inputs import DOCUMENTS, FINDINGS
 from .text import _folder
 from .work import ITEMS_SQL
@@ -72,6 +72,64 @@ def _(t: Tables):
     return counts[0].unionByName(counts[1])
 
 
+@query("audit_rejects", f"""WITH d AS ({DOCUMENTS}), c AS ({windows_sql(SIZE, 0)}), i AS (SELECT doc_id, doc_id % 7 AS task_id, unnest({ITEMS_SQL}) AS scan_item FROM d)
+SELECT task_id, scan_item, 'no JSON array' AS reason, count(*) AS n FROM c JOIN i ON c.doc_id = i.doc_id WHERE scan_item IN ({_LIVE}) AND md5(scan_item || chunk) >= 'c' GROUP BY ALL""")
+def _(t: Tables):
+    """What the audit could not read of the detector's answers."""
+    docs = t.sql(DOCUMENTS).withColumns({"task_id": F.col("doc_id") % 7, "scan_items": fanout.parse_scan_items(F.col("items"))}).drop("items")
+    models = t.spark.createDataFrame([("english", "a"), ("chinese", "b")], "language string, model string")
+    folder = _folder(t)
+    audit.detected_findings(docs, t.sql(WORDS), models, _detector, folder, calls_at_once=64, task_requests=20_000)
+    return t.spark.read.parquet(f"{folder}/rejects").groupBy("task_id", "scan_item", "reason").agg(F.count("*").alias("n"))
+
+
+#: Documents of the audit by rules: three tasks of files, with wrong forms, broken signs and garbling, each under one of the strategies.
+_RULED = f"""SELECT doc_id, doc_id % 3 AS task_id, 'f' || cast(doc_id % 50 AS string) || '.docx' AS file_name, CASE doc_id % 5 WHEN 0 THEN 'scanItem5001' WHEN 1 THEN 'scanItem5002' WHEN 2 THEN 'scanItem6001' WHEN 3 THEN 'scanItem6002' ELSE 'scanItem12009' END AS item,
+  CASE WHEN doc_id % 2 = 0 THEN 'baseline-naive' ELSE 'ours-adaptive' END AS strategy, replace(replace(replace(text, ' with ', '帐号'), ' qui ', '??? ('), ' erst', '云浮雾') AS text FROM ({_SHORT_LINES})"""
+_RULE_TERMS = [("and", " and"), ("and", "(and"), ("the", "the "), ("the", "The ")]
+_EXEMPT = ["云浮雾", "the"]
+_NAMED = ", ".join(f"('{c}', '{n}')" for c, n, _ in catalog.SCAN_ITEMS)
+_LEX = "SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM {benchmark})"
+_LEGAL = "regexp_matches(sentence, 'https?://|www\\.|©')"
+_RULE_FINDINGS = f"""
+WITH RECURSIVE rd AS ({_RULED}), {packed_sql(SIZE).replace('WITH RECURSIVE', '', 1).replace(_SHORT_LINES, "SELECT * FROM rd WHERE strategy = 'ours-adaptive'")},
+k AS (SELECT rd.doc_id, task_id, file_name, item AS scan_item, strategy, chunk_idx, chunk FROM rd JOIN (SELECT doc_id, chunk_idx, chunk FROM c UNION ALL SELECT * FROM ({windows_sql(SIZE, 0).replace('FROM documents', "FROM (SELECT * FROM rd WHERE strategy = 'baseline-naive')")})) x ON x.doc_id = rd.doc_id),
+lex AS ({_LEX}), w AS ({WORDS}),
+found AS (SELECT DISTINCT doc_id, task_id, file_name, scan_item, chunk_idx, lower(u) AS sentence, '' AS suggestion, lower(u) AS term FROM (SELECT *, unnest(regexp_extract_all(chunk, '[A-Za-z0-9_]+')) AS u FROM k WHERE scan_item = 'scanItem5001') WHERE regexp_matches(u, '^[A-Za-z]?[a-z]+$') AND length(u) > 1 AND lower(u) NOT IN (SELECT word FROM lex)
+  UNION ALL SELECT doc_id, task_id, file_name, scan_item, chunk_idx, wrong, right_form, wrong FROM k JOIN (VALUES {', '.join(str(x) for x in catalog.TYPO_PAIRS)}) p(wrong, right_form) ON contains(chunk, wrong) WHERE scan_item = 'scanItem5002'
+  UNION ALL SELECT doc_id, task_id, file_name, scan_item, -1, string_agg(DISTINCT variant, ','), '', term FROM k JOIN (VALUES {', '.join(str(x) for x in _RULE_TERMS)}) v(term, variant) ON contains(chunk, variant) WHERE scan_item = 'scanItem6001' GROUP BY doc_id, task_id, file_name, scan_item, term HAVING count(DISTINCT variant) > 1
+  UNION ALL SELECT doc_id, task_id, file_name, scan_item, chunk_idx, sentence, 'signs', NULL FROM (SELECT *, unnest(regexp_extract_all(chunk, '[^。？！.?!\n]*[。？！.?!\n]|[^。？！.?!\n]+')) AS sentence FROM k WHERE scan_item = 'scanItem6002') WHERE {' OR '.join(f"length(replace(sentence, '{a}', '')) <> length(replace(sentence, '{b}', ''))" for a, b in detect.PAIRS)} OR (length(sentence) - length(replace(sentence, chr(34), ''))) % 2 = 1
+  UNION ALL SELECT DISTINCT doc_id, task_id, file_name, scan_item, chunk_idx, u, '', u FROM (SELECT *, unnest(regexp_extract_all(chunk, '(Åäö|\\?{{2,}}|â‚¬|□{{2,}}|锟斤拷|�+)')) AS u FROM k WHERE scan_item = 'scanItem12009')),
+told AS (SELECT * FROM found WHERE sentence IS DISTINCT FROM suggestion AND NOT {_LEGAL} AND (term IS NULL OR term NOT IN ({', '.join(repr(x) for x in _EXEMPT)})))"""
+
+
+def _rule_audit(t: Tables):
+    docs = t.sql(_RULED).withColumns({"scan_items": F.array("item", F.lit("scanItem1001")), "base_name": F.lit("none"), "suffix": F.lit("docx")})
+    lexicon = t["benchmark"].select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word"))
+    one = lambda rows, schema: t.spark.createDataFrame(rows, schema)
+    known = rules.Knowledge(t.sql(WORDS), lexicon, catalog.typo_pairs(t.spark), one(_RULE_TERMS, "term string, variant string"), one([(x,) for x in _EXEMPT], "term string"))
+    tasks = t.sql("SELECT DISTINCT doc_id % 4 AS task_id, CASE WHEN doc_id % 4 = 1 THEN 'processing' ELSE 'complete' END AS status FROM {documents}")
+    files = t.sql("SELECT DISTINCT doc_id % 3 AS task_id, 'f' || cast(doc_id % 50 AS string) || '.docx' AS file_name, 'complete' AS status FROM {documents}").withColumn("problem_counts", F.create_map().cast("map<string,bigint>"))
+    return rules.rule_audit(docs, one([], "base_name string, priority int, text string"), known, tasks, files)
+
+
+@query("rule_audit", f"{_RULE_FINDINGS} SELECT task_id, file_name, scan_item, name AS problem_type, count(*) AS n, count(DISTINCT chunk_idx) AS chunks, sum(length(sentence))::BIGINT AS chars FROM told JOIN (VALUES {_NAMED}) v(code, name) ON code = scan_item GROUP BY ALL")
+def _(t: Tables):
+    """Every live check by its rule, over chunks of several strategies."""
+    found, _, _ = _rule_audit(t)
+    return found.groupBy("task_id", "file_name", "scan_item", "problem_type").agg(F.count("*").alias("n"), F.count_distinct("chunk_idx").alias("chunks"), F.sum(F.length("sentence")).alias("chars"))
+
+
+@query("rule_audit_states", f"""{_RULE_FINDINGS}, n AS (SELECT task_id, file_name, count(*) AS n FROM told GROUP BY ALL), m AS (SELECT DISTINCT doc_id % 3 AS task_id, 'f' || cast(doc_id % 50 AS string) || '.docx' AS file_name FROM documents),
+s AS (SELECT m.task_id, m.file_name, coalesce(n.n, 0) AS n FROM m LEFT JOIN n ON n.task_id = m.task_id AND n.file_name = m.file_name)
+SELECT task_id, file_name, '处理完成，发现' || cast(n AS string) || '个问题' AS message FROM s
+UNION ALL SELECT x.task_id, '', CASE WHEN x.task_id = 1 THEN '任务处理中' ELSE '处理完成，发现' || cast((SELECT coalesce(sum(n), 0)::BIGINT FROM s WHERE s.task_id = x.task_id) AS string) || '个问题' END FROM (SELECT DISTINCT doc_id % 4 AS task_id FROM documents) x""")
+def _(t: Tables):
+    """The counts of the same run in its files and tasks."""
+    _, files, tasks = _rule_audit(t)
+    return files.select("task_id", "file_name", "message").unionByName(tasks.select("task_id", F.lit("").alias("file_name"), "message"))
+
+
 @query("build_detector_requests", f"WITH c AS ({windows_sql(SIZE, 0)}) SELECT doc_id, chunk_idx, md5('file: doc' || cast(doc_id AS string) || chr(10) || 'check: scanItem6002' || chr(10) || 'rule: paired punctuation' || chr(10) || 'instruction: extraction' || chr(10) || 'exempt: a, b' || chr(10) || 'answer: JSON array; [] if there is nothing' || chr(10) || chunk) AS digest FROM c")
 def _(t: Tables):
     work = chunking.chunk_sliding(t["documents"].select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_name"), "text"), SIZE)
@@ -89,6 +147,16 @@ def _(t: Tables):
     return scoring.score(t["documents"].select("doc_id", "text"), _answer).select("doc_id", "content")
 
 
+@query("ask_requests", "SELECT doc_id, CASE WHEN length(text) % 3 = 0 THEN 'second ' ELSE 'first ' END || cast(length(text) AS string) AS content FROM {documents}")
+def _(t: Tables):
+    """Two runs over one store: the first leaves a third of the requests without an answer, the second asks only for these."""
+    store, requests = f"{_folder(t)}/answers", t["documents"].select("doc_id", F.col("text").alias("prompt"))
+    bounds = {"calls_at_once": 32, "task_requests": 100_000}
+    answers.ask(requests, lambda part: [None if len(x) % 3 == 0 else f"first {len(x)}" for x in part["prompt"]], store, ("prompt",), **bounds)
+    answers.ask(requests, lambda part: [f"second {len(x)}" for x in part["prompt"]], store, ("prompt",), **bounds)
+    return answers.answered(requests, store, ("prompt",), ("doc_id",)).select("doc_id", "content")
+
+
 _ANSWERS = """
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN '<think>' || chr(10) || chr(10) || '<think>' || chr(10) || chr(10) || '[{"问题类型": "' || event_type || '", "问题所在句子": "s"}]'
   WHEN 2 THEN '```json' || chr(10) || '[{"问题类型": "' || event_type || '", "修改建议": {"a": 1}}, {"问题所在句子": "z"}]' || chr(10) || '```' WHEN 3 THEN '{"问题类型": "bare"}' WHEN 4 THEN 'none [' ELSE '' END AS content FROM {events}"""

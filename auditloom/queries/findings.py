@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports, rollup
+from ..operators import reports, rollup, stored_counts
 from ..sources import report_store
 from .base import Tables, query
 from .inputs import FINDINGS, MATERIALS, TASKS
@@ -49,6 +49,18 @@ def _(t: Tables):
     return merged.select("task_id", "file_name", *[F.coalesce(F.try_element_at("problem_counts", F.lit(f"scanItem{k}")), F.lit(-1)).alias(f"n_{k}") for k in (5001, 6002, 99999)])
 
 
+_BATCH = "SELECT task_id, file_name, scan_item, count(*) AS n FROM f WHERE finding_id % 3 = {} GROUP BY ALL"
+
+
+@query("upsert_problem_counts", f"{F_}, a AS ({_BATCH.format(0)}), b AS ({_BATCH.format(1)}) SELECT task_id, file_name, scan_item, coalesce(b.n, a.n) AS n, CASE WHEN b.n IS NULL THEN 1 ELSE 2 END::BIGINT AS batch FROM a FULL JOIN b USING (task_id, file_name, scan_item)")
+def _(t: Tables):
+    """Two batches of counts, the second told twice and the first once more after it."""
+    path, f = _folder(t), t.sql(FINDINGS)
+    for part, batch in ((0, 1), (1, 2), (1, 2), (0, 1)):
+        stored_counts.upsert_counts(rollup.count_by_file(f.filter(F.col("finding_id") % 3 == part)), path, batch)
+    return stored_counts.read_counts(t.spark, path).drop("bucket")
+
+
 @query("problem_counts_by_column", f"{F_} SELECT task_id, file_name, count(*) FILTER (scan_item = 'scanItem5001') AS \"scanItem5001\", count(*) FILTER (scan_item = 'scanItem6002') AS \"scanItem6002\" FROM f GROUP BY ALL")
 def _(t: Tables):
     return rollup.counts_by_column(rollup.count_by_file(t.sql(FINDINGS)), ["scanItem5001", "scanItem6002"])

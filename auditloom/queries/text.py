@@ -78,6 +78,16 @@ def _(t: Tables):
     return readers.read_findings(t.spark, path).select("finding_id", "task_id", "file_name", "scan_item", "sentence", "suggestion")
 
 
+@query("commit_findings", _BACK)
+def _(t: Tables):
+    """Three units of work, each tried twice."""
+    path, rows = _folder(t), t.sql(FINDINGS).drop("value")
+    for unit in range(3):
+        for _ in range(2):
+            readers.commit_findings(rows.filter(F.col("finding_id") % 3 == unit), path, f"unit-{unit}")
+    return readers.read_committed(t.spark, path).select("finding_id", "task_id", "file_name", "scan_item", "sentence", "suggestion")
+
+
 @query("read_findings_jsonl", f"WITH f AS ({FINDINGS}) SELECT scan_item, count(*) AS n, count(suggestion) AS suggestions FROM f GROUP BY scan_item")
 def _(t: Tables):
     path = _folder(t)
