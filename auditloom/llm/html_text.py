@@ -5,8 +5,9 @@ what another tag ends (paragraphs, list items, cells, options), skips void eleme
 renderer walks the tree without recursion and drops what isn't shown (head, scripts, templates, hidden attributes,
 display:none); visibility is handed down, so a visible child of a hidden element shows. Blocks stand on lines of their own, with an empty line where margins would be; lists
 carry bullets or numbers and indents; table cells are padded so that columns line up, over rows and columns that others
-span; preformatted text keeps its white space. Padding is bounded: a column is padded to WIDEST characters at most, and
-the first PADDED_COLUMNS of a row; longer cells and further ones stand whole, without padding.
+span; preformatted text keeps its white space. Padding is bounded: a column is padded to the greatest of WIDTHS with which
+a table's padding stays in proportion to its text and rows, and only the first PADDED_COLUMNS of a row; longer cells and
+further ones stand whole, without padding. Lines are indented by MOST_INDENT at most. Elements may be nested to any depth.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,10 +41,13 @@ STOPS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "optio
 SPACE = re.compile(r"[ \t\n\f\r]+")
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
-#: Columns are padded to so many characters, and so many of them.
-WIDEST, PADDED_COLUMNS = 60, 64
-#: Open elements; deeper ones are taken as text of the last.
-DEEPEST = 512
+#: Columns are padded to so many characters, the first of these that a table can afford, and so many of them.
+WIDTHS, PADDED_COLUMNS = (60, 30, 15, 7, 0), 64
+#: Spaces that a table may be padded with: for each character of its text, for each of its rows, and in any case.
+PADDING_A_CHAR, PADDING_A_ROW, PADDING = 20, 200, 2000
+MOST_INDENT = 80
+#: Characters of texts that are given out at once.
+CHARS_AT_ONCE = 4 << 20
 
 
 class Node:
@@ -58,15 +62,15 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.count = Counter({"html": 1})  # open elements by tag
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of open elements by tag, without the first
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             self.root.attrs = dict(attrs) | self.root.attrs
             return
-        if tag == "body" and self.count["body"]:
+        if tag == "body" and self.at["body"]:
             return
-        if self.count["head"] and tag not in HEAD_ONLY and tag != "head":
+        if self.at["head"] and tag not in HEAD_ONLY and tag != "head":
             self._close("head", ())
         if tag in ENDS_PARAGRAPH:
             self._close("p", ("table", "td", "th", "button", "caption"))
@@ -75,10 +79,9 @@ class TreeBuilder(HTMLParser):
                 self._close(other, STOPS.get(tag, ("table",)))
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push("tr", {})
-        if len(self.open) < DEEPEST or tag in VOID:
-            self._push(tag, {k: v or "" for k, v in attrs})
-            if tag in VOID:
-                self._pop()
+        self._push(tag, {k: v or "" for k, v in attrs})
+        if tag in VOID:
+            self._pop()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # as in HTML, the slash of other elements means nothing
@@ -88,7 +91,7 @@ class TreeBuilder(HTMLParser):
             return
         if tag == "br":
             self.handle_starttag("br", [])
-        elif tag == "p" and not self.count["p"]:
+        elif tag == "p" and not self.at["p"]:
             self.handle_starttag("p", [])
             self._close("p", ())
         else:
@@ -100,22 +103,20 @@ class TreeBuilder(HTMLParser):
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.at[tag].append(len(self.open))
         self.open.append(node)
-        self.count[tag] += 1
 
     def _pop(self) -> None:
-        self.count[self.open.pop().tag] -= 1
+        self.at[self.open.pop().tag].pop()
 
     def _close(self, tag: str, stops: tuple) -> None:
-        if not self.count[tag]:
+        """Closes the last open element of a tag, unless a stop has been opened since."""
+        if not self.at[tag]:
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if self.open[k].tag in stops:
-                return
+        last = self.at[tag][-1]
+        if not any(self.at[s] and self.at[s][-1] > last for s in stops):
+            while len(self.open) > last:
+                self._pop()
 
 
 def displayed(node: Node) -> bool:
@@ -159,7 +160,7 @@ class Lines:
             if self.gap and self.done and self.done[-1]:
                 self.done.append("")
             self.gap = False
-            lead = " " * max(0, self.indent - len(self.mark)) + self.mark
+            lead = " " * max(0, min(self.indent, MOST_INDENT) - len(self.mark)) + self.mark
             self.done.append((lead + s).rstrip(" ") if s or self.mark else "")
             self.mark = ""
 
@@ -305,11 +306,11 @@ def _holder(text: str) -> Node:
 
 
 def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table of (text, columns, rows): a column is as wide as its widest single-column cell, up to WIDEST; cells of several lines take several.
+    """Lines of a table of (text, columns, rows): a column is as wide as its widest single-column cell, up to one of WIDTHS; cells of several lines take several.
 
     Columns that a cell from above spans are left blank. Rows without cells give no line.
     """
-    placed: list[list[tuple[int, str, int]]] = []
+    placed: list[list[tuple[int, list[str], int]]] = []
     widths: dict[int, int] = {}
     taken: dict[int, int] = {}  # rows that a cell from above still spans, by column
     for row in rows:
@@ -317,29 +318,38 @@ def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
         for text, span, down in row:
             while taken.get(at, 0):
                 at += 1
-            cells.append((at, text, span))
+            lines = text.split("\n")
+            cells.append((at, lines, span))
             if span == 1 and at < PADDED_COLUMNS:
-                widths[at] = max([widths.get(at, 0), *(min(WIDEST, _width(x)) for x in text.split("\n"))])
+                widths[at] = max([widths.get(at, 0), *(min(WIDTHS[0], _width(x)) for x in lines)])
             if down != 1:
                 new += [(c, down - 1 if down else len(rows)) for c in range(at, min(at + span, PADDED_COLUMNS))]
             at += span
-        cells += [(c, "", 1) for c in taken if c < at]
+        cells += [(c, [""], 1) for c in taken if c < at]
         taken = {c: n - 1 for c, n in taken.items() if n > 1} | dict(new)
         placed.append(sorted(cells))
+    placed = [cells for cells, given in zip(placed, rows, strict=True) if given]
+    allowed = PADDING_A_CHAR * sum(len(text) for row in rows for text, _, _ in row) + PADDING_A_ROW * len(placed) + PADDING
+    rooms: list[list[int]] = []
+    for widest in WIDTHS:
+        rooms = [[_room(widths, at, span, widest) for at, _, span in cells] for cells in placed]
+        if sum(max(map(len, (lines for _, lines, _ in cells))) * sum(room) for cells, room in zip(placed, rooms, strict=True)) <= allowed:
+            break
     out = []
-    for row, given in zip(placed, rows, strict=True):
-        if not given:
-            continue
-        cells = []
-        for at, text, span in row:
-            room = sum(widths.get(c, 0) for c in range(at, at + span)) + 3 * (min(at + span, PADDED_COLUMNS) - min(at + 1, PADDED_COLUMNS))
-            cells.append((text.split("\n"), room))
-        for k in range(max(len(lines) for lines, _ in cells)):
-            parts = [lines[k] if k < len(lines) else "" for lines, _ in cells]
-            out.append(" | ".join(p + " " * max(0, room - _width(p)) for p, (_, room) in zip(parts, cells, strict=True)).rstrip(" "))
+    for cells, room in zip(placed, rooms, strict=True):
+        for k in range(max(len(lines) for _, lines, _ in cells)):
+            parts = [lines[k] if k < len(lines) else "" for _, lines, _ in cells]
+            out.append(" | ".join(p + " " * max(0, n - _width(p)) for p, n in zip(parts, room, strict=True)).rstrip(" "))
     return out
 
 
+def _room(widths: dict[int, int], at: int, span: int, widest: int) -> int:
+    """Characters that a cell has: its columns, and the bars between those that it spans."""
+    if not widest:
+        return 0
+    return sum(min(widths.get(c, 0), widest) for c in range(at, min(at + span, PADDED_COLUMNS))) + 3 * (min(at + span, PADDED_COLUMNS) - min(at + 1, PADDED_COLUMNS))
+
+
 def extract(html: str) -> tuple[str, int, dict[str, str]]:
     """Visible text, number of tables, and the attributes of the html element."""
     builder = TreeBuilder()
@@ -361,10 +371,14 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for page_id, url, html in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                text, tables, attrs = extract(html)
-                out.append((page_id, url, text, len(text), text.count("\n") + 1 if text else 0, tables, attrs.get("lang") or "", hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
+            out, held = [], 0
+            for page_id, url, html in zip(*b.columns, strict=True):
+                text, tables, attrs = extract(html.as_py())
+                out.append((page_id.as_py(), url.as_py(), text, len(text), text.count("\n") + 1 if text else 0, tables, attrs.get("lang") or "", hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
+                held += len(text)
+                if held >= CHARS_AT_ONCE:
+                    yield batch(TEXTS, list(zip(*out, strict=True)))
+                    out, held = [], 0
             yield batch(TEXTS, list(zip(*out, strict=True)) or [[]] * 8)
 
     return map_arrow(pages.select(F.col(id_col).cast("bigint"), F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))), run, TEXTS)
