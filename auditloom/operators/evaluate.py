@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .patterns import contained_pairs
 from .reports import dedupe_findings
 
+#: Size of a sketch of lengths, and the rank error that goes with it.
+SKETCH, RANK_ERROR = 1000, 0.005
 MARKERS = ["# ", "<table>", "<tr>", "- ", "!["]
 # Signs that end a sentence, and signs that no chunk should begin with.
 ENDS, NO_START = r"[。？！.?!\"…]", r"[,.;:!?，。；：！？、)\]}）】》」』”’a-z]"
@@ -51,6 +53,19 @@ def chunk_quality(chunks: DataFrame, exact: bool = False) -> DataFrame:
     )
 
 
+def length_sketches(chunks: DataFrame, by: tuple[str, ...] = ("strategy",), k: int = SKETCH) -> DataFrame:
+    """(…by, sketch): the lengths of each group as a sketch of bounded size, which can be stored and merged."""
+    return chunks.groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col("length").cast("bigint"), F.lit(k)).alias("sketch"))
+
+
+def length_quantiles(sketches: DataFrame, quantiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), by: tuple[str, ...] = ("strategy",), k: int = SKETCH) -> DataFrame:
+    """(…by, n, quantile, length) of merged sketches: a length whose rank is within RANK_ERROR of the quantile, for about 99 of 100."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"))
+    asked = F.array(*[F.lit(q) for q in quantiles])
+    each = F.explode(F.arrays_zip(asked.alias("quantile"), F.kll_sketch_get_quantile_bigint("sketch", asked).alias("length")))
+    return merged.select(*by, F.kll_sketch_get_n_bigint("sketch").alias("n"), each.alias("x")).select(*by, "n", "x.quantile", "x.length")
+
+
 def match_ground_truth(truth: DataFrame, findings: DataFrame, keys: tuple[str, ...] = ("experiment", "file_name")) -> DataFrame:
     """(…keys, gt_id, finding_id): the injected text lies in the sentence, and the correction, or one of the keywords, in the suggestion.
 

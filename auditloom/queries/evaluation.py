@@ -57,6 +57,22 @@ def _(t: Tables):
     return out.select(*[F.round(c, 6).alias(c) if k == "double" and c != "median_length" else c for c, k in out.dtypes])
 
 
+@query("chunk_length_quantiles", f"""WITH c AS (SELECT 'baseline_naive' AS strategy, length(chunk) AS n FROM ({windows_sql(SIZE, 0)}) UNION ALL SELECT 'baseline_fixed', length(chunk) FROM ({packed_sql(SIZE)} SELECT chunk FROM c)), q(quantile) AS (VALUES (0.05::DOUBLE), (0.25), (0.5), (0.75), (0.95)), m AS (SELECT strategy, count(*) AS n, quantile_disc(n, [0.05, 0.25, 0.5, 0.75, 0.95]) AS v, min(n) AS least, max(n) AS most FROM c GROUP BY strategy)
+SELECT strategy, n, least, most, quantile, (SELECT count(*) FROM c WHERE c.strategy = m.strategy AND c.n < v[cast(trunc(quantile * 4.3 + 1) AS INTEGER)]) <= (quantile + {evaluate.RANK_ERROR}) * n AND (SELECT count(*) FROM c WHERE c.strategy = m.strategy AND c.n <= v[cast(trunc(quantile * 4.3 + 1) AS INTEGER)]) >= (quantile - {evaluate.RANK_ERROR}) * n AS near FROM m, q""")
+def _(t: Tables):
+    """Quantiles of sketches made for each source and merged by strategy, and whether their exact ranks are as near as stated."""
+    columns = ["source", "strategy", "length"]
+    source = t["documents"].select("doc_id", "source")
+    fixed = chunking.chunk_paragraphs(t.sql(_SHORT_LINES), SIZE).select("doc_id", "strategy", "length").join(source, "doc_id").select(columns)
+    every = chunking.chunk_sliding(t["documents"].select("source", "text"), SIZE).select(columns).unionByName(fixed)
+    found = evaluate.length_quantiles(evaluate.length_sketches(every, ("strategy", "source")))
+    counts = every.groupBy("strategy", "length").agg(F.count("*").alias("_c"))  # as many rows as there are lengths
+    met = found.join(counts.withColumnRenamed("length", "_l"), "strategy")
+    sums = met.groupBy("strategy", "n", "quantile", "length").agg(F.min("_l").alias("least"), F.max("_l").alias("most"), F.sum(F.when(F.col("_l") < F.col("length"), F.col("_c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("_l") <= F.col("length"), F.col("_c")).otherwise(0)).alias("upto"))
+    near = (F.col("below") <= (F.col("quantile") + evaluate.RANK_ERROR) * F.col("n")) & (F.col("upto") >= (F.col("quantile") - evaluate.RANK_ERROR) * F.col("n"))
+    return sums.select("strategy", "n", F.col("least").cast("bigint").alias("least"), F.col("most").cast("bigint").alias("most"), "quantile", near.alias("near"))
+
+
 #: Findings of four runs, with repetitions; ground truth drawn from the same events.
 RUNS = "SELECT event_id AS finding_id, CASE event_id % 4 WHEN 0 THEN 'adaptive + dual-agent' WHEN 1 THEN 'adaptive + detector-only' WHEN 2 THEN 'fixed + dual-agent' ELSE 'fixed' END AS experiment, 'doc' || cast(user_id % 20 AS string) AS file_name, event_type AS scan_item, props AS sentence, 'use ' || event_type AS suggestion FROM {events}"
 TRUTH = "SELECT event_id AS gt_id, CASE event_id % 4 WHEN 0 THEN 'adaptive + dual-agent' WHEN 1 THEN 'adaptive + detector-only' WHEN 2 THEN 'fixed + dual-agent' ELSE 'fixed' END AS experiment, 'doc' || cast(user_id % 20 AS string) AS file_name, CASE WHEN value > 30 THEN 'large' ELSE 'small' END AS error_type, props AS injected_text, (CASE WHEN event_id % 3 = 0 THEN 'never' ELSE event_type END) AS expected_correction FROM {events} WHERE event_id % 9 < 2"

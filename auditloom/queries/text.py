@@ -21,12 +21,31 @@ def _folder(t: Tables) -> str:
     return f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}"
 
 
-@query("read_documents", f"WITH d AS ({DOCUMENTS}) SELECT doc_id, CASE WHEN file_name LIKE '%.xlsx' THEN 'sheets' WHEN file_name LIKE '%.pptx' THEN 'slides' WHEN file_name LIKE '%.tar' THEN NULL ELSE lower(split_part(file_name, '.', 2)) END AS reader, CASE WHEN file_name LIKE '%.tar' THEN 'cannot read .tar' END AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'a.tar' ELSE file_name END AS file_name FROM d)")
+@query("route_files", f"WITH d AS ({DOCUMENTS}) SELECT doc_id, CASE WHEN file_name LIKE '%.xlsx' THEN 'sheets' WHEN file_name LIKE '%.pptx' THEN 'slides' WHEN file_name LIKE '%.tar' THEN NULL ELSE lower(split_part(file_name, '.', 2)) END AS reader, CASE WHEN file_name LIKE '%.tar' THEN 'cannot read .tar' END AS reason FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'a.tar' ELSE file_name END AS file_name FROM d)")
 def _(t: Tables):
     files = t.sql(DOCUMENTS).withColumn("file_name", F.when(F.col("doc_id") % 9 == 0, "a.tar").otherwise(F.col("file_name")))
     return readers.route_files(files).select("doc_id", "reader", "reason")
 
 
+#: Files of twenty documents each: Markdown, with CRLF, with bytes that are no UTF-8, of a suffix that another reader takes, and of an unknown one.
+_FILE = "'f' || cast(doc_id // 20 AS string) || CASE (doc_id // 20) % 5 WHEN 3 THEN '.pdf' WHEN 4 THEN '.tar' ELSE '.md' END"
+
+
+@query("read_documents", f"""WITH f AS (SELECT doc_id // 20 AS id, {_FILE} AS file_name, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM {{documents}} GROUP BY ALL)
+SELECT file_name, CASE WHEN id % 5 < 2 THEN sha256(replace(text, chr(13) || chr(10), chr(10))) END AS sha, CASE id % 5 WHEN 2 THEN 'not UTF-8' WHEN 3 THEN 'needs extracted rows: pdf' WHEN 4 THEN 'cannot read .tar' END AS reason FROM f""")
+def _(t: Tables):
+    """Real files, written and read back whole, with those that can't be read."""
+    kind, path = F.expr("(doc_id div 20) % 5"), _folder(t)
+    named = t["documents"].select("doc_id", F.expr(_FILE.replace("//", "div")).alias("name"), kind.alias("kind"), "text")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    files = named.groupBy("name", "kind").agg(whole.alias("text"))
+    raw = F.when(F.col("kind") == 1, F.encode(F.replace("text", F.lit("\n"), F.lit("\r\n")), "UTF-8")).when(F.col("kind") == 2, F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff\xfe"))).otherwise(F.encode("text", "UTF-8"))
+    readers.write_files(files.select("name", raw.alias("content")), path)
+    good, bad = readers.read_documents(t.spark, path)
+    good = good.select("file_name", F.sha2("text", 256).alias("sha"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(bad.select("file_name", F.lit(None).cast("string").alias("sha"), "reason"))
+
+
 @query("decode_html_blocks", "SELECT page_id // 20 AS doc_id, count(*) AS parts, sha256(string_agg(html, chr(10) ORDER BY path)) AS sha FROM (SELECT *, url || '#' || cast(page_id AS string) AS path FROM {pages}) GROUP BY page_id // 20")
 def _(t: Tables):
     files = t["pages"].select(F.expr("page_id div 20").alias("doc_id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.encode("html", "UTF-8").alias("content"))

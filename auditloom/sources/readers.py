@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,35 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return good, routed.filter("not _good").select("path", "file_name", reason.alias("reason"))
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes each content of (name, content binary) as a file of that name under a folder that all executors see, and returns how many. A task that runs again writes the same files anew; null contents are empty files."""
+    root = folder if "://" in folder else re.sub("^(file:)?/*", "file:///", folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(*b.columns, strict=True):
+                with store.open_output_stream(f"{base}/{name.as_py()}") as out:
+                    out.write(content.as_py() or b"")
+            yield b.select(["name"])
+
+    return files.select("name", "content").mapInArrow(run, "name string").count()
+
+
+def read_stored_table(spark: SparkSession, url: str, table: str, key: str, rows_a_part: int = 1_000_000, **properties: str) -> DataFrame:
+    """A table of a database, read in ranges of an integer key by as many connections as its span of keys asks for, one a task. An empty table has one range; rows with a null key are in the first."""
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = spark.read.jdbc(url, f"(SELECT min({quoted}) AS low, max({quoted}) AS high FROM {table}) ends", properties=properties).toDF("low", "high").first()
+    if ends.low is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    low, high = int(ends.low), int(ends.high)
+    parts = -(-(high - low + 1) // rows_a_part)
+    return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high + 1, numPartitions=parts, properties=properties)
+
+
 @F.pandas_udf(StringType())
 def decode_chain(raw: pd.Series) -> pd.Series:
     """Text under the first encoding that fits; the last always does."""

@@ -150,3 +150,23 @@ def test_progress_counts_items_once_and_goes_on(spark, tmp_path, within):
     assert {r.task_id for f in later for r in spark.read.parquet(f"{out}/{f}").collect()} == {1}
     assert os.stat(f"{out}/{first[0]}").st_mtime_ns == stamp
     assert run() == {1: (3, 75), 2: (1, 50)}
+
+
+def test_files_written_and_read(spark, tmp_path):
+    files = [("a.md", "x\r\ny".encode()), ("b.MD", "é".encode("latin-1")), ("c.pdf", b"1"), ("d", b"2"), ("e.tar", None), ("f.md", "字".encode())]
+    assert readers.write_files(spark.createDataFrame(files, "name string, content binary").repartition(3), str(tmp_path / "in")) == 6
+    good, bad = readers.read_documents(spark, str(tmp_path / "in"))
+    assert sorted((r.file_name, r.text) for r in good.collect()) == [("a.md", "x\ny"), ("f.md", "字")]
+    assert {(r.file_name, r.reason) for r in bad.collect()} >= {("b.MD", "not UTF-8"), ("c.pdf", "needs extracted rows: pdf"), ("d", "cannot read .")}
+
+
+def test_stored_tables_are_read_in_ranges(spark):
+    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
+    tasks = spark.range(-5, 95).selectExpr("id AS task_id", "concat('s', id % 3) AS status")
+    tasks.write.jdbc(url, "tasks")
+    got = readers.read_stored_table(spark, url, "tasks", "task_id", rows_a_part=30)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tasks.collect()))
+    assert max(got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 30
+    tasks.limit(0).write.jdbc(url, "none")
+    assert readers.read_stored_table(spark, url, "none", "task_id").count() == 0
