@@ -168,5 +168,5 @@ def test_stored_tables_are_read_in_ranges(spark):
     assert got.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tasks.collect()))
     assert max(got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 30
-    tasks.limit(0).write.jdbc(url, "none")
-    assert readers.read_stored_table(spark, url, "none", "task_id").count() == 0
+    tasks.limit(0).write.jdbc(url, "idle")
+    assert readers.read_stored_table(spark, url, "idle", "task_id").count() == 0
