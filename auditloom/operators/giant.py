@@ -27,6 +27,8 @@ from . import chunking
 SEGMENT_PLACES, FAN = 4096, 256
 #: Items after which equal states are looked for.
 SETTLE_ITEMS = 16
+#: Rows of keys, cuts and counts up to which they are broadcast to the texts.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,12 @@ def first_beginning(lengths: list[int], used: int, size: int, packing: Packing)
     return -1
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A table of few columns, saved; to be broadcast if it has few rows."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _group(parent: Column, by: str = "_g") -> list[Column]:
     return [F.col("_key"), parent.alias(by)]
 
@@ -149,15 +157,15 @@ def _cuts(segments: DataFrame, size: int, packing: Packing) -> DataFrame:
 
 def _pieces(items: DataFrame, size: int, packing: Packing) -> DataFrame:
     """(_key, _piece, items): documents in pieces that are packed apart; short documents are one."""
-    long = items.groupBy("_key").agg(F.max("_segment").alias("_last")).filter("_last > 0").select(F.col("_key").alias("_k"))
-    flagged = items.join(long.withColumn("_long", F.lit(True)), items["_key"].eqNullSafe(F.col("_k")), "left").drop("_k")
+    long = _sent(items.groupBy("_key").agg(F.max("_segment").alias("_last")).filter("_last > 0").select(F.col("_key").alias("_k"), F.lit(True).alias("_long")))
+    flagged = items.join(long, items["_key"].eqNullSafe(F.col("_k")), "left").drop("_k")
     ordered = F.sort_array(F.collect_list(F.struct("_at", "content", "header"))).alias("items")
     segments = saved(flagged.groupBy("_key", "_segment", F.coalesce("_long", F.lit(False)).alias("_long")).agg(ordered))
     short = segments.filter("not _long").select("_key", F.col("_segment").alias("_piece"), "items")
     if long.isEmpty():
         return short
     cuts = _cuts(segments.filter("_long"), size, packing)
-    cuts = cuts.select(F.col("_key").alias("_k"), "_g", "cut", "owner")
+    cuts = _sent(cuts.select(F.col("_key").alias("_k"), "_g", "cut", "owner"))
     met = segments.filter("_long").join(cuts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_segment") == F.col("_g")))
     n = F.size("items")
     head = F.struct(F.col("owner").alias("_piece"), F.when(F.col("cut") < 0, F.col("items")).otherwise(F.slice("items", F.lit(1), F.col("cut"))).alias("items"))
@@ -187,7 +195,7 @@ def pack_rows(items: DataFrame, packing: Packing, size: int = catalog.CHUNK_SIZE
     chunks = saved(pieces.mapInPandas(run, schema))
     counts = chunks.groupBy("_key", "_piece").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = _sent(counts.select(F.col("_key").alias("_k"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     out = chunks.join(counts, chunks["_key"].eqNullSafe(counts["_k"]) & (chunks["_piece"] == counts["_p"]))
     return out.select(F.col("_key").alias("doc_id"), (F.col("_before") + F.col("_local")).cast("int").alias("chunk_idx"), "chunk", F.length("chunk").alias("length"), F.lit(packing.strategy).alias("strategy"), "note")
 

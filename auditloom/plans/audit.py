@@ -12,6 +12,7 @@ from .. import catalog
 from ..folders import saved
 from ..operators import answers, chunking, detect, fanout, rollup, scoring
 from ..sources import readers
+from . import rules
 
 #: What a finding keeps of its work item, and what it says.
 PLACE = ["task_id", "doc_id", "file_name", "chunk_idx", "scan_item", "strategy"]
@@ -33,24 +34,30 @@ def audit_run(docs: DataFrame, words: DataFrame) -> DataFrame:
     return rollup.problem_totals(sensitive_findings(docs, words))
 
 
-def detected_findings(docs: DataFrame, words: DataFrame, models: DataFrame, detector: Scorer, folder: str, **bounds) -> DataFrame:
+def detected_findings(docs: DataFrame, words: DataFrame, models: DataFrame, detector: Scorer, folder: str, renditions: DataFrame | None = None, known: rules.Knowledge | None = None, ruled: tuple[str, ...] = (), **bounds) -> DataFrame:
     """Findings (finding_id, …) of every check that a document asks for: sensitive words by rule, live checks by `detector`.
 
+    With `renditions` each document is cut under its own strategy, as rules.chunks_of() does, else in windows. With
+    `known` the checks named in `ruled` go by their rules and not to the detector.
     Answers stay in the store under `folder`/answers: a run that is begun again in the same folder asks only for what has
     no answer. Requests without one, and answers that can't be read, are a table under `folder`/rejects with a reason.
     Equal findings of one chunk have equal ids.
     """
-    chunks = chunking.chunk_sliding(docs).withColumn("language", fanout.detect_language(F.col("file_name")))
-    work, _ = fanout.fan_out(chunks, live_only=True)
+    chunks = chunking.chunk_sliding(docs) if renditions is None else rules.chunks_of(docs, renditions)
+    work, _ = fanout.fan_out(chunks.withColumn("language", fanout.detect_language(F.col("file_name"))), live_only=True)
     sensitive = F.col("scan_item") == catalog.SENSITIVE_ITEM
-    asked = scoring.build_requests(fanout.route(work.filter(~sensitive), models))
+    by_rule = F.col("scan_item").isin(*ruled) if known else F.lit(False)
+    asked = scoring.build_requests(fanout.route(work.filter(~sensitive & ~by_rule), models))
     answers.ask(asked, detector, f"{folder}/answers", REQUEST, **bounds)
     got = saved(answers.answered(asked, f"{folder}/answers", REQUEST, tuple(PLACE)), f"{folder}/responses")
     found, unreadable = scoring.parse_responses(got)
     silent = got.filter("content is null").withColumn("reason", F.concat(F.lit("no answer: "), F.coalesce("error", F.lit("null"))))
     saved(silent.unionByName(unreadable.withColumn("reason", F.lit("no JSON array"))).drop("error"), f"{folder}/rejects")
-    by_rule = detect.scan_sensitive_words(work.filter(sensitive).drop("scan_item"), words)
-    every = scoring.normalize(found.select(*PLACE, *SAID).unionByName(by_rule.select(*PLACE, *SAID)))
+    of_words = detect.scan_sensitive_words(work.filter(sensitive).drop("scan_item"), words)
+    every = found.select(*PLACE, *SAID).unionByName(of_words.select(*PLACE, *SAID))
+    if known:
+        every = every.unionByName(rules.rule_findings(work.filter(by_rule & ~sensitive).select(*PLACE, "chunk"), known).select(*PLACE, *SAID))
+    every = scoring.normalize(every)
     return saved(every.withColumn("finding_id", F.sha2(F.to_json(F.struct(*PLACE, *SAID)), 256)), f"{folder}/detected")
 
 

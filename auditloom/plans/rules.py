@@ -71,15 +71,17 @@ def rule_findings(work: DataFrame, known: Knowledge) -> DataFrame:
     return scoring.normalize(told).select(*PLACE, *SAID)
 
 
-def rule_audit(docs: DataFrame, renditions: DataFrame, known: Knowledge, tasks: DataFrame, materials: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, materials, tasks): what the rules find, and the counts of it merged into the files (…, problem_counts) and summed into the tasks (…, status, problem_count), with their messages.
+def states(found: DataFrame, tasks: DataFrame, materials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(materials, tasks): the counts of findings merged into the files (…, problem_counts) and summed into the tasks (…, status), with their messages. Findings in other tasks or files change no state."""
+    files = rollup.material_status(rollup.merge_counts(materials, rollup.count_by_file(found)))
+    of_task = files.groupBy(F.col("task_id").alias("_task")).agg(F.sum("problem_count").alias("_n"))
+    counted = tasks.join(of_task, F.col("task_id").eqNullSafe(F.col("_task")), "left").withColumn("problem_count", F.coalesce("_n", F.lit(0))).drop("_n", "_task")
+    return files, rollup.task_status(counted)
 
-    Documents of other tasks or files than the given ones are audited too, but change no state.
-    """
+
+def rule_audit(docs: DataFrame, renditions: DataFrame, known: Knowledge, tasks: DataFrame, materials: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, materials, tasks): what the rules find, saved under `folder` if given, and states() by it."""
     work, _ = fanout.fan_out(chunks_of(docs, renditions), live_only=True)
     work = saved(work.select(*PLACE, "chunk"))  # six rules read it
     found = saved(rule_findings(work, known), folder and f"{folder}/findings")
-    files = rollup.material_status(rollup.merge_counts(materials, rollup.count_by_file(found)))
-    of_task = files.groupBy(F.col("task_id").alias("_task")).agg(F.sum("problem_count").alias("_n"))
-    counted = tasks.join(of_task, F.col("task_id").eqNullSafe(F.col("_task")), "left").withColumn("problem_count", F.coalesce("_n", F.lit(0))).drop("_n", "_task")
-    return found, files, rollup.task_status(counted)
+    return found, *states(found, tasks, materials)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..operators import answers, chunking, detect, fanout, rollup, scoring
-from ..plans import audit, rules
+from ..plans import audit, rules, serving
 from .base import Tables, query
 from .chunking import _SHORT_LINES, packed_sql, windows_sql
 from .inputs import DOCUMENTS, FINDINGS
@@ -103,14 +103,20 @@ found AS (SELECT DISTINCT doc_id, task_id, file_name, scan_item, chunk_idx, lowe
 told AS (SELECT * FROM found WHERE sentence IS DISTINCT FROM suggestion AND NOT {_LEGAL} AND (term IS NULL OR term NOT IN ({', '.join(repr(x) for x in _EXEMPT)})))"""
 
 
-def _rule_audit(t: Tables):
+def _ruled(t: Tables):
+    """Documents under their strategies, their renditions, and what the rules know."""
     docs = t.sql(_RULED).withColumns({"scan_items": F.array("item", F.lit("scanItem1001")), "base_name": F.lit("none"), "suffix": F.lit("docx")})
     lexicon = t["benchmark"].select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word"))
     one = lambda rows, schema: t.spark.createDataFrame(rows, schema)
     known = rules.Knowledge(t.sql(WORDS), lexicon, catalog.typo_pairs(t.spark), one(_RULE_TERMS, "term string, variant string"), one([(x,) for x in _EXEMPT], "term string"))
+    return docs, one([], "base_name string, priority int, text string"), known
+
+
+def _rule_audit(t: Tables):
+    docs, renditions, known = _ruled(t)
     tasks = t.sql("SELECT DISTINCT doc_id % 4 AS task_id, CASE WHEN doc_id % 4 = 1 THEN 'processing' ELSE 'complete' END AS status FROM {documents}")
     files = t.sql("SELECT DISTINCT doc_id % 3 AS task_id, 'f' || cast(doc_id % 50 AS string) || '.docx' AS file_name, 'complete' AS status FROM {documents}").withColumn("problem_counts", F.create_map().cast("map<string,bigint>"))
-    return rules.rule_audit(docs, one([], "base_name string, priority int, text string"), known, tasks, files)
+    return rules.rule_audit(docs, renditions, known, tasks, files)
 
 
 @query("rule_audit", f"{_RULE_FINDINGS} SELECT task_id, file_name, scan_item, name AS problem_type, count(*) AS n, count(DISTINCT chunk_idx) AS chunks, sum(length(sentence))::BIGINT AS chars FROM told JOIN (VALUES {_NAMED}) v(code, name) ON code = scan_item GROUP BY ALL")
@@ -130,6 +136,46 @@ def _(t: Tables):
     return files.select("task_id", "file_name", "message").unionByName(tasks.select("task_id", F.lit("").alias("file_name"), "message"))
 
 
+_BY_RULE = (rules.SPELLING, rules.GARBLED)
+
+
+@query("mixed_audit", f"""{_RULE_FINDINGS}, h AS (SELECT *, md5(scan_item || chunk) AS h FROM k WHERE scan_item NOT IN {_BY_RULE}),
+e AS (SELECT task_id, file_name, scan_item FROM told WHERE scan_item IN {_BY_RULE} UNION ALL SELECT task_id, file_name, scan_item FROM h WHERE h >= '4' AND h < 'c' UNION ALL SELECT task_id, file_name, scan_item FROM h WHERE h >= '8' AND h < 'c')
+SELECT task_id, file_name, scan_item, count(*) AS n FROM e GROUP BY ALL""")
+def _(t: Tables):
+    """Documents under their strategies, some checks by rule and some by the detector."""
+    docs, renditions, known = _ruled(t)
+    models = t.spark.createDataFrame([("english", "a"), ("chinese", "b")], "language string, model string")
+    found = audit.detected_findings(docs, known.words, models, _detector, _folder(t), renditions, known, _BY_RULE, calls_at_once=64, task_requests=20_000)
+    return rollup.count_by_file(found)
+
+
+_SERVED = f"{_RULE_FINDINGS}, named AS (SELECT told.*, name AS problem_type FROM told JOIN (VALUES {_NAMED}) v(code, name) ON code = scan_item), signs AS (SELECT *, concat_ws(' ', {', '.join(f"CASE WHEN length(replace(sentence, '{a}', '')) <> length(replace(sentence, '{b}', '')) THEN '{a + b}' END" for a, b in detect.PAIRS)}, CASE WHEN (length(sentence) - length(replace(sentence, chr(34), ''))) % 2 = 1 THEN chr(34) END) AS marks FROM named), served AS (SELECT * REPLACE (CASE WHEN suggestion = 'signs' THEN marks ELSE suggestion END AS suggestion) FROM signs)"
+
+
+def _published(t: Tables) -> str:
+    folder, (found, _, _) = _folder(t), _rule_audit(t)
+    serving.publish(found, folder)
+    return folder
+
+
+@query("served_page", f"{_SERVED} SELECT task_id, place, problem_type AS type, file_name AS location, sentence AS question, suggestion FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY doc_id, chunk_idx, scan_item, sentence, suggestion) AS place FROM served) WHERE place BETWEEN 41 AND 80")
+def _(t: Tables):
+    """The second page of the report that the audit by rules has written."""
+    return serving.page(t.spark, _published(t), 2, 40)
+
+
+@query("served_screen", f"{_SERVED}, s AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY doc_id, chunk_idx, sentence, suggestion) AS n, count(*) OVER (PARTITION BY task_id) AS matches FROM served WHERE problem_type = '标点符号成对匹配检查') SELECT task_id, n::INTEGER AS n, matches, least(3, ceil(matches / 20))::INTEGER AS screen, md5(sentence) AS digest FROM s WHERE n > (least(3, ceil(matches / 20)) - 1) * 20 AND n <= least(3, ceil(matches / 20)) * 20")
+def _(t: Tables):
+    """A filtered screen of the same report."""
+    return serving.screen(t.spark, _published(t), 3, "标点符号成对匹配检查").select("task_id", "n", "matches", "screen", F.md5("sentence").alias("digest"))
+
+
+@query("served_facets", f"{_SERVED} SELECT DISTINCT task_id, 'type' AS facet, problem_type AS value FROM served UNION SELECT DISTINCT task_id, 'file', file_name FROM served")
+def _(t: Tables):
+    return serving.facets(t.spark, _published(t))
+
+
 @query("build_detector_requests", f"WITH c AS ({windows_sql(SIZE, 0)}) SELECT doc_id, chunk_idx, md5('file: doc' || cast(doc_id AS string) || chr(10) || 'check: scanItem6002' || chr(10) || 'rule: paired punctuation' || chr(10) || 'instruction: extraction' || chr(10) || 'exempt: a, b' || chr(10) || 'answer: JSON array; [] if there is nothing' || chr(10) || chunk) AS digest FROM c")
 def _(t: Tables):
     work = chunking.chunk_sliding(t["documents"].select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_name"), "text"), SIZE)

@@ -16,11 +16,13 @@ from ..operators.reports import MOST_A_PAGE, USUAL_PAGE, page_rows
 
 #: Rows of a page and of a group in the files: what is read around the rows that are asked for.
 FILE_PAGE_ROWS, FILE_GROUP_ROWS = 1_000, 20_000
+#: What the findings of a task are ordered by.
+REPORT_ORDER = ("seq", "finding_id")
 
 
-def with_places(findings: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Adds the place of each finding in its task's report, from 1: by seq, then finding_id, then a hash of the row. A null task is one task. No task is gathered in one place."""
-    order = ["task_id", "seq", "finding_id", "_tie"]
+def with_places(findings: DataFrame, ranges: int | None = None, by: tuple[str, ...] = REPORT_ORDER) -> DataFrame:
+    """Adds the place of each finding in its task's report, from 1: in the order of the given columns, nulls first, then of a hash of the row. A null task is one task. No task is gathered in one place."""
+    order = ["task_id", *by, "_tie"]
     rows = findings.withColumn("_tie", F.xxhash64(*[c for c, kind in findings.dtypes if "map<" not in kind]))
     dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
     dealt = saved(dealt.sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}))
@@ -31,9 +33,9 @@ def with_places(findings: DataFrame, ranges: int | None = None) -> DataFrame:
     return met.select(*findings.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("place"))
 
 
-def write_report(findings: DataFrame, path: str, ranges: int | None = None) -> None:
-    """Writes findings (task_id, scan_item, seq, finding_id, …) with their places. A second run replaces the first."""
-    placed = with_places(findings, ranges)
+def write_report(findings: DataFrame, path: str, ranges: int | None = None, by: tuple[str, ...] = REPORT_ORDER) -> None:
+    """Writes findings (task_id, scan_item, …) with their places. A second run replaces the first."""
+    placed = with_places(findings, ranges, by)
     placed = placed.repartitionByRange("task_id", "scan_item", "place").sortWithinPartitions("task_id", "scan_item", "place")
     out = placed.write.mode("overwrite").partitionBy("task_id", "scan_item")
     out.option("parquet.page.row.count.limit", FILE_PAGE_ROWS).option("parquet.block.row.count.limit", FILE_GROUP_ROWS).parquet(path)

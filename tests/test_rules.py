@@ -37,3 +37,19 @@ def test_each_rule_once(spark):
 def test_nothing(spark):
     found, files, tasks = run(spark, [])
     assert found.count() == files.count() == tasks.count() == 0
+
+
+def test_questions_to_the_written_report(spark, tmp_path):
+    from auditloom.plans import serving
+
+    docs = [(task, k, f"f{k % 3}.md", [rules.TYPOS, rules.GARBLED], "b", "docx", "ours-fixed", f"帐号 {k} ??") for task in (1, None) for k in range(30)]
+    found, _, _ = run(spark, docs)
+    folder = str(tmp_path)
+    serving.publish(found, folder)
+    assert [r.place for r in serving.page(spark, folder, 2, 10, task_id=None).orderBy("place").collect()] == list(range(11, 21))
+    assert serving.page(spark, folder, 7, 10).count() == 0
+    assert serving.selection(spark, folder, rules.TYPOS, task_id=1).count() == 30
+    assert serving.selection(spark, folder).count() == 120
+    screens = serving.screen(spark, folder, 9, file_name="f1.md").collect()
+    assert {(r.task_id, r.matches, r.screen) for r in screens} == {(1, 20, 1), (None, 20, 1)}
+    assert serving.facets(spark, folder).filter("facet = 'file'").count() == 6
