@@ -103,9 +103,14 @@ def occurrences(text: Column, sign: str) -> Column:
 
 def unpaired(text: Column) -> Column:
     """The signs of `text` that open and close a different number of times, joined; code between back quotes is exempt."""
-    bare = F.regexp_replace(text, "`[^`]*`", "")
-    odd = [F.when(occurrences(bare, a) != occurrences(bare, b), F.lit(a + b)) for a, b in PAIRS] + [F.when(occurrences(bare, s) % 2 == 1, F.lit(s)) for s in SAME]
-    return F.concat_ws(" ", *odd)
+
+    def odd(bare: Column) -> Column:
+        pairs = [F.when(occurrences(bare, a) != occurrences(bare, b), F.lit(a + b)) for a, b in PAIRS]
+        return F.concat_ws(" ", *pairs, *[F.when(occurrences(bare, s) % 2 == 1, F.lit(s)) for s in SAME])
+
+    # The one-element array binds the text without code, so that it is made once; most texts have no sign at all.
+    signed = text.rlike(f"[{''.join(a + b for a, b in PAIRS)}{''.join(SAME)}]")
+    return F.when(signed, F.transform(F.array(F.regexp_replace(text, "`[^`]*`", "")), odd)[0]).otherwise("")
 
 
 def detect_unpaired(sentences: DataFrame) -> DataFrame:
