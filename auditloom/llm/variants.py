@@ -32,6 +32,8 @@ LEAST_CHARS, LEAST_COUNT, SLIPS = 5, 3, 97
 HELD = 200_000
 #: Rows of a block, and words of one choice that meet in one task.
 BLOCK, TILE_WORDS = 512, 20_000
+#: Letters of words that are compared side by side in an array; longer words are compared one by one.
+WIDE = 32
 #: Letters with counts of their own; rarer ones share columns, which can only make distances smaller.
 COLUMNS = 96
 #: Words up to which the alphabet is dealt into so many parts; parts beyond the last.
@@ -128,6 +130,8 @@ class Block:
         exact = np.float32 if self.lengths.max() < 4000 else np.float64
         self.counts = np.bincount(at, minlength=len(words) * columns).reshape(len(words), columns).astype(exact)
         self.norms = (self.counts * self.counts).sum(axis=1)
+        #: The code points of words, as far as they are no longer than WIDE.
+        self.signs = np.array([w if len(w) <= WIDE else "" for w in words], f"<U{WIDE + 1}").view(np.uint32).reshape(len(words), WIDE + 1)
 
     def adjacent(self, later: Block) -> bool:
         """Whether a later block may hold partners: it goes on with this one's last cell, at a length that is adjacent."""
@@ -146,10 +150,27 @@ def near_pairs(a: Block, b: Block, alphabet: Alphabet) -> tuple[np.ndarray, np.n
     agree = ((a.codes[i] == b.codes[j]) << np.arange(alphabet.parts)).sum(axis=1)
     keep = (alphabet.first_choice[agree] == a.choices[i]) & (a.choices[i] == b.choices[j])
     i, j = i[keep], j[keep]
-    edits = np.fromiter((one_edit(a.words[x], b.words[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+    edits = one_edit_each(a, b, i, j)
     return i[edits], j[edits]
 
 
+def one_edit_each(a: Block, b: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """one_edit() of rows of a and b, whose lengths are at most one apart."""
+    out = np.zeros(len(i), bool)
+    short = np.maximum(a.lengths[i], b.lengths[j]) <= WIDE
+    for k in np.nonzero(~short)[0]:
+        out[k] = one_edit(a.words[i[k]], b.words[j[k]])
+    at = np.nonzero(short)[0]
+    first, second = a.signs[i[at]], b.signs[j[at]]
+    swap = a.lengths[i[at]] > b.lengths[j[at]]
+    first[swap], second[swap] = second[swap], first[swap]
+    differ = first != second
+    shifted = first[:, :-1] != second[:, 1:]  # as if the longer word had a letter less from where they differ
+    shifted &= np.maximum.accumulate(differ, axis=1)[:, :-1]
+    out[at] = np.where(a.lengths[i[at]] == b.lengths[j[at]], differ.sum(axis=1) == 1, ~shifted.any(axis=1))
+    return out
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced code point turns one word into the other."""
     if len(a) > len(b):
