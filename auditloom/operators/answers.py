@@ -89,5 +89,6 @@ def _in_waves(left: DataFrame, waves: int) -> DataFrame:
 def answered(requests: DataFrame, store: str, said: tuple[str, ...] = SAID, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Requests (or what `keep` names of them) with content and error from the store."""
     rows = requests.withColumn("_digest", digest(said)).select(*(keep or requests.columns), "_digest")
-    known = read_store(requests.sparkSession, store).withColumnRenamed("digest", "_known")
+    # Saved, so that the join below shuffles both sides, and a request that very many rows make can be split.
+    known = saved(read_store(requests.sparkSession, store).withColumnRenamed("digest", "_known"))
     return rows.join(known, F.col("_digest") == F.col("_known"), "left").drop("_digest", "_known")
