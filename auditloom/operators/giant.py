@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import catalog
@@ -87,10 +87,6 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _group(parent: Column, by: str = "_g") -> list[Column]:
-    return [F.col("_key"), parent.alias(by)]
-
-
 def _tables(segments: DataFrame, size: int, packing: Packing) -> DataFrame:
     """(_key, _g, lengths, fn) of the segments of long documents."""
 
@@ -113,7 +109,7 @@ def _composed(tables: DataFrame) -> DataFrame:
         return pd.DataFrame({"_key": f["_key"].iloc[:1], "_g": [f["_g"].iloc[0] // FAN], "fn": [fn]})
 
     rows = tables.select("_key", "_g", "fn")
-    return rows.groupBy(*_group(F.expr(f"_g div {FAN}"), "_up")).applyInPandas(compose, f"_key {dict(rows.dtypes)['_key']}, _g bigint, fn array<int>")
+    return rows.groupBy("_key", F.expr(f"_g div {FAN}").alias("_up")).applyInPandas(compose, f"_key {dict(rows.dtypes)['_key']}, _g bigint, fn array<int>")
 
 
 def _held_before(tables: DataFrame, above: DataFrame) -> DataFrame:
