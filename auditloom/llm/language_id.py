@@ -6,8 +6,8 @@ counts lean on those of its address suffix, these on those of the whole table. H
 counted too, by declared language and what the texts themselves say. A background class of independent bytes competes
 with the languages: where it wins, or no language is likely enough, the row isn't accepted.
 
-Models are fitted on a hashed sample of labelled texts, bounded for each label by itself, so that no language is lost as
-the table grows; counts for priors cover every row.
+Models are fitted on all labelled texts, as in the pipeline, or on a hashed sample of them, bounded for each label by
+itself, so that no language is lost as the table grows; counts for priors cover every row.
 """
 
 from __future__ import annotations
@@ -62,16 +62,17 @@ def independent(share: np.ndarray, draws: int = 1 << 21) -> np.ndarray:
 COUNTS = "language string, bin int, n bigint"
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", label_docs: int = LABEL_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", label_docs: int | None = LABEL_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log-probabilities of trigrams by language, the same for the background), for every label whose documents have trigrams.
 
-    The counts come to the driver: BINS numbers a language at most.
+    They are fitted on about `label_docs` documents of each label, or on all if that is None. The counts come to the driver: BINS numbers a language at most.
     """
     label = F.col(label_col).cast("string")
     labelled = docs.filter(label.isNotNull()).withColumn("_label", label)
-    shares = labelled.groupBy("_label").agg(F.least(F.lit(1.0), label_docs / F.count("*")).alias("_share"))
-    drawn = labelled.join(F.broadcast(shares), "_label")  # a row for each language, as the model has
-    drawn = drawn.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000_000)) < F.ceil(F.col("_share") * 1_000_000_000))
+    if label_docs is not None:
+        shares = labelled.groupBy("_label").agg(F.least(F.lit(1.0), label_docs / F.count("*")).alias("_share"))
+        labelled = labelled.join(F.broadcast(shares), "_label")  # a row for each language, as the model has
+        labelled = labelled.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000_000)) < F.ceil(F.col("_share") * 1_000_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 at = np.flatnonzero(own)
                 yield batch(COUNTS, [[label] * len(at), at.astype(np.int32), own[at]])
 
-    counted = map_arrow(drawn.select("_label", as_bytes(F.col(text_col))), run, COUNTS)
+    counted = map_arrow(labelled.select("_label", as_bytes(F.col(text_col))), run, COUNTS)
     rows = checkpoint(counted.groupBy("language", "bin").agg(F.sum("n").alias("n")))
     languages = sorted(r.language for r in rows.select("language").distinct().collect())
     counts, place = np.zeros((len(languages), BINS + 256)), {x: k for k, x in enumerate(languages)}

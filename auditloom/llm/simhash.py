@@ -15,7 +15,6 @@ Equal fingerprints are one node before any of this, and links become a spanning
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import chain, combinations
 
@@ -156,8 +155,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 PASSAGE_WORDS, NEIGHBOURS, ORDERED_ROWS, FAR_BITS, LIKELY_BITS = 16, 4, 5_000, 22, 3
 #: Rows of a rare shingle from which its central document is compared first.
 HUB_ROWS = 8
-#: Counters of how frequent shingles are, and documents that they are counted on, about. They order shingles; any order finds the same.
-COUNTERS, COUNTED_DOCS = 1 << 20, 30_000
+#: Counters of how frequent shingles are, over all documents, and counters that travel as one row. They order shingles; any order finds the same.
+COUNTERS, COUNTER_BLOCK = 1 << 22, 1 << 12
 #: Slack of the bounds, so that rounding never loses a pair.
 SLACK = 1e-6
 #: Candidate documents up to which their keys are broadcast to fetch the texts.
@@ -170,31 +169,48 @@ def distinct_shingles(runs: Runs, words: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct(hashes, np.repeat(np.arange(len(counts)), counts))
 
 
-def _drawn(docs: DataFrame, id_col: str) -> DataFrame:
-    """About COUNTED_DOCS rows, by a hash of their ids."""
-    share = min(1.0, COUNTED_DOCS / max(1, docs.count()))
-    return docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+def shingle_frequencies(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """How many shingles of all rows, repeats included, fall on each counter: a table of fixed size."""
+    blocks = "block int, counts binary"
 
-
-def shingle_frequencies(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """How many shingles of the drawn rows fall on each counter: a table of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for texts in groups_of([x.as_py() for x in b.column(0)]):
                 hashes, _ = Runs(texts).shingles(words)
-                sums += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(sums)
-        yield batch("bin int, n bigint", [at.astype(np.int32), sums[at]])
-
-    drawn = _drawn(docs, id_col).select(as_bytes(F.col(text_col)))
-    counted = map_arrow(drawn, run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-    out = np.zeros(COUNTERS, np.uint16)
-    out[counted["bin"].to_numpy()] = np.minimum(counted["n"].to_numpy(), np.iinfo(np.uint16).max)
+                np.add.at(sums, (hashes % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for block in range(0, COUNTERS, COUNTER_BLOCK):
+            if sums[block : block + COUNTER_BLOCK].any():
+                yield packed(block, sums[block : block + COUNTER_BLOCK])
+
+    def packed(block: int, own: np.ndarray) -> pa.RecordBatch:
+        return batch(blocks, [[block], [pa.compress(own.tobytes(), codec="zstd", asbytes=True)]])
+
+    def unpacked(own: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(own, 8 * COUNTER_BLOCK, codec="zstd", asbytes=True), np.int64)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, own in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums.setdefault(block, np.zeros(COUNTER_BLOCK, np.int64))[:] += unpacked(own.as_py())
+        for block, own in sums.items():
+            yield packed(block, own)
+
+    parts = map_arrow(docs.select(as_bytes(F.col(text_col))), count, blocks)
+    counted = map_arrow(parts.repartition("block"), fold, blocks).toArrow()  # COUNTERS numbers
+    out = np.zeros(COUNTERS, np.int64)
+    for block, own in zip(counted["block"].to_pylist(), counted["counts"].to_pylist(), strict=True):
+        out[block : block + COUNTER_BLOCK] = unpacked(own)
     return out
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each count among the different ones: the same order in as few bytes as it takes."""
+    different, at = np.unique(counts, return_inverse=True)
+    return at.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32)
+
+
 def prefixes(found: np.ndarray, text_of: np.ndarray, n: np.ndarray, frequency: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, how many of each text): the rarest of a text's n different shingles, so many that any text this similar has one of them among its own rarest."""
     order = by_text(np.argsort(frequency[(found % np.uint64(COUNTERS)).astype(np.int64)], kind="stable"), text_of)
@@ -205,7 +221,7 @@ def prefixes(found: np.ndarray, text_of: np.ndarray, n: np.ndarray, frequency: n
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """Of each row a number of its own, the hash of its text, its fingerprint, a hash of its words, number of different shingles, passages, and rarest shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast(shingle_frequencies(docs, id_col, text_col, words))  # COUNTERS numbers
+    sent = docs.sparkSession.sparkContext.broadcast(ranks(shingle_frequencies(docs, text_col, words)))  # COUNTERS numbers
 
     def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), values.view(np.int64))

@@ -29,7 +29,7 @@ def _free_names(docs: DataFrame, *names: str) -> list[str]:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without letters, or in no language of the labelled ones, go.
+    """Language ID: documents without letters, or in no language of the labelled ones, go. Models are fitted on all of them.
 
     Rows that share an id are told apart by a hash of all their columns, so only equal rows share the fate of one. An
     empty table stays empty.
@@ -37,7 +37,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key, its_id, its_key = _free_names(docs, "_key", "_id", "_kept")
     keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
     evidence = language_id.document_evidence(keyed.select("doc_id", "text", "lang", "source", F.col(key).alias("_key")), ["doc_id", "_key"])
-    found = language_id.identify(evidence, language_id.fit(docs), ["doc_id", "_key"]).filter("accepted").select(F.col("doc_id").alias(its_id), F.col("_key").alias(its_key))
+    found = language_id.identify(evidence, language_id.fit(docs, label_docs=None), ["doc_id", "_key"]).filter("accepted").select(F.col("doc_id").alias(its_id), F.col("_key").alias(its_key))
     return keyed.join(found, keyed["doc_id"].eqNullSafe(found[its_id]) & (keyed[key] == found[its_key]), "left_semi").drop(key)
 
 

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from auditloom.llm import common, components, line_dedup, repeats, simhash
+from auditloom.llm.words import Runs
 
 DOCS = "doc_id bigint, text string"
 
@@ -187,6 +188,19 @@ def test_star_and_boilerplate(spark, monkeypatch):
     assert similar_case(spark, docs) == (want, want)
 
 
+def test_shingles_are_counted_on_all_documents(spark):
+    # More documents than a sample would have held, and more of one shingle than 16 bits hold.
+    docs = spark.range(66_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 7, F.concat(F.lit("v w x y z a"), "id")).otherwise("a b c d e f").alias("text")).repartition(3)
+    want = np.zeros(simhash.COUNTERS, np.int64)
+    for text, n in [("a b c d e f", 66_000 - 66), *[(f"v w x y z a{k}", 1) for k in range(7, 66_000, 1000)]]:
+        want[(Runs([text.encode()]).shingles(5)[0] % np.uint64(simhash.COUNTERS)).astype(np.int64)] += n
+    got = simhash.shingle_frequencies(docs, text_col="text", words=5)
+    assert (got == want).all() and got.sum() == 132_000
+    for counts in (got, np.arange(70_000)[::-1] * 10**6):
+        assert (np.diff(simhash.ranks(counts).astype(np.int64)) > 0).tolist() == (np.diff(counts) > 0).tolist()
+    assert simhash.ranks(got).dtype == np.uint16 and simhash.shingle_frequencies(docs.limit(0), text_col="text", words=5).sum() == 0
+
+
 def test_far_fingerprints(spark):
     r = random.Random(13)
     docs = []

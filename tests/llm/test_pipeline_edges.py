@@ -1,10 +1,14 @@
 """Each stage on empty tables, repeated rows, ties, nulls and columns of clashing names."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from auditloom.llm import language_id
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string, _id int, _kept int, node bigint, key string, row bigint"
 
@@ -55,3 +59,18 @@ def test_ties_of_equal_texts(spark, bench):
     df = spark.createDataFrame(rows((9, text(1), "en"), (4, text(1), "en"), (7, text(1), "en"), (5, text(2), "en")), DOCS)
     assert name == "simhash_near_dedup"
     assert sorted(r.doc_id for r in stage(spark, df, bench).collect()) == [4, 5]
+
+
+def test_language_models_are_fitted_on_all_documents(spark, bench, monkeypatch):
+    models, identify = [], language_id.identify
+    monkeypatch.setattr(language_id, "identify", lambda rows, model, keys: (models.append(model), identify(rows, model, keys))[1])
+    n, every = 2 * language_id.LABEL_DOCS, 500
+    said = F.when(F.col("id") % every == 3, "the rare one").otherwise("many of these")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), said.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars")).repartition(3)
+    assert corpus_pipeline.keep_known_languages(spark, docs, bench).count() == n
+    counts = Counter()
+    for text, times in ((b"the rare one", n // every), (b"many of these", n - n // every)):
+        for b in language_id.trigrams(text)[0].tolist():
+            counts[b] += times
+    want = np.array([counts[b] + 0.1 for b in range(language_id.BINS)])
+    assert models[0][0] == ["en"] and np.allclose(models[0][1][0], np.log(want / want.sum()), rtol=0, atol=1e-9)
