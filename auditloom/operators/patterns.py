@@ -4,6 +4,9 @@
 sorted table tell which words begin so. Words of up to eight bytes are thereby found; longer ones are looked up by a
 rolling hash over their whole length and then compared. The work for a place doesn't depend on the number of words.
 
+`WordFilter` is for words of any number, which no worker holds: a bitmap over hashes of the words tells which runs of a text
+may be words. These runs are then joined with the words.
+
 `contained_pairs` has no table to hold: each text sought is known by the one of its grams that is rarest in the texts
 searched, and an equi-join on that gram gives the candidates.
 """
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that tell where a word may begin, and bits of the largest bitmap over them.
 PREFIX, MOST_BITS = 8, 24
+#: As powers of two, the bits of a filter that a group makes and of the largest filter; bits for each word, places that it sets, bytes of text looked at together.
+SHARE, MOST_FILTER, WORD_BITS, PROBES, SLICE = 15, 28, 32, 4, 1 << 18
 #: Code points of a gram.
 GRAM = 6
 _ODD, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -135,12 +140,111 @@ class WordTable:
             at, lengths, hashes, place = at[~same], lengths[~same], hashes[~same], place[~same] + 1
 
 
-def find_words(texts: pa.Array, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """(row, word) for each text of an Arrow array, null ones without any."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow array, null ones without any, and where each text begins and ends."""
     texts = texts.cast(pa.large_string()).fill_null("")
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
-    return table.find(np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+
+
+def find_words(texts: pa.Array, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word) for each text of an Arrow array, null ones without any."""
+    return table.find(*_bytes(texts))
+
+
+def _sized(keys: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of beginnings of n bytes; PREFIX + 1 stands for those of longer words."""
+    return _mixed(keys + np.uint64(n * _ODD & (1 << 64) - 1))
+
+
+def filter_bits(words: int) -> int:
+    """Of a bitmap for so many words, as a power of two."""
+    return min(max((2 * words * WORD_BITS).bit_length() - 1, SHARE), MOST_FILTER)
+
+
+def _place(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (hashes * np.uint64(pow(_ODD, probe, 1 << 64))) >> np.uint64(64 - bits)
+
+
+def word_places(words: pa.Array, bits: int) -> np.ndarray:
+    """The places in a bitmap of 2^bits that different words set."""
+    data, offsets = _bytes(words)
+    first, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
+    data = np.append(data[offsets[0] : offsets[-1]], np.zeros(PREFIX, np.uint8))
+    keys = np.zeros(len(first), np.uint64)
+    for k in range(PREFIX):
+        keys |= np.where(k < lengths, data[first + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    hashes = [_sized(keys[lengths == n], n) for n in range(1, PREFIX + 1)]
+    if (long := lengths > PREFIX).any():
+        hashes += [_sized(keys[long], PREFIX + 1), _Rolling(data).hashes(first[long], lengths[long])]
+    every = np.concatenate(hashes)
+    return np.concatenate([_place(every, k, bits) for k in range(PROBES)]).astype(np.int64)
+
+
+class WordFilter:
+    """Tells which runs of texts may be words of these lengths in bytes, by a bitmap of 2^bits in which word_places() are set."""
+
+    def __init__(self, lengths: list[int], bits: int, bitmap: bytes):
+        self.short, self.long = {n for n in lengths if n <= PREFIX}, sorted(n for n in lengths if n > PREFIX)
+        self.bits, self.bitmap = bits, np.frombuffer(bitmap, np.uint8)
+
+    def _passing(self, hashes: np.ndarray) -> np.ndarray:
+        at = None
+        for k in range(PROBES):
+            place = _place(hashes, k, self.bits)
+            hit = np.nonzero((self.bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1))[0]
+            at, hashes = hit if at is None else at[hit], hashes[hit]
+        return at
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first byte, bytes) of the different runs that may be words, by text: texts lie side by side, as in WordTable.find()."""
+        base = int(offsets[0])
+        data, offsets = data[base : offsets[-1]], offsets - base
+        sign = np.append((data & 0xC0) != 0x80, True)  # where a code point begins, or all ends
+        found = [np.zeros((3, 0), np.int64)]
+
+        def whole(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+            at = at[at + n <= len(data)]
+            at = at[sign[at] & sign[at + n]]
+            text = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + n <= offsets[text + 1]
+            return text[inside], at[inside]
+
+        keys = data.astype(np.uint64)
+        for n in range(1, PREFIX + 1):
+            if n > 1:
+                keys = keys[: max(len(data) - n + 1, 0)] | (data[n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1)))
+            if n in self.short:
+                text, at = whole(self._passing(_sized(keys, n)), n)
+                order = np.lexsort((keys[at], text))
+                text, at = text[order], at[order]
+                new = np.append(True, (np.diff(text) != 0) | (keys[at][1:] != keys[at][:-1]))[: len(at)]
+                found.append(np.stack([text[new], at[new], np.full(new.sum(), n)]))
+        if self.long and len(begins := self._passing(_sized(keys, PREFIX + 1))):
+            rolling = _Rolling(data)
+            for n in self.long:
+                text, at = whole(begins, n)
+                hit = self._passing(rolling.hashes(at, np.full(len(at), n)))
+                first = {(t, data[a : a + n].tobytes()): a for t, a in zip(text[hit].tolist(), at[hit].tolist(), strict=True)}
+                found.append(np.array([[t, a, n] for (t, _), a in first.items()], np.int64).reshape(-1, 3).T)
+        text, at, n = np.concatenate(found, axis=1)
+        order = np.argsort(text, kind="stable")
+        return text[order], at[order] + base, n[order]
+
+
+def possible_words(texts: pa.Array, words: WordFilter) -> pa.Array:
+    """For each text of an Arrow array the list of different runs that may be words; real words are all among them."""
+    data, offsets = _bytes(texts)
+    counts, runs, first = np.zeros(len(texts), np.int64), [pa.array([], pa.string())], 0
+    while first < len(texts):
+        last = max(int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1, first + 1)
+        text, at, n = words.find(data, offsets[first : last + 1])
+        counts[first:last] = np.bincount(text, minlength=last - first)
+        ends = np.cumsum(n)
+        signs = data[np.repeat(at - ends + n, n) + np.arange(n.sum())]
+        runs.append(pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(signs)).cast(pa.string()))
+        first = last
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.concat_arrays(runs))
 
 
 def grams(text: Column, sizes: list[int]) -> Column:

@@ -65,3 +65,34 @@ def test_matches_of_ground_truth(spark):
     hot = spark.range(2000).selectExpr("'e' AS experiment", "'f' AS file_name", "id AS finding_id", "concat('text ', id, ' end') AS sentence", "'s' AS suggestion")
     some = spark.range(300).selectExpr("'e' AS experiment", "'f' AS file_name", "id AS gt_id", "concat('xt ', id * 3 + 1000, ' e') AS injected_text", "'s' AS expected_correction")
     assert evaluate.match_ground_truth(some, hot).count() == 300
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_word_filter(seed, monkeypatch):
+    monkeypatch.setattr(patterns, "SLICE", 50)
+    texts = [None, "", *strings(60, 0, 90, seed), "c" * 20]
+    r = random.Random(seed)
+    inside = [t[(k := r.randrange(len(t))) : k + r.randint(1, 40)] for t in texts if t for _ in range(3)]
+    words = sorted({w for w in [*strings(200, 1, 6, seed + 9), *inside, "a" * 50, "a" * 8, "a" * 9, "b字" * 30, "c" * 8, "c" * 12] if w})
+    bits = patterns.filter_bits(len(words))
+    bitmap = bytearray(1 << bits - 3)
+    for part in (pa.array(words[:50]), pa.array(words).slice(50)):
+        for p in patterns.word_places(part, bits).tolist():
+            bitmap[p >> 3] |= 1 << (p & 7)
+    table = patterns.WordFilter(sorted({len(w.encode()) for w in words}), bits, bytes(bitmap))
+    for part in (pa.array(texts), pa.array(["zz", *texts]).slice(1), pa.array(texts[:2]), pa.array([], pa.string())):
+        found = patterns.possible_words(part, table).to_pylist()
+        assert all(len(set(f)) == len(f) and all(x in (t or "") for x in f) for t, f in zip(part.to_pylist(), found, strict=True))
+        assert [sorted(set(f) & set(words)) for f in found] == [[w for w in words if w in (t or "")] for t in part.to_pylist()]
+        assert sum(map(len, found)) <= 1.01 * sum(w in (t or "") for t in part.to_pylist() for w in words)
+
+
+def test_words_beyond_a_table_need_no_grams(spark, monkeypatch):
+    monkeypatch.setattr(detect, "TABLE_WORDS", 100)
+    monkeypatch.setattr(patterns, "grams", lambda *_: pytest.fail("as many rows as the texts have signs"))
+    chunks = spark.range(300).selectExpr("id", "concat('no. ', id, '@ and Überlänge-', id, ' of all') AS chunk")
+    words = spark.range(0, 5000, 2).selectExpr("concat(id, '@') AS word").union(spark.range(0, 5000, 3).selectExpr("concat('Überlänge-', id) AS word"))
+    got = {(r.id, r.word) for r in detect.contained_words(chunks, words).collect()}
+    tails = lambda k: [str(k)[j:] for j in range(len(str(k))) if str(k)[j:] == str(int(str(k)[j:]))]
+    heads = lambda k: [str(k)[:j] for j in range(1, len(str(k)) + 1)]
+    assert got == {(k, f"{x}@") for k in range(300) for x in tails(k) if int(x) % 2 == 0} | {(k, f"Überlänge-{x}") for k in range(300) for x in heads(k) if int(x) % 3 == 0}
