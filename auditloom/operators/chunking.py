@@ -76,9 +76,11 @@ def _cut(sentence: str, size: int) -> Iterator[str]:
         begin = end
 
 
-def pack_paragraphs(text: str, size: int, compat: bool = False) -> list[str]:
+def pack_paragraphs(text: str, size: int, compat: bool = False, split_lines: bool = True) -> list[str]:
     """Packs stripped lines, each with a line break behind it, while they fit; long lines are split by sentences.
 
+    Without `split_lines` a line that doesn't fit into a chunk with its line break is one of its own, whole.
+
     `compat`: the first line of a text's first chunk, and one after a split line, has no line break; a line of exactly
     `size` characters is lost where nothing is held.
     """
@@ -90,7 +92,9 @@ def pack_paragraphs(text: str, size: int, compat: bool = False) -> list[str]:
             continue
         if held:
             out.append(held)
-        if len(line) > size:
+        if not split_lines:
+            held = line + "\n"
+        elif len(line) > size:
             out += split_paragraph(line, size, compat)
             held = ""
         elif compat:
@@ -196,8 +200,8 @@ def _fold(docs: DataFrame, fn, strategy: str, columns: list[str]) -> DataFrame:
     return docs.select(*names, *columns).mapInPandas(run, schema)
 
 
-def chunk_paragraphs(docs: DataFrame, size: int = catalog.CHUNK_SIZE, compat: bool = False) -> DataFrame:
-    return _fold(docs, lambda text: [(c, None) for c in pack_paragraphs(text or "", size, compat)], FIXED, ["text"])
+def chunk_paragraphs(docs: DataFrame, size: int = catalog.CHUNK_SIZE, compat: bool = False, split_lines: bool = True) -> DataFrame:
+    return _fold(docs, lambda text: [(c, None) for c in pack_paragraphs(text or "", size, compat, split_lines)], FIXED, ["text"])
 
 
 def chunk_markdown(blocks: DataFrame, size: int = catalog.CHUNK_SIZE) -> DataFrame:
