@@ -216,11 +216,11 @@ def choose_strategy(strategy: Column, adaptive: Column) -> Column:
     return F.when((strategy == "ours-adaptive") & ~F.coalesce(adaptive, F.lit(True)), "ours-fixed").when(known, strategy)
 
 
-def dispatch(docs: DataFrame, renditions: DataFrame, size: int = catalog.CHUNK_SIZE, archive_size: int = catalog.ARCHIVE_CHUNK_SIZE, compat: bool = False) -> DataFrame:
+def dispatch(docs: DataFrame, renditions: DataFrame, size: int = catalog.CHUNK_SIZE, archive_size: int = catalog.ARCHIVE_CHUNK_SIZE, compat: bool = False, split_lines: bool = True) -> DataFrame:
     """(doc_id, chunk_idx, chunk, length, strategy, note) of (doc_id, base_name, suffix, strategy, text) under each document's strategy.
 
     `renditions` (base_name, priority, text) are Markdown forms; the least priority wins, then the first text, and those
-    without a priority come last. Adaptive documents without one are packed by paragraphs. Archives have larger chunks.
+    without a priority come last. Adaptive documents without one are packed by paragraphs, whose long lines stay whole without `split_lines`. Archives have larger chunks.
     Rows of unknown strategy give nothing. Rows without a doc_id, and rows that share one, are documents of their own.
     """
     from .markdown import markdown_blocks
@@ -231,7 +231,7 @@ def dispatch(docs: DataFrame, renditions: DataFrame, size: int = catalog.CHUNK_S
     naive = chunk_sliding(naive, F.col("_size")).withColumn("note", F.lit(None).cast("string"))
     rest = sized.filter(F.col("strategy").isin("ours-fixed", "ours-adaptive")).join(best, "base_name", "left")
     adaptive = (F.col("strategy") == "ours-adaptive") & F.col("_markdown").isNotNull()
-    fixed = _fold(rest.filter(~adaptive).select("doc_id", "text", "_size"), lambda text, n: [(c, None) for c in pack_paragraphs(text or "", n, compat)], FIXED, ["text", "_size"])
+    fixed = _fold(rest.filter(~adaptive).select("doc_id", "text", "_size"), lambda text, n: [(c, None) for c in pack_paragraphs(text or "", n, compat, split_lines)], FIXED, ["text", "_size"])
     each = F.struct("_row", "doc_id", "_size").alias("doc_id")  # a row's blocks stay together, and take along what packing needs
     blocks = markdown_blocks(rest.filter(adaptive).select(each, F.col("_markdown").alias("text")))
     one = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_idx", "content", "header_text"))).alias("blocks")).select("doc_id.doc_id", "doc_id._size", "blocks")
