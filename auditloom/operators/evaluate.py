@@ -15,12 +15,12 @@ MARKERS = ["# ", "<table>", "<tr>", "- ", "!["]
 ENDS, NO_START = r"[。？！.?!\"…]", r"[,.;:!?，。；：！？、)\]}）】》」』”’a-z]"
 
 
-def marker_density(text: Column, markers: list[str] | None = None) -> Column:
-    """Structure markers in a thousand characters; an empty text has none."""
+def marker_density(text: Column, markers: list[str] | None = None, empty: float = 0.0) -> Column:
+    """Structure markers in a thousand characters; an empty text has the value `empty`, a null one null."""
     total = F.lit(0.0)
     for m in markers or MARKERS:
         total = total + (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / len(m)
-    return F.when(F.length(text) > 0, total / F.length(text) * 1000).otherwise(0.0)
+    return F.when(F.length(text) > 0, total / F.length(text) * 1000).when(F.length(text) == 0, empty)
 
 
 def information_density(text: Column) -> Column:
