@@ -23,9 +23,9 @@ def marker_density(text: Column, markers: list[str] | None = None, empty: float
     return F.when(F.length(text) > 0, total / F.length(text) * 1000).when(F.length(text) == 0, empty)
 
 
-def information_density(text: Column) -> Column:
-    """Share of characters that aren't white space."""
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"(?U)\s", "")) / F.length(text)).otherwise(0.0)
+def information_density(text: Column, empty: float = 0.0, white: str = r"(?U)\s") -> Column:
+    """Share of characters that aren't `white` space; an empty text has the value `empty`, a null one null."""
+    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, white, "")) / F.length(text)).when(F.length(text) == 0, empty)
 
 
 def valid_end(text: Column) -> Column:

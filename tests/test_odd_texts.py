@@ -8,7 +8,7 @@ import pytest
 from auditloom import registry
 
 TEXTS = ["", None, " ", ".", "a. b\nc. # <table>", "a " * 41 + " " * 558, "a \u000b b\t　\u0085c\f", "no\n\nmarks"]
-DENSITIES = ["structure_marker_density"]
+DENSITIES = ["structure_marker_density", "information_density"]
 
 
 @pytest.mark.parametrize("name", DENSITIES)
